@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, secrets
+from . import decontaminate, neardup, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +46,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), joined_digest(items).alias("items_sha256"), decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = list(pii.BASE_KINDS)
+    return found.select("doc_id", *(count_of("spans", k) for k in base), joined_digest(span_strings("spans", base)).alias("base_sha256"), F.concat_ws(",", span_strings("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_secret_scan, op7_near_duplicates, op8_decontamination)}
+    return {f.__name__: f for f in (op6_secret_scan, op7_near_duplicates, op8_decontamination, op10_personal_data)}

@@ -1,3 +1,41 @@
 """DuckDB SQL for those queries that SQL can express; the others are tested against brute force."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .licenses import TEMPLATES
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _license_sql() -> str:
+    """Every start of every template, tried at each word of each document."""
+    parts = []
+    for t in TEMPLATES:
+        words = "[" + ", ".join(f"'{w}'" for w in t.words) + "]"
+        tests = [f"words[s + {at + 1} : s + {at + n}] = [{', '.join(f"'{w}'" for w in t.words[at : at + n])}]" for at, n in t.phrases]
+        cover = f"list_sum(list_transform(range(1, {len(t.words) + 1}), lambda k: CASE WHEN words[s + k] = ({words})[k] THEN 1 ELSE 0 END)) / CAST({len(t.words)} AS DOUBLE)" if t.cover < 1 else "CAST(1 AS DOUBLE)"
+        where = " AND ".join([*tests, f"{cover} >= {t.cover}"] if t.cover < 1 else tests)
+        parts.append(f"SELECT row_id, '{t.label}' AS label, {t.base} AS base, s, {cover} AS cover FROM (SELECT row_id, words, unnest(range(0, len(words))) AS s FROM d WHERE list_contains(words, '{t.words[t.phrases[0][0]]}')) WHERE {where}")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS words FROM documents),
+places AS ({" UNION ALL ".join(parts)}),
+sums AS (SELECT row_id, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM places GROUP BY row_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM d LEFT JOIN sums USING (row_id)"""
+
+
+_CONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(13, len(words)) AS n, words[i : i + least(13, len(words)) - 1] AS win FROM (SELECT *, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i FROM b WHERE len(words) > 0)),
+places AS (SELECT row_id, n, i, words[i : i + n - 1] AS win FROM (SELECT row_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM w))),
+hits AS (SELECT row_id, i, n, item_id FROM places JOIN w USING (n, win)),
+covered AS (SELECT row_id, count(DISTINCT k) AS n_hit FROM (SELECT row_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY row_id),
+named AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY row_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN covered USING (row_id) LEFT JOIN named USING (row_id)"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op8_decontamination": _CONTAMINATION}

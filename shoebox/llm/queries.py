@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, pii, secrets, toxicity
+from . import decontaminate, licenses, neardup, pii, secrets, toxicity
 from .common import digest_bucket
 
 
@@ -31,6 +31,16 @@ def count_of(spans: str, kind: str) -> F.Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    base, starts = F.filter("placements", lambda p: p["base"]), lambda c: F.transform(c, lambda p: p["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts(base)).alias("first_word"), F.array_max(starts(base)).alias("last_word"),
+        licenses.label_list(base).alias("base_labels"), licenses.label_list(F.col("placements")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("placements", lambda p: p["cover"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = digest_bucket("doc_id", 3)
     found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder != 1)
@@ -60,4 +70,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op10_personal_data)}
+    return {f.__name__: f for f in (op1_license_scan, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op10_personal_data)}

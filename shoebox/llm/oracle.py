@@ -38,4 +38,11 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN covered USING (row_id) LEFT JOIN named USING (row_id)"""
 
-ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op8_decontamination": _CONTAMINATION}
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[{g + 1}] >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, max(page_id) OVER (PARTITION BY body) AS first, list_transform(range(8), lambda g: CAST('0x' || substr(sha1(body), 5 * g + 1, 5) AS BIGINT)) AS v FROM p)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < first THEN first END AS refers_to FROM h"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_warc": _WARC, "op8_decontamination": _CONTAMINATION}

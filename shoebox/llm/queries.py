@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, neardup, pii, secrets, toxicity
-from .common import digest_bucket
+from . import decontaminate, licenses, neardup, pii, secrets, toxicity, warc
+from .common import digest_bucket, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/archives"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = digest_bucket("doc_id", 3)
     found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder != 1)
@@ -70,4 +76,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op10_personal_data)}
+    return {f.__name__: f for f in (op1_license_scan, op3_warc, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op10_personal_data)}

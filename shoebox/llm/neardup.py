@@ -7,9 +7,10 @@
    one pivot (the member with most company, so usually the original of a group of edited copies);
    pairs whose collision-corrected similarity, from bit counts of the packed signatures, is far
    below the threshold go, the others are confirmed on the full shingle sets.
-4. Buckets that the confirmed links leave in several components are gone through exhaustively, in
-   blocks of bounded size, by bit counts alone; what could be a link is confirmed in the same way.
-   So no pair of a shared bucket is lost, and no group's pairs are spelt out.
+4. Buckets that the confirmed links leave in several components are gone through exhaustively in units
+   of two blocks of bounded size: by bit counts first; members with a possible partner then meet again
+   with their full sets, and only links between components leave the task. So no pair of a shared
+   bucket is lost, and no group's pairs are spelt out.
 5. The components of all links, brought back from classes to documents.
 """
 
@@ -44,7 +45,7 @@ class MinHash:
     bands: int = 32
     rows: int = 5
     deviations: float = 4.5
-    block: int = 512
+    block: int = 256
 
     @property
     def hashes(self) -> int:
@@ -136,7 +137,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, text: str, key: str, cfg: MinHash)
                 sets = [s.view(np.int64) for s in shingle_sets(part, text, cfg.shingle)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    chosen = docs.select(F.col(key).cast("long").alias("id"), text).join(ids, "id", "left_semi")
+    # ids grow with the corpus, so this join always sorts both sides: the plan is the same at every size
+    chosen = docs.select(F.col(key).cast("long").alias("id"), text).join(ids.hint("merge"), "id", "left_semi")
     return chosen.mapInArrow(run, "id long, shingles array<long>")
 
 
@@ -160,50 +162,94 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: MinHash) -> DataFrame:
     return joined.filter(100 * shared >= cfg.percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _block_pairs(rows: DataFrame, cfg: MinHash) -> DataFrame:
-    """Pairs (a, b) of one bucket but different components whose low bits allow a link. rows: (bucket,
-    members, id, component, packed). A bucket over cfg.block members is cut into blocks, and each pair of
-    blocks is a unit of its own, so no task holds more than two blocks at once."""
-    blocks = F.ceil(F.col("members") / cfg.block).cast("int")
-    cut = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = cut.withColumn("other", other).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "packed")
-
-    def compare(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
-        ids, comp, own = g["id"].to_numpy(), g["component"].to_numpy(), g["own"].to_numpy()
-        packed = np.stack(g["packed"].to_numpy()).view(np.uint64)
-        first = np.flatnonzero(own == i)
-        second = first if i == j else np.flatnonzero(own == j)
-        for at in range(0, len(first), 64):
-            a = first[at : at + 64]
-            d = packed[a][:, None, :] ^ packed[second][None, :, :]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            equal = cfg.hashes - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
-            x, y = np.nonzero((equal >= cfg.least_equal) & (comp[a][:, None] != comp[second][None, :]))
-            yield ids[a[x]], ids[second[y]]
+def _runs(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The frames' rows, cut where one of the columns changes."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        marks = frame[names].to_numpy()
+        cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+            yield frame.iloc[a:b]
+        rest = frame.iloc[cuts[-1] :] if len(cuts) else frame
+    if rest is not None and len(rest):
+        yield rest
+
+
+UNIT = ["bucket", "i", "j"]
+
+
+def _possible(unit: pd.DataFrame, cfg: MinHash) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows of a unit: the later rows that could be linked with it, by size and bit counts, that lie in
+    another component, belong to this pair of blocks, and share no earlier band (where the pair is met too)."""
+    i, j, bucket = unit["i"].iloc[0], unit["j"].iloc[0], unit["bucket"].iloc[0]
+    own, component, n = (unit[c].to_numpy() for c in ("own", "component", "n"))
+    packed, bands = np.stack(unit["packed"].to_numpy()).view(np.uint64), np.stack(unit["bands"].to_numpy())
+    order = np.arange(len(unit))
+    for x in order:
+        if own[x] not in (i, j):
+            continue
+        other = (own == (j if own[x] == i else i)) & (order > x) & (component != component[x])
+        y = np.flatnonzero(other & (100 * np.minimum(n, n[x]) >= cfg.percent * np.maximum(n, n[x])))
+        if not len(y):
+            continue
+        d = packed[y] ^ packed[x]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        y = y[cfg.hashes - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64) >= cfg.least_equal]
+        y = y[bands[x, (bands[y] == bands[x]).argmax(axis=1)] == bucket] if len(y) else y
+        if len(y):
+            yield int(x), y
+
+
+def _units(rows: DataFrame, cfg: MinHash) -> DataFrame:
+    """The rows (bucket, members, id, component, n, packed, bands) of open buckets that have a possible partner,
+    by unit. A bucket over cfg.block members is cut into blocks, and each pair of blocks is a unit, so no
+    task holds more than two blocks at once."""
+    cut = rows.withColumn("blocks", F.ceil(F.col("members") / cfg.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "packed", "bands")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def groups() -> Iterator[pd.DataFrame]:
-            rest = None
-            for frame in frames:
-                frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-                names = frame[["bucket", "i", "j"]].to_numpy()
-                cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
-                for a, b in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
-                    yield frame.iloc[a:b]
-                rest = frame.iloc[cuts[-1] :] if len(cuts) else frame
-            if rest is not None and len(rest):
-                yield rest
-
-        for g in groups():
-            for a, b in compare(g):
-                if len(a):
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    placed = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return placed.mapInPandas(run, "a long, b long").distinct()
+        for unit in _runs(frames, UNIT):
+            wanted = np.zeros(len(unit), bool)
+            for x, y in _possible(unit, cfg):
+                wanted[x] = True
+                wanted[y] = True
+            if wanted.any():
+                yield unit[wanted]
+
+    return units.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInPandas(run, units.schema)
+
+
+def _unit_links(units: DataFrame, sets: DataFrame, cfg: MinHash) -> DataFrame:
+    """Links (a, b) on full sets between different components of a unit; of the links that join the same two
+    sides, one is enough."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for unit in _runs(frames, UNIT):
+            ids, component, n = (unit[c].to_numpy() for c in ("id", "component", "n"))
+            sizes = np.array([len(s) for s in unit["shingles"]])
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            known, number = np.unique(np.concatenate(unit["shingles"].to_numpy()), return_inverse=True)
+            flag, found = np.zeros(len(known), bool), []
+            label = component.copy()
+            for x, y in _possible(unit, cfg):
+                y = y[label[y] != label[x]]
+                if not len(y):
+                    continue
+                flag[number[begin[x] : begin[x + 1]]] = True
+                places = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in y])
+                shared = np.add.reduceat(flag[number[places]].astype(np.int64), np.cumsum(sizes[y]) - sizes[y])
+                flag[number[begin[x] : begin[x + 1]]] = False
+                for k in y[100 * shared >= cfg.percent * (n[x] + n[y] - shared)]:
+                    if label[k] != label[x]:
+                        found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+                        label[label == label[k]] = label[x]
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    return units.join(sets, "id").repartition(*UNIT).sortWithinPartitions(*UNIT, "id").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cfg: MinHash = MinHash()) -> DataFrame:
@@ -219,7 +265,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cf
     sketches = written(_sketches(docs, text, key, cfg), folder, "sketches")
     classes = written(sketches.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), folder, "classes")
     chosen = classes.select("digest", F.col("rep").alias("id"))
-    reps = written(sketches.join(chosen, ["digest", "id"], "left_semi").select("id", "bands", "packed"), folder, "reps")
+    reps = written(sketches.join(chosen, ["digest", "id"], "left_semi").select("id", "n", "bands", "packed"), folder, "reps")
 
     members = reps.select("id", F.explode("bands").alias("bucket"))
     crowded = written(members.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), folder, "crowded")
@@ -233,8 +279,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cf
     low = {n: reps.select(F.col("id").alias(n), F.col("packed").alias(f"low_{n}")) for n in "ab"}
     likely = pairs.join(low["a"], "a").join(low["b"], "b").filter(_equal_low_bits("low_a", "low_b", cfg) >= cfg.least_equal).select("a", "b")
     likely = written(likely, folder, "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(_sets_of(docs, ids, text, key, cfg).dropDuplicates(["id"]), folder, "sets")
+    sets = written(_sets_of(docs, company.select("id"), text, key, cfg).dropDuplicates(["id"]), folder, "sets")
     links = written(_confirmed(likely, sets, cfg), folder, "links")
     groups = connected_components(links, f"{folder}/first")
 
@@ -243,15 +288,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cf
     labelled = written(labelled, folder, "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     open_ = written(open_, folder, "open")
-    rows = written(labelled.join(open_, "bucket").join(reps.select("id", "packed"), "id"), folder, "rows")
-    more = written(_block_pairs(rows, cfg).join(likely, ["a", "b"], "left_anti"), folder, "more")
-    if more.limit(1).count():
-        late = more.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        missing = late.join(sets, "id", "left_anti")
-        extra = written(_sets_of(docs, missing, text, key, cfg).dropDuplicates(["id"]), folder, "sets-more")
-        found = written(_confirmed(more, sets.union(extra), cfg), folder, "links-more")
-        if found.limit(1).count():
-            groups = connected_components(links.union(found), f"{folder}/all")
+    rows = written(labelled.join(open_, "bucket").join(reps, "id"), folder, "rows")
+    units = written(_units(rows, cfg), folder, "units")
+    found = written(_unit_links(units, sets, cfg), folder, "links-more")
+    if found.limit(1).count():
+        groups = connected_components(links.union(found), f"{folder}/all")
 
     by_class = classes.join(groups, classes.rep == groups.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     by_class = written(by_class, folder, "components")

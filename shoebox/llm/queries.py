@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, neardup, neighbours, pii, secrets, toxicity, warc
+from . import decontaminate, langid, licenses, neardup, neighbours, pii, secrets, toxicity, warc
 from .common import digest_bucket, shared_dir
 
 
@@ -73,6 +73,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), joined_digest(items).alias("items_sha256"), decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = digest_bucket("doc_id", 5)
+    found = langid.identify_languages(table(spark, sf_dir, "documents"), remainder != 0)
+    return found.select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = list(pii.BASE_KINDS)
@@ -80,4 +86,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_warc, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op10_personal_data)}
+    return {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_warc, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op9_language, op10_personal_data)}

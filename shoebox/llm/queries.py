@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, neardup, neighbours, pii, secrets, toxicity, warc
+from . import decontaminate, langid, licenses, neardup, neighbours, pieces, pii, secrets, toxicity, warc
 from .common import digest_bucket, shared_dir
 
 
@@ -51,6 +51,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_pieces(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("n_bytes").alias("n_byte_pieces"), F.col("exact").alias("round_trip"), "ids")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = digest_bucket("doc_id", 3)
     found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder != 1)
@@ -86,4 +91,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_warc, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op9_language, op10_personal_data)}
+    return {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_warc, op4_pieces, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op9_language, op10_personal_data)}

@@ -29,7 +29,7 @@ class ToxicityConfig:
     """max_rows bounds the labelled rows of each class that training takes (those with the smallest hash);
     it is the only sample here, and every text is scored whole."""
 
-    max_rows: int = 1500
+    max_rows: int = 1000
     buckets: int = 1 << 18
     size: int = 8
     grams: tuple[int, ...] = (3, 4, 5, 6)

@@ -45,13 +45,13 @@ def _automaton(patterns: list[tuple[bytes, list]]) -> ahocorasick.Automaton:
     return out
 
 
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 13, max_bytes: int = 64 << 20, max_patterns: int = 200_000) -> DataFrame:
-    """Rows (key, n_words, n_hit, items array, hit_spans array<struct<start, end>>) for each document:
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 13, max_bytes: int = 64 << 20, max_patterns: int = 200_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, keep..., n_words, n_hit, items array, hit_spans array<struct<start, end>>) for each document:
     its words, those inside an occurrence of a window, the sorted item keys whose windows occur, and
     the hit passages as code points of the original text.
 
     Null and empty texts have no words. Items without words have no window; repeated items count
-    once. Other columns are left out. Raises ValueError if the benchmark exceeds max_bytes.
+    once. Columns other than keep are left out. Raises ValueError if the benchmark exceeds max_bytes.
     """
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     if size > max_bytes:
@@ -65,7 +65,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     sent, mark = docs.sparkSession.sparkContext.broadcast(shards), uuid.uuid4().int
     item_type = benchmark.schema[item_key].dataType
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([docs.schema[key], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("hit_spans", T.ArrayType(span))])
+    fields = [docs.schema[c] for c in dict.fromkeys([key, *keep])]
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("hit_spans", T.ArrayType(span))])
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_items, arrow_spans = pa.list_(to_arrow_type(item_type)), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -104,9 +105,9 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                     point = np.cumsum((data & 0xC0) != 0x80)
                     a, b = spans_of(hit, np.array([0, len(hit)]))
                     spans[i] = [{"start": int(point[starts[x]] - 1), "end": int(point[ends[y - 1] - 1])} for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, arrow_items), pa.array(spans, arrow_spans)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, arrow_items), pa.array(spans, arrow_spans)], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(scan, schema)
+    return docs.select(*dict.fromkeys([key, *keep, text])).mapInArrow(scan, schema)
 
 
 def is_contaminated(n_hit, n_words):

@@ -14,7 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf, pii_seed
@@ -161,7 +162,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id",
     A null or empty text has no spans. Repeated rows each give a row; a null key is kept. Columns other
     than keep are left out. The field's spans that overlap a base span are left out; base spans always stay.
     """
-    fields = [docs.schema[key], *(docs.schema[c] for c in keep)]
+    fields = [docs.schema[c] for c in dict.fromkeys([key, *keep])]
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([*fields, T.StructField("spans", T.ArrayType(span))])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -181,3 +182,16 @@ def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(rows, arrow)], names=schema.names)
 
     return docs.select(*dict.fromkeys([key, *keep, text])).mapInArrow(run, schema)
+
+
+def masked_text(text: str, spans: str) -> Column:
+    """The text with <KIND> in the place of each span; of overlapping spans, the first is named and their union goes."""
+    source, start = F.col(text), F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+
+    def step(state: Column, span: Column) -> Column:
+        ahead = F.substring(source, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
+        mark = F.when(span["start"] >= state["at"], F.concat(ahead, F.lit("<"), F.upper(span["kind"]), F.lit(">"))).otherwise("")
+        return F.struct(F.concat(state["done"], mark).alias("done"), F.greatest(state["at"], span["end"]).alias("at"))
+
+    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["done"], F.substring(source, s["at"] + 1, F.length(source))))
+    return F.when(source.isNull() | (F.size(spans) == 0), source).otherwise(whole)

@@ -52,10 +52,11 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     body = F.coalesce(payload, F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page"), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]+", "%0A").alias("url"), body.alias("body"))
     hashed = rows.withColumn("digest", base32_sha1(F.col("body").cast("binary"))).withColumn("bytes", F.octet_length("body").cast("long"))
-    firsts = written(hashed.groupBy("digest").agg(F.max("page").alias("first")), folder, "responses")
-    marked = hashed.join(firsts, "digest", "left")
-    again = (F.col("page") < F.col("first")) & (F.col("bytes") >= min_bytes)
-    revisit = F.coalesce(again, F.lit(False))
+    narrow = written(hashed.filter(F.col("bytes") >= min_bytes).select("page", "digest"), folder, "digests")
+    firsts = written(narrow.groupBy("digest").agg(F.max("page").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), folder, "responses")
+    again = written(narrow.join(firsts, "digest").filter("page < first").distinct(), folder, "revisits")
+    marked = hashed.join(again, ["page", "digest"], "left")  # few revisits are broadcast by their measured size, so payloads stay in place
+    revisit = F.col("first").isNotNull()
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("body")))
     header = F.concat_ws(

@@ -1,7 +1,8 @@
 """The small labelled table the personal-data model is trained from.
 
 Fixed values: a few patterns of sentences and values in four languages; the table is the seeded
-combination of both. {name}, {mail} and so on are labelled spans, all other words are outside.
+combination of both. {name}, {mail} and so on are labelled spans, all other words are outside. Two in
+five sentences are words of random letters without any span, so that an unknown word is no sign of a name.
 """
 
 from __future__ import annotations
@@ -46,10 +47,17 @@ def table(rows: int = 900, seed: int = 11) -> list[list[tuple[str, str]]]:
         "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
         "iban": lambda: f"{pick(('DE', 'FR', 'ES'))}{digits(20)}",
     }
+    letters = list("aaeeiioouunrstlmdchpgbvfäéíóüñç")
+    invented = lambda: "".join(rng.choice(letters, int(rng.integers(1, 13))))
+    cased = lambda w, first: w.capitalize() if first or rng.random() < 0.06 else w
     out = []
     for r in range(rows):
+        if r % 5 < 2:
+            ends = [pick((".", ",", "", "", "", "", "!!", "|", ";")) for _ in range(int(rng.integers(1, 14)))]
+            out.append([(cased(invented(), i == 0) + e, "O") for i, e in enumerate(ends)])
+            continue
         sentence = []
-        for word in PATTERNS[r % len(PATTERNS)].split():
+        for word in pick(PATTERNS).split():
             kind = word.strip("{}")
             if word[0] == "{":
                 sentence += [(w, f"{'I' if i else 'B'}-{kind}") for i, w in enumerate(value[kind]().split())]

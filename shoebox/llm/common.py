@@ -19,10 +19,7 @@ ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share. Only where
     that is unset (local tests) does a temporary folder of this machine serve."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{tempfile.gettempdir()}/shoebox-shared"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/shoebox-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

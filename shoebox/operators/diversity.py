@@ -5,41 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.functions.faces import bound
+
+
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+
+
+def product(x: Column, y: Column) -> Column:
+    return total(F.zip_with(x, y, lambda u, v: u * v))
+
+
+def unit(a: Column) -> Column:
+    """The array moved to mean 0 and scaled to length 1, so that a product of two is their correlation; null for a constant one."""
+
+    def scaled(x: Column) -> Column:
+        return bound(F.sqrt(product(x, x)), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n)))
+
+    return bound(total(a) / F.size(a), lambda mean: bound(F.transform(a, lambda v: v - mean), scaled))
+
+
+def units(a: Column, channels: tuple[int, ...] = ()) -> Column:
+    """unit() of the whole array, or of each channel (their lengths, in order) with zeros for a constant one."""
+    if not channels:
+        return unit(a)
+    starts = [sum(channels[:i]) + 1 for i in range(len(channels))]
+    return F.concat(*(F.coalesce(unit(F.slice(a, s, n)), F.array_repeat(F.lit(0.0), n)) for s, n in zip(starts, channels, strict=True)))
+
 
 def correlation(a: Column, b: Column) -> Column:
-    """Pearson's, of two arrays of the same length; null for a constant one."""
-    n = F.size(a)
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    centred = lambda x: F.transform(x, lambda v: v - total(x) / n)
-    x, y = centred(a), centred(b)
-    product = lambda p, q: total(F.zip_with(p, q, lambda u, v: u * v))
-    return F.try_divide(product(x, y), F.sqrt(product(x, x) * product(y, y)))
+    """Pearson's, of two arrays of the same length; null if one is constant."""
+    return product(unit(a), unit(b))
+
+
+def alike(x: Column, y: Column, channels: int = 1) -> Column:
+    """The similarity of two units(): the mean correlation over channels, moved to 0 to 1."""
+    return bound(product(x, y) / channels, lambda m: F.when(m.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (m + 1) / 2))))
 
 
 def similarity(a: Column, b: Column, channels: tuple[int, ...] = ()) -> Column:
-    """The mean correlation over channels (their lengths, in order; () for one), moved to 0 to 1."""
-    cuts = channels or None
-    if cuts is None:
-        mean = correlation(a, b)
-    else:
-        starts = [sum(cuts[:i]) + 1 for i in range(len(cuts))]
-        parts = [F.coalesce(correlation(F.slice(a, s, n), F.slice(b, s, n)), F.lit(0.0)) for s, n in zip(starts, cuts, strict=True)]
-        mean = sum(parts[1:], parts[0]) / len(parts)
-    return F.when(mean.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mean + 1) / 2)))
-
-
-def album_arrays(photos: DataFrame, album: str, key: str, histogram: str, order: str) -> DataFrame:
-    """(album, items array<struct<order, key, histogram>>): an album's photos in order. An album is a selection of
+    return alike(units(a, channels), units(b, channels), max(1, len(channels)))
+
+
+def album_arrays(photos: DataFrame, album: str, key: str, histogram: str, order: str, channels: tuple[int, ...] = ()) -> DataFrame:
+    """(album, items array<struct<order, key, units>>): an album's photos in order, each scaled once. An album is a selection of
     bounded size; that is the caller's promise."""
-    item = F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(histogram).alias("h"))
+    item = F.struct(F.col(order).alias("o"), F.col(key).alias("k"), units(F.col(histogram), channels).alias("h"))
     return photos.groupBy(album).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def similarity_pairs(photos: DataFrame, album: str = "album", key: str = "photo_id", histogram: str = "histogram", order: str = "place", channels: tuple[int, ...] = ()) -> DataFrame:
     """(album, first, second, similarity) of the pairs of each album, the earlier photo first; a pair that can't be
     compared counts as 0."""
-    items = album_arrays(photos, album, key, histogram, order)
-    later = lambda a, i: F.transform(F.slice(F.col("items"), i + 2, F.size("items")), lambda b: F.struct(a["k"].alias("first"), b["k"].alias("second"), F.coalesce(similarity(a["h"], b["h"], channels), F.lit(0.0)).alias("similarity")))
+    items = album_arrays(photos, album, key, histogram, order, channels)
+    later = lambda a, i: F.transform(F.slice(F.col("items"), i + 2, F.size("items")), lambda b: F.struct(a["k"].alias("first"), b["k"].alias("second"), F.coalesce(alike(a["h"], b["h"], max(1, len(channels))), F.lit(0.0)).alias("similarity")))
     return items.select(album, F.inline(F.flatten(F.transform("items", later))))
 
 
@@ -67,8 +86,8 @@ def without_similar(photos: DataFrame, album: str = "album", key: str = "photo_i
     over the album's array whose state is the kept photos."""
     items = album_arrays(photos, album, key, histogram, order)
     empty = F.slice(F.col("items"), 1, 0)
-    alike = lambda kept, x: F.exists(kept, lambda y: F.coalesce(similarity(x["h"], y["h"]), F.lit(0.0)) >= threshold)
-    kept = F.aggregate("items", empty, lambda s, x: F.when(alike(s, x), s).otherwise(F.concat(s, F.array(x))))
+    near = lambda kept, x: F.exists(kept, lambda y: F.coalesce(alike(x["h"], y["h"]), F.lit(0.0)) >= threshold)
+    kept = F.aggregate("items", empty, lambda s, x: F.when(near(s, x), s).otherwise(F.concat(s, F.array(x))))
     return items.select(album, F.posexplode(F.transform(kept, lambda x: x["k"])).alias("position", "photo"))
 
 
@@ -76,7 +95,7 @@ def most_diverse(photos: DataFrame, count: int, album: str = "album", key: str =
     """(album, photo, position): the first photo, then again and again the one whose least similarity to the chosen
     is lowest, the earliest of equals; at most `count` of each album."""
     items = album_arrays(photos, album, key, histogram, order)
-    score = lambda x, s: F.array_min(F.transform(s, lambda y: F.coalesce(similarity(x["h"], y["h"]), F.lit(0.0))))
+    score = lambda x, s: F.array_min(F.transform(s, lambda y: F.coalesce(alike(x["h"], y["h"]), F.lit(0.0))))
 
     def step(s: Column, _: Column) -> Column:
         rest = F.filter(F.col("items"), lambda x: ~F.exists(s, lambda y: y["o"] == x["o"]))

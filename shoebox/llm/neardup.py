@@ -45,7 +45,7 @@ class MinHash:
     bands: int = 32
     rows: int = 5
     deviations: float = 4.5
-    block: int = 256
+    block: int = 1024
 
     @property
     def hashes(self) -> int:

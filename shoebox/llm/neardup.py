@@ -58,6 +58,11 @@ class MinHash:
         return math.floor(self.hashes * p - self.deviations * math.sqrt(self.hashes * p * (1 - p)))
 
 
+def grows(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: it is never broadcast, so the plan is the same at every size."""
+    return side.hint("merge")
+
+
 def shingle_sets(part: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each row's text."""
     data, offsets = utf8(part.column(text))
@@ -137,8 +142,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, text: str, key: str, cfg: MinHash)
                 sets = [s.view(np.int64) for s in shingle_sets(part, text, cfg.shingle)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    # ids grow with the corpus, so this join always sorts both sides: the plan is the same at every size
-    chosen = docs.select(F.col(key).cast("long").alias("id"), text).join(ids.hint("merge"), "id", "left_semi")
+    chosen = docs.select(F.col(key).cast("long").alias("id"), text).join(grows(ids), "id", "left_semi")
     return chosen.mapInArrow(run, "id long, shingles array<long>")
 
 
@@ -157,7 +161,7 @@ def _equal_low_bits(x: str, y: str, cfg: MinHash) -> F.Column:
 def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: MinHash) -> DataFrame:
     """The pairs (a, b) that are links on full shingle sets."""
     left, right = (sets.select(F.col("id").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = pairs.join(grows(left), "a").join(grows(right), "b")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return joined.filter(100 * shared >= cfg.percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
@@ -249,7 +253,7 @@ def _unit_links(units: DataFrame, sets: DataFrame, cfg: MinHash) -> DataFrame:
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return units.join(sets, "id").repartition(*UNIT).sortWithinPartitions(*UNIT, "id").mapInPandas(run, "a long, b long")
+    return units.join(grows(sets), "id").repartition(*UNIT).sortWithinPartitions(*UNIT, "id").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cfg: MinHash = MinHash()) -> DataFrame:
@@ -265,37 +269,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cf
     sketches = written(_sketches(docs, text, key, cfg), folder, "sketches")
     classes = written(sketches.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), folder, "classes")
     chosen = classes.select("digest", F.col("rep").alias("id"))
-    reps = written(sketches.join(chosen, ["digest", "id"], "left_semi").select("id", "n", "bands", "packed"), folder, "reps")
+    reps = written(sketches.join(grows(chosen), ["digest", "id"], "left_semi").select("id", "n", "bands", "packed"), folder, "reps")
 
     members = reps.select("id", F.explode("bands").alias("bucket"))
     crowded = written(members.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), folder, "crowded")
-    shared = written(members.join(crowded, "bucket"), folder, "shared")
+    shared = written(members.join(grows(crowded), "bucket"), folder, "shared")
     company = written(shared.groupBy("id").agg(F.sum("members").alias("company")), folder, "company")
     best = F.max(F.struct("company", (-F.col("id")).alias("less"))).alias("best")
-    pivots = written(shared.join(company, "id").groupBy("bucket").agg(best).select("bucket", (-F.col("best.less")).alias("pivot")), folder, "pivots")
-    first = shared.join(pivots, "bucket").filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    pivots = written(shared.join(grows(company), "id").groupBy("bucket").agg(best).select("bucket", (-F.col("best.less")).alias("pivot")), folder, "pivots")
+    first = shared.join(grows(pivots), "bucket").filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     pairs = written(first.distinct(), folder, "pairs")
 
     low = {n: reps.select(F.col("id").alias(n), F.col("packed").alias(f"low_{n}")) for n in "ab"}
-    likely = pairs.join(low["a"], "a").join(low["b"], "b").filter(_equal_low_bits("low_a", "low_b", cfg) >= cfg.least_equal).select("a", "b")
+    likely = pairs.join(grows(low["a"]), "a").join(grows(low["b"]), "b").filter(_equal_low_bits("low_a", "low_b", cfg) >= cfg.least_equal).select("a", "b")
     likely = written(likely, folder, "likely")
     sets = written(_sets_of(docs, company.select("id"), text, key, cfg).dropDuplicates(["id"]), folder, "sets")
     links = written(_confirmed(likely, sets, cfg), folder, "links")
     groups = connected_components(links, f"{folder}/first")
 
     # buckets that still hold several components
-    labelled = shared.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = shared.join(grows(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = written(labelled, folder, "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     open_ = written(open_, folder, "open")
-    rows = written(labelled.join(open_, "bucket").join(reps, "id"), folder, "rows")
+    rows = written(labelled.join(grows(open_), "bucket").join(grows(reps), "id"), folder, "rows")
     units = written(_units(rows, cfg), folder, "units")
     found = written(_unit_links(units, sets, cfg), folder, "links-more")
     if found.limit(1).count():
         groups = connected_components(links.union(found), f"{folder}/all")
 
-    by_class = classes.join(groups, classes.rep == groups.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    by_class = classes.join(grows(groups), classes.rep == groups.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     by_class = written(by_class, folder, "components")
-    out = sketches.select("id", "n", "digest").join(by_class, "digest", "left")
+    out = sketches.select("id", "n", "digest").join(grows(by_class), "digest", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))

@@ -194,3 +194,12 @@ def score_significance(photos: DataFrame, config: EmotionalConfig = DEFAULT, fac
         valid = valid & one(name).between(0, most)
     score = one("face_presence_component") + one("emotion_component") + one("intimacy_component") + one("engagement_component")
     return out.withColumn("composite", clamped(score)).withColumns({"tier": emotional_tier(one("composite"), config), "valid": valid})
+
+
+def score_breakdown() -> Column:
+    """A photo's score in parts, from the columns of score_significance(); a part that is missing counts as 0."""
+    part = lambda n: F.coalesce(F.col(n), F.lit(0.0))
+    components = F.struct(*(part(f"{n}_component").alias(n) for n in ("face_presence", "emotion", "intimacy", "engagement")))
+    raw = F.struct(F.col("intimacy_score").alias("intimacy"), F.col("engagement_score").alias("engagement"))
+    info = F.struct(F.col("face_count").alias("count"), F.col("face_coverage").alias("coverage"))
+    return F.struct("composite", "tier", components.alias("components"), raw.alias("raw_scores"), info.alias("face_info"))

@@ -249,6 +249,13 @@ def high_significance(spark, sf_dir):
     return s.select("photo_id", F.round("composite", 10).alias("composite")).orderBy(F.desc("composite"), "photo_id")
 
 
+@query(f"WITH {b.FACES_SQL} SELECT photo_id, round(presence, 10) AS presence_part, round(emotion, 10) AS emotion_part, round(intimacy, 10) AS raw_intimacy, round(engagement, 10) AS raw_engagement, CAST(n AS BIGINT) AS faces, round(cover, 10) AS coverage FROM tiered")
+def score_breakdowns(spark, sf_dir):
+    s = significant(spark, sf_dir).select("photo_id", faces.score_breakdown().alias("s"))
+    ten = {"presence_part": "components.face_presence", "emotion_part": "components.emotion", "raw_intimacy": "raw_scores.intimacy", "raw_engagement": "raw_scores.engagement", "coverage": "face_info.coverage"}
+    return s.select("photo_id", *(F.round(f"s.{path}", 10).alias(n) for n, path in ten.items()), c("s.face_info.count").alias("faces"))
+
+
 @query(f"WITH {b.FACES_SQL} SELECT photo_id, count(*) FILTER (WHERE smile >= 0.5) AS smiling, count(*) FILTER (WHERE w * h / CAST(480000 AS DOUBLE) >= 0.005) AS large, max(w * h) AS largest_area, round(max(CAST(w AS DOUBLE) / h), 6) AS widest FROM face GROUP BY photo_id")
 def face_properties(spark, sf_dir):
     f = c("faces")

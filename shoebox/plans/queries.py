@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from shoebox.config import STRATEGIES, CurationConfig, Settings
 from shoebox.functions import dates, faces, pixels, quality
@@ -491,14 +492,14 @@ def datetime_infos(spark, sf_dir):
 
 @query(f"WITH {b.DATES_SQL} SELECT y AS year, count(*) FILTER (WHERE year(ts) = y) AS strict, count(*) FILTER (WHERE ts IS NULL OR year(ts) = y) AS tolerant FROM stamped, (SELECT DISTINCT year(o_orderdate) AS y FROM orders) GROUP BY y")
 def year_predicates(spark, sf_dir):
-    """Photos of each year, strictly, and with the undated ones that every year's scoring lets pass: one count of the undated
-    is added to each year, no pairs of photos and years."""
-    d = with_dates(spark, sf_dir)
+    """Photos of each year, strictly, and with the undated ones that every year's scoring lets pass: the one count of
+    undated photos is added to each year's, in a window over the few counts by year."""
+    counts = with_dates(spark, sf_dir).groupBy(F.year("ts").cast("long").alias("year")).agg(F.count("*").alias("n"))
     years = b.table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("long").alias("year")).distinct()
-    counts = d.groupBy(F.year("ts").cast("long").alias("year")).agg(F.count("*").alias("n"))
-    undated = counts.groupBy().agg(F.coalesce(F.sum(F.when(c("year").isNull(), c("n"))), F.lit(0)).alias("undated"))
-    out = years.join(counts, "year", "left").withColumn("strict", F.coalesce("n", F.lit(0)))
-    return out.select("year", "strict", F.lit(1).alias("k")).join(undated.withColumn("k", F.lit(1)), "k").select("year", "strict", (c("strict") + c("undated")).alias("tolerant"))
+    both = counts.withColumn("asked", F.lit(False)).unionByName(years.select("year", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+    sums = both.groupBy("year").agg(F.sum("n").alias("strict"), F.bool_or("asked").alias("asked"))
+    undated = F.coalesce(F.max(F.when(c("year").isNull(), c("strict"))).over(W.Window.partitionBy()), F.lit(0))
+    return sums.withColumn("tolerant", c("strict") + undated).filter("asked").select("year", "strict", "tolerant")
 
 
 @query(f"WITH {b.DATES_SQL} SELECT photo_id % 997 AS album, month(ts) AS month, string_agg(CAST(photo_id AS VARCHAR), ',' ORDER BY photo_id) AS photos FROM stamped WHERE ts IS NOT NULL GROUP BY ALL")

@@ -29,7 +29,7 @@ class ToxicityConfig:
     """max_rows bounds the labelled rows of each class that training takes (those with the smallest hash);
     it is the only sample here, and every text is scored whole."""
 
-    max_rows: int = 1000
+    max_rows: int = 1500
     buckets: int = 1 << 18
     size: int = 8
     grams: tuple[int, ...] = (3, 4, 5, 6)
@@ -49,7 +49,7 @@ class ToxicityModel:
     bias: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        _, which, ids, rows, border = _words(column, self.config)
+        which, ids, rows, border = _words(column, self.config)
         logit = np.bincount(rows, self.parts[ids], int(which.max()) + 1 if len(which) else 0) / np.maximum(np.bincount(rows, minlength=int(which.max()) + 1 if len(which) else 0), 1)
         window, _, _ = _windows(logit[which] if len(which) else np.zeros(0), border, self.config.window)
         out = np.full(len(border) - 1, 0.0)
@@ -60,30 +60,40 @@ class ToxicityModel:
 
 
 def _words(column: pa.Array, cfg: ToxicityConfig):
-    """Distinct words' hashes; for each word of the texts its distinct word; n-gram numbers and the distinct
-    word of each; borders of the texts, counted in words."""
+    """For each word of the texts its distinct word; n-gram numbers and the distinct word of each; borders of
+    the texts, counted in words."""
     data, offsets = utf8(pc.utf8_lower(column))
     starts, ends = spans_of(ALNUM_WORD[data], offsets)
     border = np.searchsorted(starts, offsets)
     keys, first, which = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    a, b = starts[first], ends[first]
-    lengths = b - a + 2
+    ids, rows = [], []
+    for at in range(0, len(keys), 50_000):  # bounds the temporary arrays
+        part = slice(at, at + 50_000)
+        for x, row in _grams(data, starts[first[part]], ends[first[part]], keys[part], cfg):
+            ids.append(x.astype(np.int32))
+            rows.append((row + at).astype(np.int32))
+    none = [np.zeros(0, np.int32)]
+    return which, np.concatenate(ids or none), np.concatenate(rows or none), border
+
+
+def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, cfg: ToxicityConfig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers, word of each) of whole words, and of the n-grams of "<word>" for each n."""
+    lengths = ends - starts + 2
     cuts = np.cumsum(lengths)
-    padded = np.full(int(lengths.sum()), 60, np.uint8)  # "<word>"
-    inner = np.arange(int((lengths - 2).sum())) + np.repeat(1 + 2 * np.arange(len(a)), lengths - 2)
-    padded[inner] = data[np.arange(len(inner)) + np.repeat(a - (np.cumsum(lengths - 2) - (lengths - 2)), lengths - 2)]
+    padded = np.full(int(lengths.sum()), 60, np.uint8)
+    inner = np.arange(int((lengths - 2).sum())) + np.repeat(1 + 2 * np.arange(len(starts)), lengths - 2)
+    padded[inner] = data[np.arange(len(inner)) + np.repeat(starts - (np.cumsum(lengths - 2) - (lengths - 2)), lengths - 2)]
     padded[cuts - 1] = 62
-    row, until = np.repeat(np.arange(len(a)), lengths), np.repeat(cuts, lengths)
-    value, ids, rows = BYTE_KEYS[padded], [mixed(keys) % np.uint64(cfg.buckets)], [np.arange(len(a))]
-    code, power = value.copy(), np.ones(1, np.uint64)
+    row, until = np.repeat(np.arange(len(starts)), lengths), np.repeat(cuts, lengths)
+    yield mixed(keys) % np.uint64(cfg.buckets), np.arange(len(starts))
+    value, power = BYTE_KEYS[padded], np.ones(1, np.uint64)
+    code = value.copy()
     for n in range(2, max(cfg.grams) + 1):
         power = power * STEP
         code = code[:-1] + value[n - 1 :] * power
         if n in cfg.grams:
             at = np.flatnonzero(np.arange(len(code)) + n <= until[: len(code)])
-            ids.append(mixed(code[at] + np.uint64(n)) % np.uint64(cfg.buckets))
-            rows.append(row[at])
-    return keys, which, np.concatenate(ids).astype(np.int64), np.concatenate(rows), border
+            yield mixed(code[at] + np.uint64(n)) % np.uint64(cfg.buckets), row[at]
 
 
 def _windows(logit: np.ndarray, border: np.ndarray, w: int):
@@ -100,10 +110,10 @@ def train(texts: list[str], toxic: list[int], cfg: ToxicityConfig = ToxicityConf
     if not len(label) or label.min() == label.max():  # nothing to learn from: every text gets the one label known, or 0
         sure = 3.0 if len(label) and label.min() else -3.0
         return ToxicityModel(cfg, np.zeros(cfg.buckets, np.float32), sure)
-    _, which, ids, rows, border = _words(pa.array(texts, pa.string()), cfg)
+    which, ids, rows, border = _words(pa.array(texts, pa.string()), cfg)
     rng, words = np.random.default_rng(cfg.seed), int(which.max()) + 1
     count = np.bincount(rows, minlength=words)
-    vectors = rng.normal(0, 0.1, (cfg.buckets, cfg.size))
+    vectors = rng.normal(0, 0.1, (cfg.buckets, cfg.size)).astype(np.float32)
     used = np.unique(ids)
     softmax, bias = rng.normal(0, 1, (2, cfg.size)), np.zeros(1)
     weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (len(label) - label.sum()))
@@ -134,7 +144,7 @@ def train(texts: list[str], toxic: list[int], cfg: ToxicityConfig = ToxicityConf
         turn = np.bincount(np.arange(len(window)), d_window, len(window) + 1) - np.bincount(end, d_window, len(window) + 1)
         d_word = np.bincount(which, np.cumsum(turn)[:-1], words) / count
         d_part = np.bincount(ids, d_word[rows], cfg.buckets)
-        adam("v", vectors, np.outer(d_part[used], difference) + cfg.decay * vectors[used], t, used)
+        adam("v", vectors, (np.outer(d_part[used], difference) + cfg.decay * vectors[used]).astype(np.float32), t, used)
         pull = vectors.T @ d_part
         adam("s", softmax, np.stack([-pull, pull]) + cfg.decay * softmax, t)
         adam("b", bias, np.array([error.sum()]), t)

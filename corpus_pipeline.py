@@ -27,7 +27,7 @@ def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     similarity 0.8 or more. A repeated doc_id stays once; rows without doc_id or words have no group and stay."""
     found = written(neardup.near_duplicates(docs), shared_dir(spark), "groups")
     gone = found.filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(neardup.grows(gone), "doc_id", "left_anti")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if repeated:
         left = left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))

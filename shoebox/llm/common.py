@@ -40,7 +40,7 @@ def digest_bucket(column, divisor: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Row slices of a batch with about max_bytes of text each (one row at least), so that numpy's
     temporary arrays stay small whatever the batch size."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

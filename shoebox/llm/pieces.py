@@ -117,9 +117,10 @@ def best_pieces(vocabulary: Vocabulary, data: np.ndarray, border: np.ndarray) ->
     Among equal scores the longest last piece wins."""
     v, n = vocabulary, len(data)
     lengths = np.diff(border)
-    offset, stop = _places(np.zeros(len(lengths), np.int64), lengths), np.repeat(border[1:], lengths)
-    froms, tos, whats = [np.arange(n)], [np.arange(n) + 1], [v.bytes_of[data]]
-    at, state = np.arange(n), np.zeros(n, np.int32)
+    offset, stop = _places(np.zeros(len(lengths), np.int64), lengths).astype(np.int32), np.repeat(border[1:], lengths).astype(np.int32)
+    every = np.arange(n, dtype=np.int32)
+    froms, tos, whats = [every], [every + 1], [v.bytes_of[data]]
+    at, state = every, np.zeros(n, np.int32)
     depth = 0
     while len(at):
         step = v.base[state] + data[at + depth] + 1
@@ -129,7 +130,7 @@ def best_pieces(vocabulary: Vocabulary, data: np.ndarray, border: np.ndarray) ->
         piece = v.value[state]
         found = piece >= 0
         froms.append(at[found])
-        tos.append(at[found] + depth)
+        tos.append(at[found] + np.int32(depth))
         whats.append(piece[found])
         more = at + depth < stop[at]
         at, state = at[more], state[more]
@@ -208,7 +209,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
         for batch in batches:
-            for part in text_slices(batch, text, 2 << 20):
+            for part in text_slices(batch, text, 1 << 20):
                 ids, border = encode_batch(vocabulary, part.column(text))
                 back = decode_batch(vocabulary, ids, border)
                 exact = [(x or "").encode() == y for x, y in zip(part.column(text).to_pylist(), back, strict=True)]

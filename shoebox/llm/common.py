@@ -17,9 +17,12 @@ ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share. Only where
-    that is unset (local tests) does a temporary folder of this machine serve."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/shoebox-shared"
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where that is unset, a
+    temporary folder serves a local session; on a cluster the call raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"{tempfile.gettempdir()}/shoebox-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

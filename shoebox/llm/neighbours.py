@@ -5,7 +5,8 @@ sorted order. A query opens a window around its own projected value in each sort
 binary searches give the window as ranks) and counts in how many windows each vector falls. Vectors
 over the collision threshold are verified with the exact measure. Windows start narrow and widen by
 virtual rehashing (the same arrays, a larger radius) until a query has k verified neighbours within
-the radius, or the last radius was searched.
+the radius, or the last radius was searched. Queries that the last radius leaves short of k verified
+neighbours within it, over all blocks, then have every vector of every block verified.
 
 The measure is the inner product: each vector is scaled and extended by one coordinate so that all have
 the length of the longest, which turns the largest inner product into the smallest distance.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .common import shared_dir, written
+from .neardup import grows
 
 
 @dataclass(frozen=True)
@@ -101,6 +103,24 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
     return best, best_ids
 
 
+def search_all(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What search gives, with every vector of the block looked at. A matrix product, whose last bits depend on the
+    place in it, picks the k best and those within rounding of them; these are scored as in search, so ties stay ties."""
+    best, best_ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    rounding = 1e-9 * np.linalg.norm(vectors, axis=1).max() * np.linalg.norm(queries, axis=1)
+    for at in range(0, len(queries), 128):
+        rows = np.arange(at, min(at + 128, len(queries)))
+        rough, other = queries[rows] @ vectors.T, ids[None, :] != query_ids[rows, None]
+        if len(ids) > k:
+            least = np.partition(np.where(other, rough, -np.inf), len(ids) - k, axis=1)[:, len(ids) - k]
+            other &= rough >= (least - rounding[rows])[:, None]
+        q, v = np.nonzero(other)
+        for part in range(0, len(q), 65536):
+            x, y = rows[q[part : part + 65536]], v[part : part + 65536]
+            _merge(best, best_ids, x, (vectors[y] * queries[x]).sum(axis=1), ids[y], k)
+    return best, best_ids
+
+
 def last_radius(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, longest: float, share: float, margin: float) -> float:
     """The distance within which a share of all vectors lie around a query, over all sampled pairs."""
     inner = queries @ vectors.T / (longest * np.linalg.norm(queries, axis=1, keepdims=True))
@@ -127,7 +147,8 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
     Vectors that are null, empty, zero, or hold null or non-finite components take no part; nor do null
     keys and vectors of another dimension than the commonest. A repeated key counts once. Other columns are left out.
     Blocks of vectors meet blocks of queries, both of bounded size, so the work is spread over as many
-    tasks as there are pairs of blocks. An empty table, or one without queries, gives no rows.
+    tasks as there are pairs of blocks. Queries left short meet the same blocks once more, exactly, so a
+    query has k rows, or as many as there are other vectors. An empty table, or one without queries, gives no rows.
     """
     folder = shared_dir(rows.sparkSession)
     good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(usable("v") & F.col("id").isNotNull())
@@ -140,22 +161,34 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
     arrays = [f(x) for x in (sample, asked) for f in (lambda rows: np.array([r["v"] for r in rows]), lambda rows: np.array([r["id"] for r in rows]))]
     last = last_radius(*arrays, longest, 1.5 * k / max(n, 1), cfg.margin) if asked else 1.0
     blocks = max(-(-n // cfg.block), min(32, -(-n // 256)), 1)
-    query_blocks = max(1, -(-known["asks"] // cfg.query_block))
     place = lambda salt, of: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = data.select("id", "v", place(1, blocks).alias("block"), every(query_blocks).alias("query_block"))
-    right = data.filter("asks").select("id", "v", place(2, query_blocks).alias("query_block"), every(blocks).alias("block"))
-
-    def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        dense = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        if not vectors.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        asked = queries["id"].to_numpy()
-        best, ids = search(dense(vectors), vectors["id"].to_numpy(), dense(queries), asked, longest, last, k, cfg)
-        found = np.isfinite(best)
-        return pa.table({"query_id": np.repeat(asked, k)[found.ravel()], "id": ids[found], "score": best[found]})
-
-    pairs = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(meet, "query_id long, id long, score double")
     order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+
+    def ranked(asking: DataFrame, count: int, exact: bool) -> DataFrame:
+        query_blocks = max(1, -(-count // cfg.query_block))
+        left = data.select("id", "v", place(1, blocks).alias("block"), every(query_blocks).alias("query_block"))
+        right = asking.select("id", "v", place(2, query_blocks).alias("query_block"), every(blocks).alias("block"))
+
+        def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+            dense = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            if not vectors.num_rows or not queries.num_rows:
+                return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            asked = queries["id"].to_numpy()
+            block = dense(vectors), vectors["id"].to_numpy(), dense(queries), asked
+            best, ids = search_all(*block, k) if exact else search(*block, longest, last, k, cfg)
+            found = np.isfinite(best)
+            return pa.table({"query_id": np.repeat(asked, k)[found.ravel()], "id": ids[found], "score": best[found]})
+
+        pairs = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(meet, "query_id long, id long, score double")
+        return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    first = written(ranked(data.filter("asks"), known["asks"], False), folder, "first")
+    reached = first.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("found"), F.min("score").alias("least"))
+    within = longest * (1 - last**2 / 2) * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    short = data.filter("asks").join(grows(reached), "id", "left").filter((F.coalesce("found", F.lit(0)) < k) | (F.col("least") < within))
+    short = written(short.select("id", "v"), folder, "short")
+    if left_short := short.count():
+        done = first.join(grows(short.select(F.col("id").alias("query_id"))), "query_id", "left_anti")
+        first = done.unionByName(ranked(short, left_short, True))
+    return first.select("query_id", "rank", F.col("id").alias(key), "score")

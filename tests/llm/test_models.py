@@ -170,6 +170,34 @@ def test_neighbour_edges(spark):
     assert neighbours.nearest_neighbours(rows, F.col("vec_id") == 99).count() == 0
 
 
+def recall_by_query(spark, vectors, queries, k=20):
+    """Shares of the true k nearest found, and numbers of rows, by query."""
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {q: set() for q in queries}
+    for r in neighbours.nearest_neighbours(rows, F.col("vec_id").isin(queries), k=k).collect():
+        found[r.query_id].add(r.vec_id)
+    recall = []
+    for q, mine in found.items():
+        inner = vectors @ vectors[q]
+        best = [i for _, i in sorted((-s, i) for i, s in enumerate(inner)) if i != q][:k]
+        recall.append(len(mine & set(best)) / len(best))
+    return np.array(recall), [len(x) for x in found.values()]
+
+
+def test_queries_outside_a_hot_group_are_not_left_short(spark):
+    rng = np.random.default_rng(5)
+    hot, others = rng.normal(size=32) + 1e-3 * rng.normal(size=(1000, 32)), rng.normal(size=(2000, 32))
+    vectors = np.concatenate([hot, others])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    recall, rows = recall_by_query(spark, vectors, list(range(0, 3000, 50)))
+    assert set(rows) == {20} and recall.min() >= 0.9
+
+
+def test_fewer_vectors_than_neighbours_give_all_of_them(spark):
+    recall, rows = recall_by_query(spark, np.random.default_rng(6).normal(size=(15, 8)), list(range(15)))
+    assert set(rows) == {14} and recall.min() == 1
+
+
 # archives
 
 

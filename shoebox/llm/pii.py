@@ -118,41 +118,62 @@ def sequence_borders(data: np.ndarray, starts: np.ndarray, offsets: np.ndarray,
     return np.append(np.flatnonzero(since % longest == 0), len(starts))
 
 
-def field_spans(model: crf.Crf, data: np.ndarray, offsets: np.ndarray, sure: float, longest: int) -> Iterator[tuple[int, int, str, int]]:
+def windows(border: np.ndarray, longest: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines over longest words in windows of so many, each with overlap words more on both sides, as far as the line
+    goes: the places of all windows, the borders between them, and whether a place is in its window's inner part."""
+    lengths = np.diff(border)
+    pieces = -(-lengths // longest)
+    line = np.repeat(np.arange(len(lengths)), pieces)
+    low = border[line] + longest * (np.arange(len(line)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    high = np.minimum(low + longest, border[line + 1])
+    begin, end = np.maximum(low - overlap, border[line]), np.minimum(high + overlap, border[line + 1])
+    cut = np.concatenate([[0], np.cumsum(end - begin)])
+    places = np.arange(cut[-1]) + np.repeat(begin - cut[:-1], end - begin)
+    inner = (places >= np.repeat(low, end - begin)) & (places < np.repeat(high, end - begin))
+    return places, cut, inner
+
+
+def decoded(scores: np.ndarray, transitions: np.ndarray, border: np.ndarray, longest: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The label of each place of the lines in border, and its probability where the label is one of MORE_KINDS."""
+    places, cut, inner = windows(border, longest, overlap)
+    if len(places) > len(scores):
+        scores = scores[places]
+    best = crf.viterbi(scores, transitions, cut)
+    label, own = np.zeros(border[-1], np.int64), np.zeros(border[-1])
+    label[places[inner]] = best[inner]
+    hit = np.unique(np.searchsorted(cut, np.flatnonzero(inner & (best >= LABELS.index(MORE_KINDS[0]))), side="right") - 1)
+    if len(hit):
+        at = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in hit])
+        chance, _ = crf.marginals(scores[at], transitions, np.concatenate([[0], np.cumsum(np.diff(cut)[hit])]))
+        mine = inner[at]
+        own[places[at[mine]]] = chance[mine, best[at[mine]]]
+    return label, own
+
+
+def field_spans(model: crf.Crf, data: np.ndarray, offsets: np.ndarray, sure: float, longest: int, overlap: int = 32) -> Iterator[tuple[int, int, str, int]]:
     """(row, start, kind, end) in code points of runs of one label, all of whose words have a probability of
-    at least sure by forward-backward."""
+    at least sure by forward-backward. Neighbours and runs go through the whole line, whatever its windows."""
     starts, ends = spans_of(SPACED_WORD[data], offsets)
     if not len(starts):
         return
     keys, first, which = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
     parts = shape_features(data, starts[first], ends[first])
-    border = sequence_borders(data, starts, offsets, longest)
-    scores = model.place_scores(parts, len(keys), which, border)
-    label = crf.viterbi(scores, model.transitions, border)
-    wanted = label >= LABELS.index(MORE_KINDS[0])
-    hit = np.unique(np.searchsorted(border, np.flatnonzero(wanted), side="right") - 1)
-    if not len(hit):
+    border = sequence_borders(data, starts, offsets, len(starts))
+    label, own = decoded(model.place_scores(parts, len(keys), which, border), model.transitions, border, longest, overlap)
+    places = np.flatnonzero(label >= LABELS.index(MORE_KINDS[0]))
+    if not len(places):
         return
-    places = np.concatenate([np.arange(border[i], border[i + 1]) for i in hit])
-    cut = np.concatenate([[0], np.cumsum(np.diff(border)[hit])])
-    chance, _ = crf.marginals(scores[places], model.transitions, cut)
-    own = chance[np.arange(len(places)), label[places]]
+    line = np.searchsorted(border, places, side="right")
+    new = np.append(True, (np.diff(places) > 1) | (np.diff(label[places]) != 0) | (np.diff(line) > 0))
     point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        at = a
-        while at < b:
-            x = label[places[at]]
-            end = at + 1
-            while end < b and label[places[end]] == x:
-                end += 1
-            if LABELS[x] in MORE_KINDS and own[at:end].min() >= sure:
-                s, e = starts[places[at]], ends[places[end - 1]]
-                while e > s + 1 and data[e - 1] in b".,;:!?)\"'":
-                    e -= 1
-                row = int(np.searchsorted(offsets, s, side="right")) - 1
-                base = point[offsets[row]]
-                yield row, int(point[s] - base), LABELS[x], int(point[e] - base)
-            at = end
+    for a, b in zip(places[new], places[np.append(new[1:], True)] + 1, strict=True):
+        if own[a:b].min() >= sure:
+            s, e = starts[a], ends[b - 1]
+            while e > s + 1 and data[e - 1] in b".,;:!?)\"'":
+                e -= 1
+            row = int(np.searchsorted(offsets, s, side="right")) - 1
+            base = point[offsets[row]]
+            yield row, int(point[s] - base), LABELS[label[a]], int(point[e] - base)
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", sure: float = 0.97, longest: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -161,6 +182,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     A null or empty text has no spans. Repeated rows each give a row; a null key is kept. Columns other
     than keep are left out. The field's spans that overlap a base span are left out; base spans always stay.
+    Lines over longest words are decoded in windows that overlap, so a span may lie anywhere in a line.
     """
     fields = [docs.schema[c] for c in dict.fromkeys([key, *keep])]
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])

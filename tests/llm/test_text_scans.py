@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,30 @@ def test_field_finds_what_patterns_cannot(spark):
     assert hits >= 0.8 * wanted and not any(s.kind in pii.MORE_KINDS for i in clean for s in found[i])
 
 
+def spans_decoded(text, longest):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return list(pii.field_spans(pii.trained(), data, np.array([0, len(data)]), 0.97, longest))
+
+
+def test_long_lines_are_decoded_as_if_uncut():
+    sentences = [" ".join(w for w, _ in s) for s in pii_seed.table(300, seed=98)]
+    line = " ".join(sentences)
+    assert len(line.split()) > 4 * 256 and "\n" not in line
+    for shift in range(0, 256, 5):
+        shifted = "so " * shift + line
+        assert spans_decoded(shifted, 256) == spans_decoded(shifted, 1 << 20)
+    plain = [w for s in pii_seed.table(300, seed=97) if all(y == "O" for _, y in s) for w, _ in s]
+    sentence, name, first = "please contact John Smith at john.12@mail1.example.com for details".split(), "John Smith", 2
+    for at in (254, 255, 256):  # the name's first word, from 0: before, across and behind the border of two windows
+        words = [*plain[: at - first], *sentence, *plain[:300]]
+        assert words[at] == "John" and len(plain) > 300
+        text = " ".join(words)
+        found = spans_decoded(text, 256)
+        assert found == spans_decoded(text, 1 << 20)
+        assert [text[a:b] for _, a, k, b in found if k == "name"] == [name]
+
+
+
 def test_masking(spark):
     rows = {r.doc_id: r.m for r in pii.find_personal_data(awkward(spark), keep=("text",)).select("doc_id", pii.masked_text("text", "spans").alias("m")).collect()}
     assert rows[5] == "Licensed under the Apache License, Version 2.0. mail <EMAIL> or <PHONE>" and rows[1] is None and rows[2] == ""

@@ -83,10 +83,13 @@ def _strings(items) -> list[set[str] | None]:
             inner: set[str] | None = {""}
             for piece in _strings(arg[2]):
                 inner = _cross(inner, piece) if inner is not None and piece is not None else None
-            if inner is None:
-                pieces.append(None)
-            else:
-                pieces.append({s * n for s in inner for n in range(arg[0], arg[1] + 1)})
+            repeated: set[str] | None = {""}
+            whole = set() if arg[0] else {""}
+            for n in range(1, arg[1] + 1):
+                repeated = _cross(repeated, inner) if repeated is not None and inner is not None else None
+                if n >= arg[0]:
+                    whole = whole | repeated if whole is not None and repeated is not None else None
+            pieces.append(whole)
         elif op in (K.MAX_REPEAT, K.MIN_REPEAT) and arg[0] >= 1:
             pieces += [*_strings(arg[2]) * arg[0], None]
         else:

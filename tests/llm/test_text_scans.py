@@ -92,6 +92,13 @@ def test_index_gives_what_full_scans_give(spark):
         assert {(s.start, s.kind, s.end) for s in r.spans} == wanted
 
 
+def test_unequal_repeats_are_found(spark):
+    rules = tuple(secrets.Rule(f"r{i}", p) for i, p in enumerate(("[ab]{2}cde", "(?:x|yz){1,2}cde", "[ab]?cdefg", "[a-z]{2}cde", "c{0}def")))
+    texts = ["abcde", "bacde", "aacde", "xyzcde", "yzxcde", "xcde", "cdefg", "bcdefg", "qrcde", "nothing", ""]
+    for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules=rules).collect():
+        assert {(s.start, s.kind, s.end) for s in r.spans} == {(m.start(), x.kind, m.end()) for x in rules for m in x.compiled().finditer(texts[r.doc_id])}
+
+
 def test_trigram_queries_are_mandatory():
     assert secrets.trigram_query(next(r for r in secrets.RULES if r.kind == "hex")) == []
     assert all(secrets.trigram_query(r) for r in secrets.RULES if r.kind != "hex")

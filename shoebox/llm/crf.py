@@ -37,20 +37,18 @@ class Crf:
         total = self.word_scores(parts, words)[which]
         for c in self.contexts:
             if c:
-                near = self.word_scores(parts, words, c)
-                if c < 0:
-                    there = np.ones(len(which), bool)
-                    there[border[:-1][border[:-1] < len(which)]] = False
-                    at = np.flatnonzero(there)
-                    total[at] += near[which[at - 1]]
-                else:
-                    there = np.ones(len(which), bool)
-                    there[border[1:][border[1:] > 0] - 1] = False
-                    at = np.flatnonzero(there)
-                    total[at] += near[which[at + 1]]
+                at = _inside(border, len(which), c)
+                total[at] += self.word_scores(parts, words, c)[which[at + c]]
         return total
 
 
+def _inside(border: np.ndarray, n: int, c: int) -> np.ndarray:
+    """The places whose c-th neighbour (before, if negative) belongs to the same sequence."""
+    lengths = np.diff(border)
+    since = np.arange(n) - np.repeat(border[:-1], lengths)
+    return np.flatnonzero(since >= -c if c < 0 else since + c < np.repeat(lengths, lengths))
+
+
 def _segment_sums(values: np.ndarray, border: np.ndarray) -> np.ndarray:
     out = np.zeros((len(border) - 1, values.shape[1]), np.float32)
     full = np.flatnonzero(border[1:] > border[:-1])
@@ -71,7 +69,7 @@ def _steps(border: np.ndarray) -> Iterator[np.ndarray]:
 def viterbi(scores: np.ndarray, transitions: np.ndarray, border: np.ndarray) -> np.ndarray:
     """The best label of each place."""
     n, k = scores.shape
-    back = np.zeros((n, k), np.int8)
+    back = np.zeros((n, k), np.int16)
     best = np.zeros(n, np.int64)
     prev, ends, steps = None, [], list(_steps(border))
     for t, at in enumerate(steps):
@@ -80,7 +78,7 @@ def viterbi(scores: np.ndarray, transitions: np.ndarray, border: np.ndarray) ->
         else:
             ends.append(prev[len(at) :].argmax(axis=1))
             prev = prev[: len(at)]
-            now, from_ = prev[:, :1] + transitions[0], np.zeros((len(at), k), np.int8)
+            now, from_ = prev[:, :1] + transitions[0], np.zeros((len(at), k), np.int16)
             for j in range(1, k):
                 other = prev[:, j : j + 1] + transitions[j]
                 better = other > now
@@ -101,41 +99,50 @@ def viterbi(scores: np.ndarray, transitions: np.ndarray, border: np.ndarray) ->
     return best
 
 
-def marginals(scores: np.ndarray, transitions: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities at each place by forward-backward, and the expected transition counts."""
+def marginals(scores: np.ndarray, transitions: np.ndarray, border: np.ndarray, moves: np.ndarray | None = None) -> np.ndarray:
+    """Label probabilities at each place by forward-backward; the expected transition counts are added to moves, if given."""
     move = np.exp(transitions - transitions.max()).astype(np.float64)
     local = np.exp((scores - scores.max(axis=1, keepdims=True)).astype(np.float64))
     ahead, steps = np.zeros_like(local), list(_steps(border))
     for t, at in enumerate(steps):
         now = local[at] if t == 0 else (ahead[steps[t - 1][: len(at)]] @ move) * local[at]
         ahead[at] = now / np.maximum(now.sum(axis=1, keepdims=True), 1e-300)
-    behind, pairs = np.ones_like(local), np.zeros_like(move)
+    behind = np.ones_like(local)
     for t in range(len(steps) - 2, -1, -1):
         after = steps[t + 1]
         at = steps[t][: len(after)]
         right = local[after] * behind[after]
-        joint = ahead[at][:, :, None] * move * right[:, None, :]
-        pairs += (joint / np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
         left = right @ move.T
+        if moves is not None:
+            mine = ahead[at]
+            moves += ((mine / np.maximum((mine * left).sum(axis=1, keepdims=True), 1e-300)).T @ right) * move
         behind[at] = left / np.maximum(left.sum(axis=1, keepdims=True), 1e-300)
     out = ahead * behind
-    return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-300), pairs
-
-
-def train(labels: list[str], features: Callable[[list[bytes]], Features], sequences: list[tuple[list[bytes], list[str]]], buckets: int, contexts: tuple[int, ...] = (0,), rounds: int = 60, rate: float = 0.15, decay: float = 1e-3) -> Crf:
-    """Maximum likelihood with an L2 penalty by Adam over the whole (small) table. Deterministic."""
-    words = sorted({w for s, _ in sequences for w in s})
-    number, code = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(labels)}
-    which = np.array([number[w] for s, _ in sequences for w in s])
-    gold = np.array([code[x] for _, y in sequences for x in y])
-    border = np.concatenate([[0], np.cumsum([len(s) for s, _ in sequences])])
-    inner = np.ones(len(gold), bool)
-    inner[border[:-1]] = False
-    seen = np.zeros((len(labels), len(labels)))
-    np.add.at(seen, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
-    parts, n = features(words), len(gold)
-    model = Crf(labels, buckets, contexts, {c: np.zeros((buckets, len(labels)), np.float32) for c in contexts}, np.zeros((len(labels), len(labels)), np.float32))
-    owner = [np.repeat(np.arange(len(words)), np.diff(b)) for _, b in parts]
+    return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-300)
+
+
+class _Batch:
+    """Sequences as arrays: distinct words and their features, the word and label of each place, borders."""
+
+    def __init__(self, sequences: list[tuple[list[bytes], list[str]]], code: dict[str, int], features: Callable[[list[bytes]], Features]):
+        words = sorted({w for s, _ in sequences for w in s})
+        number = {w: i for i, w in enumerate(words)}
+        self.words, self.parts = len(words), features(words)
+        self.owner = [np.repeat(np.arange(len(words)), np.diff(b)) for _, b in self.parts]
+        self.which = np.array([number[w] for s, _ in sequences for w in s])
+        self.gold = np.array([code[x] for _, y in sequences for x in y])
+        self.border = np.concatenate([[0], np.cumsum([len(s) for s, _ in sequences])])
+        after = _inside(self.border, len(self.gold), -1)
+        self.seen = np.zeros((len(code), len(code)))
+        np.add.at(self.seen, (self.gold[after - 1], self.gold[after]), 1)
+
+
+def train(labels: list[str], features: Callable[[list[bytes]], Features], sequences: list[tuple[list[bytes], list[str]]], buckets: int, contexts: tuple[int, ...] = (0,), rounds: int = 60, rate: float = 0.15, decay: float = 1e-3, batches: int = 1) -> Crf:
+    """Maximum likelihood with an L2 penalty by Adam; each round takes one of the batches that the (small) table
+    is dealt to, in turn. Deterministic."""
+    code, k = {x: i for i, x in enumerate(labels)}, len(labels)
+    dealt = [_Batch(sequences[i::batches], code, features) for i in range(min(batches, len(sequences)))]
+    model = Crf(labels, buckets, contexts, {c: np.zeros((buckets, k), np.float32) for c in contexts}, np.zeros((k, k), np.float32))
     state: dict = {}
 
     def adam(name, value, slope, t):
@@ -144,24 +151,18 @@ def train(labels: list[str], features: Callable[[list[bytes]], Features], sequen
         state[name] = m, v
         value -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
 
-    truth = np.zeros((n, len(labels)))
-    truth[np.arange(n), gold] = 1
     for t in range(1, rounds + 1):
-        probability, pairs = marginals(model.place_scores(parts, len(words), which, border), model.transitions, border)
-        error = probability - truth
+        b = dealt[t % len(dealt)]
+        n, pairs = len(b.gold), np.zeros((k, k))
+        error = marginals(model.place_scores(b.parts, b.words, b.which, b.border), model.transitions, b.border, pairs)
+        error[np.arange(n), b.gold] -= 1
         for c in contexts:
-            at = np.arange(n)
-            if c < 0:
-                at = at[inner]
-            elif c > 0:
-                at = at[np.append(inner[1:], False)]
-            by_word = np.zeros((len(words), len(labels)))
-            for k in range(len(labels)):
-                by_word[:, k] = np.bincount(which[at + c], error[at, k], len(words))
+            at = _inside(b.border, n, c)
+            by_word = np.stack([np.bincount(b.which[at + c], error[at, j], b.words) for j in range(k)], axis=1)
             slope = decay * model.weights[c]
-            for (ids, _), who in zip(parts, owner, strict=True):
-                for k in range(len(labels)):
-                    slope[:, k] += np.bincount(ids, by_word[who, k], buckets) / n
+            for (ids, _), who in zip(b.parts, b.owner, strict=True):
+                for j in range(k):
+                    slope[:, j] += np.bincount(ids, by_word[who, j], buckets) / n
             adam(c, model.weights[c], slope, t)
-        adam("t", model.transitions, (pairs - seen) / n + decay * model.transitions, t)
+        adam("t", model.transitions, (pairs - b.seen) / n + decay * model.transitions, t)
     return model

@@ -8,7 +8,8 @@ word. A text's language is the label with the largest sum of marginals by forwar
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +30,15 @@ BUCKETS = 1 << 16
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """rows bounds the training texts of each language (those with the smallest hash), pieces and piece what
-    is taken of each; lexicon is the number of frequent words listed for each language. It is the only
-    sample here: every text is labelled whole. longest: a longer line is cut into sequences of so many words."""
+    """rows bounds the training texts of each language (those with the smallest hash), total those of all languages
+    together (many languages get fewer rows each, but one at least), max_bytes the length of a text that is learnt
+    from; pieces and piece what is taken of each; lexicon is the number of frequent words listed for each
+    language. It is the only sample here: every language is learnt, and every text is labelled whole.
+    longest: a longer line is cut into sequences of so many words."""
 
     rows: int = 150
-    languages: int = 200
+    total: int = 12_000
+    max_bytes: int = 1 << 15
     pieces: int = 4
     piece: int = 25
     lexicon: int = 400
@@ -54,6 +58,11 @@ class LanguageModel:
         return word_features(data, starts, ends, self.lexicon, self.listed)
 
 
+def language_set(numbers: list[int]) -> int:
+    """A number of 62 bits for a set of languages, however many there are."""
+    return int.from_bytes(hashlib.blake2b(",".join(map(str, sorted(numbers))).encode(), digest_size=8).digest(), "big") >> 2
+
+
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: np.ndarray, listed: np.ndarray) -> crf.Features:
     """Affixes of one to four bytes and the lexicon entry as one part, bigrams and trigrams as others."""
     own = run_hashes(data, starts, ends)
@@ -90,16 +99,16 @@ def train(rows: list[tuple[str, str]], cfg: LanguageConfig = LanguageConfig()) -
     if not by_language:
         return None
     labels, rng = sorted(by_language), np.random.default_rng(cfg.seed)
-    listing: dict[bytes, int] = Counter()
+    listing: dict[bytes, list[int]] = defaultdict(list)
     for i, lang in enumerate(labels):
         common = Counter(w for words in by_language[lang] for w in words)
         for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: cfg.lexicon]:
-            listing[w] += 1 << (i % 60)
+            listing[w].append(i)
     names = sorted(listing)
     ends = np.cumsum([len(w) for w in names])
     hashes = run_hashes(np.frombuffer(b"".join(names), np.uint8), ends - [len(w) for w in names], ends)
     order = np.argsort(hashes)
-    lexicon, listed = hashes[order], np.array([listing[w] for w in names], np.uint64)[order]
+    lexicon, listed = hashes[order], np.array([language_set(listing[w]) for w in names], np.uint64)[order]
     pieces = []
     for lang in labels:
         for words in by_language[lang]:
@@ -127,34 +136,36 @@ def label_words(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.
     keys, first, which = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
     border = sequence_borders(data, starts, offsets, model.config.longest)
     scores = model.field.place_scores(model.features(data, starts[first], ends[first]), len(keys), which, border)
-    chance, _ = crf.marginals(scores, model.field.transitions, border)
+    chance = crf.marginals(scores, model.field.transitions, border)
     return starts, ends, np.searchsorted(starts, offsets), chance
 
 
 def training_rows(docs: DataFrame, may_learn: Column, text: str, lang: str, key: str, cfg: LanguageConfig) -> list[tuple[str, str]]:
-    """At most cfg.rows texts of each of the cfg.languages commonest languages: one pass counts, one takes the
-    rows whose hash lies below a limit for about 1.5 times as many, of which the smallest stay."""
-    known = docs.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    common = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(cfg.languages).collect()
+    """At most cfg.rows texts of each language: one pass counts, one takes the rows whose hash lies below a limit
+    for about 1.5 times as many, of which the smallest stay. Copies of a text under one key count once, so a
+    hot key brings one row; only languages, and a bounded number of bounded texts, reach the driver."""
+    known = docs.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= cfg.max_bytes))
+    common = known.groupBy(F.col(lang).alias("lang")).count().orderBy("lang").collect()
     if not common:
         return []
-    limit = F.element_at(F.create_map(*(F.lit(x) for r in common for x in (r[lang], min(1.0, (1.5 * cfg.rows + 20) / r["count"])))), F.col(lang))
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    rows = known.filter(place < F.coalesce(limit, F.lit(0.0)) * (1 << 30)).select(F.col(lang).alias("lang"), text, place.alias("place"), key).collect()
-    out = []
-    for r in common:
-        mine = sorted((x for x in rows if x["lang"] == r[lang]), key=lambda x: (x["place"], str(x[key])))
-        out += [(x[text], r[lang]) for x in mine[: cfg.rows]]
-    return out
+    each = max(1, min(cfg.rows, cfg.total // len(common)))
+    limit = F.element_at(F.create_map(*(F.lit(x) for r in common for x in (r["lang"], min(1.0, (1.5 * each + 20) / r["count"])))), F.col(lang))
+    place = F.pmod(F.xxhash64(key, text), F.lit(1 << 30))
+    near = known.filter(place < limit * (1 << 30)).groupBy(F.col(lang).alias("lang"), place.alias("place")).agg(F.min(text).alias("text"))
+    mine: dict[str, list] = defaultdict(list)
+    for r in sorted(near.collect(), key=lambda r: (r["lang"], r["place"])):
+        mine[r["lang"]].append((r["text"], r["lang"]))
+    return [x for name in sorted(mine) for x in mine[name][:each]]
 
 
 def identify_languages(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", cfg: LanguageConfig = LanguageConfig()) -> DataFrame:
     """Rows (key, lang_pred, score, word_langs map<string, long>) for each row: the language of the whole text, its
     mean marginal over the words, and how many words are labelled with each language.
 
-    Learns from text and lang of the rows for which may_learn, an expression over key, holds. A text that is
-    null or has no letter, and every text if nothing could be learnt, is `und` with score 0. Ties go to the
-    first language by name. Repeated rows each give a row; other columns are left out.
+    Learns from text and lang of the rows for which may_learn, an expression over key, holds, every language that
+    they name. A text that is null or has no letter, and every text if nothing could be learnt, is `und` with
+    score 0. Ties go to the first language by name. Repeated rows each give a row (and are learnt from once); a
+    null key is kept; other columns are left out. An empty table gives no rows.
     """
     model = train(training_rows(docs, may_learn, text, lang, key, cfg), cfg)
     sent = docs.sparkSession.sparkContext.broadcast(model)

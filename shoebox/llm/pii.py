@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf, pii_seed
-from .common import ASCII_LOWER, SPACED_WORD, mixed, run_hashes, spans_of, text_slices, utf8
+from .common import ASCII_LOWER, SPACED_WORD, byte_class, mixed, run_hashes, spans_of, text_slices, utf8
 
 # The base patterns, in the order in which spans with equal starts are listed.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -36,6 +36,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 SHAPE = np.frombuffer(bytes(88 if 65 <= i <= 90 else 120 if 97 <= i <= 122 or i >= 128 else 100 if 48 <= i <= 57 else i for i in range(256)), np.uint8)
 
 
+#: No name has more words than this, or one of these bytes.
+NAME_WORDS, NO_NAME = 6, byte_class(lambda i: chr(i) in "0123456789@=_")
+CLOSING = np.zeros(256, bool)
+CLOSING[list(b".,;:!?)\"'")] = True
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -75,9 +81,12 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def shape_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> crf.Features:
-    """Eight hashed features of each word: itself, its shape whole, collapsed, at the first and last four
-    bytes, its last three bytes, its length and its count of digits."""
+    """Ten hashed features of each word: without a punctuation mark at its end the word, its shape whole, collapsed,
+    at the first and last four bytes, its last three bytes, its length and its count of digits; that mark; and the word with it."""
     low, shape = np.frombuffer(ASCII_LOWER, np.uint8)[data], SHAPE[data]
+    marked = CLOSING[data[ends - 1]] & (ends - starts > 1)
+    own = run_hashes(low, starts, ends)
+    mark, ends = np.where(marked, data[ends - 1], 0).astype(np.uint64), ends - marked
     lengths = ends - starts
     bytes_at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
     row = np.repeat(np.arange(len(starts)), lengths)
@@ -90,7 +99,7 @@ def shape_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> cr
     columns = [
         run_hashes(low, starts, ends), run_hashes(shape, starts, ends), run_hashes(short, short_ends - counts, short_ends),
         run_hashes(shape, starts, np.minimum(ends, starts + 4)), run_hashes(shape, np.maximum(starts, ends - 4), ends),
-        run_hashes(low, np.maximum(starts, ends - 3), ends), np.minimum(lengths, 24).astype(np.uint64), np.minimum(digits, 20).astype(np.uint64),
+        run_hashes(low, np.maximum(starts, ends - 3), ends), np.minimum(lengths, 24).astype(np.uint64), np.minimum(digits, 20).astype(np.uint64), mark, own,
     ]
     ids = np.stack([mixed(c + np.uint64(i * 1_000_003)) % np.uint64(BUCKETS) for i, c in enumerate(columns)], axis=1).astype(np.int64)
     return [(ids.ravel(), np.arange(len(starts) + 1) * ids.shape[1])]
@@ -102,9 +111,9 @@ def _word_list_features(words: list[bytes]) -> crf.Features:
 
 
 @lru_cache(maxsize=2)
-def trained(rows: int = 1500) -> crf.Crf:
+def trained(rows: int = 6000) -> crf.Crf:
     sequences = [([w.encode() for w, _ in s], [y if y == "O" else y[2:] for _, y in s]) for s in pii_seed.table(rows)]
-    return crf.train(LABELS, _word_list_features, sequences, BUCKETS, contexts=(-1, 0, 1), rounds=100, decay=3e-5)
+    return crf.train(LABELS, _word_list_features, sequences, BUCKETS, contexts=(-2, -1, 0, 1, 2), rounds=180, rate=0.1, decay=1e-5, batches=8)
 
 
 def sequence_borders(data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, longest: int) -> np.ndarray:
@@ -144,7 +153,7 @@ def decoded(scores: np.ndarray, transitions: np.ndarray, border: np.ndarray, lon
     hit = np.unique(np.searchsorted(cut, np.flatnonzero(inner & (best >= LABELS.index(MORE_KINDS[0]))), side="right") - 1)
     if len(hit):
         at = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in hit])
-        chance, _ = crf.marginals(scores[at], transitions, np.concatenate([[0], np.cumsum(np.diff(cut)[hit])]))
+        chance = crf.marginals(scores[at], transitions, np.concatenate([[0], np.cumsum(np.diff(cut)[hit])]))
         mine = inner[at]
         own[places[at[mine]]] = chance[mine, best[at[mine]]]
     return label, own
@@ -169,19 +178,23 @@ def field_spans(model: crf.Crf, data: np.ndarray, offsets: np.ndarray, sure: flo
     for a, b in zip(places[new], places[np.append(new[1:], True)] + 1, strict=True):
         if own[a:b].min() >= sure:
             s, e = starts[a], ends[b - 1]
-            while e > s + 1 and data[e - 1] in b".,;:!?)\"'":
+            if LABELS[label[a]] == "name" and (b - a > NAME_WORDS or NO_NAME[data[s:e]].any()):
+                continue
+            while e > s + 1 and CLOSING[data[e - 1]]:
                 e -= 1
+            while s < e - 1 and data[s] in b"(\"'":
+                s += 1
             row = int(np.searchsorted(offsets, s, side="right")) - 1
             base = point[offsets[row]]
             yield row, int(point[s] - base), LABELS[label[a]], int(point[e] - base)
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", sure: float = 0.97, longest: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", sure: float = 0.75, longest: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, keep..., spans array<struct<kind, start, end>>) for each row: personal data in the whole
     text by start, then by kind in the order of BASE_KINDS and MORE_KINDS, in code points, end exclusive.
 
-    A null or empty text has no spans. Repeated rows each give a row; a null key is kept. Columns other
-    than keep are left out. The field's spans that overlap a base span are left out; base spans always stay.
+    A null or empty text has no spans. Repeated rows each give a row; a null key is kept; an empty table gives no
+    rows. Columns other than keep are left out. The field's spans that overlap a base span are left out; base spans always stay.
     Lines over longest words are decoded in windows that overlap, so a span may lie anywhere in a line.
     """
     fields = [docs.schema[c] for c in dict.fromkeys([key, *keep])]

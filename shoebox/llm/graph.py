@@ -26,6 +26,8 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
         after = written(step.join(parent, step.component == parent.up).select("node", F.col("higher").alias("component"), "was"), folder, f"cc-{n}b")
         changed = after.filter("component <> was").limit(1).count()
         removed(spark, f"{folder}/cc-{n}a")
+        removed(spark, f"{folder}/cc-0" if n == 1 else f"{folder}/cc-{n - 1}b")
         labels = after.drop("was")
         if not changed:
+            removed(spark, f"{folder}/cc-edges")
             return labels

@@ -2,15 +2,17 @@
 
 1. One pass over the texts gives each document a digest of its shingle set, band keys over full
    minima, and the packed low bits of the minima.
-2. Equal sets form a class, whose smallest key represents it: copies are never paired.
-3. Representatives that share a band key are candidates. Each bucket first compares its members with
-   one pivot (the member with most company, so usually the original of a group of edited copies);
-   pairs whose collision-corrected similarity, from bit counts of the packed signatures, is far
-   below the threshold go, the others are confirmed on the full shingle sets.
-4. Buckets that the confirmed links leave in several components are gone through exhaustively in units
-   of two blocks of bounded size: by bit counts first; members with a possible partner then meet again
-   with their full sets, and only links between components leave the task. So no pair of a shared
-   bucket is lost, and no group's pairs are spelt out.
+2. Equal sets form a class: a node of the graph, numbered when the classes are written. Copies are never paired.
+   A key that occurs with several texts links the classes of all of them, whatever the order of rows.
+3. Nodes that share a band key are candidates. Each bucket first compares its members with one pivot (the
+   member with most company, so usually the original of a group of edited copies); pairs whose
+   collision-corrected similarity, from bit counts of the packed signatures, is far below the threshold
+   go, the others are confirmed on the full shingle sets: a pivot's set is read once for a slice of its partners.
+4. Buckets that the confirmed links leave in several components are gone through exhaustively. Members of a bucket's
+   largest component never meet each other; blocks of them meet blocks of the other members, and those each other,
+   in units bounded in rows and in shingles: by bit counts first; members with a possible partner then
+   meet again with their full sets, and only links between components leave the task. So no pair of a
+   shared bucket is lost, and no group's pairs are spelt out.
 5. The components of all links, brought back from classes to documents.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, SPACED_WORD, STEP, mixed, run_hashes, shared_dir, spans_of, text_slices, utf8, written
+from .common import ASCII_LOWER, SPACED_WORD, STEP, mixed, removed, run_hashes, shared_dir, spans_of, text_slices, utf8, written
 from .graph import connected_components
 
 NIBBLES = 16
@@ -38,14 +40,17 @@ NIBBLES = 16
 class MinHash:
     """shingle words make a shingle; a link has 100 * |A & B| >= percent * |A | B|. bands * rows minima:
     a pair at 80 % is missed by every band with probability (1 - 0.8 ** rows) ** bands, 3e-6 here.
-    deviations: how many standard deviations below the threshold a bit-count estimate may lie."""
+    deviations: how many standard deviations below the threshold a bit-count estimate may lie. A block holds about
+    block rows and block_shingles shingles at most (one document, if it is longer); slice_rows partners share a copy of their pivot."""
 
     shingle: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 5
     deviations: float = 4.5
-    block: int = 1024
+    block: int = 512
+    block_shingles: int = 1 << 20
+    slice_rows: int = 256
 
     @property
     def hashes(self) -> int:
@@ -129,21 +134,33 @@ def _sketches(docs: DataFrame, text: str, key: str, cfg: MinHash) -> DataFrame:
                 keys, packed = signatures([sets[i] for i in full], cfg) if full else (np.zeros((0, 1), np.int64), np.zeros((0, 1), np.int64))
                 bands, low, digest = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 for r, i in enumerate(full):
-                    bands[i], low[i], digest[i] = keys[r], packed[r], hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                    bands[i], low[i], digest[i] = keys[r], packed[r], _digest(sets[i])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, schema)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, text: str, key: str, cfg: MinHash) -> DataFrame:
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, text: str, key: str, cfg: MinHash) -> DataFrame:
+    """Rows (node, shingles) of wanted (rep, digest, node): the set of the document rep that has the digest. A
+    repeated row gives one row a task, which later steps bear."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for part in text_slices(batch, text):
-                sets = [s.view(np.int64) for s in shingle_sets(part, text, cfg.shingle)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+                nodes, digests, kept = part.column("node").to_pylist(), part.column("digest").to_pylist(), []
+                for node, digest, one in zip(nodes, digests, shingle_sets(part, text, cfg.shingle), strict=True):
+                    if node not in seen and _digest(one) == digest:
+                        seen.add(node)
+                        kept.append((node, one.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    chosen = docs.select(F.col(key).cast("long").alias("id"), text).join(grows(ids), "id", "left_semi")
-    return chosen.mapInArrow(run, "id long, shingles array<long>")
+    chosen = docs.select(F.col(key).cast("long").alias("rep"), F.col(text)).join(grows(wanted), "rep")
+    return chosen.select(text, "digest", "node").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _equal_low_bits(x: str, y: str, cfg: MinHash) -> F.Column:
@@ -159,11 +176,31 @@ def _equal_low_bits(x: str, y: str, cfg: MinHash) -> F.Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, cfg: MinHash) -> DataFrame:
-    """The pairs (a, b) that are links on full shingle sets."""
-    left, right = (sets.select(F.col("id").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "ab")
-    joined = pairs.join(grows(left), "a").join(grows(right), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return joined.filter(100 * shared >= cfg.percent * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+    """The pairs (hub, node) that are links on full shingle sets, as (a, b). A hub's partners are dealt to slices
+    of bounded size; each slice reads the hub's set once, then its partners one after the other."""
+    many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / cfg.slice_rows).alias("slices"))
+    dealt = pairs.join(grows(many), "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("slices")).alias("slice"))
+    hubs = dealt.select("hub", "slice").distinct().select("hub", "slice", F.lit(0).alias("turn"), F.col("hub").alias("node"))
+    rows = dealt.select("hub", "slice", F.lit(1).alias("turn"), "node").unionByName(hubs).join(grows(sets), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, base = None, np.zeros(0, np.int64)
+        for batch in batches:
+            found = []
+            lists = batch.column("shingles")
+            flat, border = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            for k, (hub, part, turn, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("hub", "slice", "turn", "node")), strict=True)):
+                mine = flat[border[k] : border[k + 1]]
+                if turn == 0:
+                    here, base = (hub, part), np.sort(mine)
+                elif here == (hub, part):
+                    at = np.minimum(np.searchsorted(base, mine), len(base) - 1)
+                    shared = int((base[at] == mine).sum())
+                    if 100 * shared >= cfg.percent * (len(base) + len(mine) - shared):
+                        found.append((hub, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return rows.repartition("hub", "slice").sortWithinPartitions("hub", "slice", "turn").mapInArrow(run, "a long, b long")
 
 
 def _runs(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
@@ -191,10 +228,8 @@ def _possible(unit: pd.DataFrame, cfg: MinHash) -> Iterator[tuple[int, np.ndarra
     packed, bands = np.stack(unit["packed"].to_numpy()).view(np.uint64), np.stack(unit["bands"].to_numpy())
     order = np.arange(len(unit))
     for x in order:
-        if own[x] not in (i, j):
-            continue
-        other = (own == (j if own[x] == i else i)) & (order > x) & (component != component[x])
-        y = np.flatnonzero(other & (100 * np.minimum(n, n[x]) >= cfg.percent * np.maximum(n, n[x])))
+        meets = (own == j) | (own == i) if i == -1 and own[x] == j else own == (i if own[x] == j else j)
+        y = np.flatnonzero(meets & (order > x) & (component != component[x]) & (100 * np.minimum(n, n[x]) >= cfg.percent * np.maximum(n, n[x])))
         if not len(y):
             continue
         d = packed[y] ^ packed[x]
@@ -206,13 +241,26 @@ def _possible(unit: pd.DataFrame, cfg: MinHash) -> Iterator[tuple[int, np.ndarra
             yield int(x), y
 
 
+def _blocks(rows: DataFrame, cfg: MinHash) -> DataFrame:
+    """For each bucket of rows: major, the component with most members, and how many blocks its members and the others make."""
+    by_component = rows.groupBy("bucket", "component").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
+    need = lambda members, words: F.ceil(F.greatest(members / cfg.block, words / cfg.block_shingles)).cast("int")
+    top = F.max(F.struct("members", (-F.col("component")).alias("less"), "words"))
+    whole = by_component.groupBy("bucket").agg(top.alias("top"), F.sum("members").alias("members"), F.sum("words").alias("words"))
+    return whole.select("bucket", (-F.col("top.less")).alias("major"), need(F.col("top.members"), F.col("top.words")).alias("majors"), need(F.col("members") - F.col("top.members"), F.col("words") - F.col("top.words")).alias("minors"))
+
+
 def _units(rows: DataFrame, cfg: MinHash) -> DataFrame:
-    """The rows (bucket, members, id, component, n, packed, bands) of open buckets that have a possible partner,
-    by unit. A bucket over cfg.block members is cut into blocks, and each pair of blocks is a unit, so no
-    task holds more than two blocks at once."""
-    cut = rows.withColumn("blocks", F.ceil(F.col("members") / cfg.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "packed", "bands")
+    """The rows (bucket, node, component, n, packed, bands) of open buckets that have a possible partner, by unit
+    (i, j). Blocks of the major component are numbered -1, -2, ..., those of the other members 0, 1, ...; a unit is
+    two blocks of which at most one is major, so a task holds two blocks at once. Minor members of one block meet in
+    its unit with block -1. A major row is copied for each minor block, a minor one for all blocks."""
+    cut = rows.join(grows(_blocks(rows, cfg)), "bucket").withColumn("large", F.col("component") == F.col("major"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    cut = cut.withColumn("own", F.when(F.col("large"), -1 - block).otherwise(block))
+    others = F.filter(F.sequence(-F.col("majors"), F.col("minors") - 1), lambda o: F.when(F.col("large"), o >= 0).otherwise(o != F.col("own")))
+    cut = cut.withColumn("other", F.explode(others))
+    units = cut.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "packed", "bands")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for unit in _runs(frames, UNIT):
@@ -232,7 +280,7 @@ def _unit_links(units: DataFrame, sets: DataFrame, cfg: MinHash) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for unit in _runs(frames, UNIT):
-            ids, component, n = (unit[c].to_numpy() for c in ("id", "component", "n"))
+            nodes, component, n = (unit[c].to_numpy() for c in ("node", "component", "n"))
             sizes = np.array([len(s) for s in unit["shingles"]])
             begin = np.concatenate([[0], np.cumsum(sizes)])
             known, number = np.unique(np.concatenate(unit["shingles"].to_numpy()), return_inverse=True)
@@ -248,58 +296,69 @@ def _unit_links(units: DataFrame, sets: DataFrame, cfg: MinHash) -> DataFrame:
                 flag[number[begin[x] : begin[x + 1]]] = False
                 for k in y[100 * shared >= cfg.percent * (n[x] + n[y] - shared)]:
                     if label[k] != label[x]:
-                        found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+                        found.append((nodes[x], nodes[k]))
                         label[label == label[k]] = label[x]
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return units.join(grows(sets), "id").repartition(*UNIT).sortWithinPartitions(*UNIT, "id").mapInPandas(run, "a long, b long")
+    return units.join(grows(sets), "node").repartition(*UNIT).sortWithinPartitions(*UNIT, "node").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cfg: MinHash = MinHash()) -> DataFrame:
-    """Rows (key as long, n_shingles, component_id, kept) for each document; component_id is the smallest
+    """Rows (key as long, n_shingles, component_id, kept) for each row: component_id is the smallest
     key reachable over links, kept marks the document that has it.
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased; a text with fewer words
     than a shingle is one shingle. Texts without words (null, empty, blank) link with nothing: their own
-    key is their component, and they are kept. Rows that share a key count as one document. A row whose
-    key is null has a null component and is kept. Other columns are left out. An empty table gives no rows.
+    key is their component. Rows that share a key count as one document, which
+    has the links of all its texts that have words; each row has the n_shingles of its own text. A row whose key is null has a null
+    component and is kept. Other columns are left out. An empty table gives no rows.
     """
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     sketches = written(_sketches(docs, text, key, cfg), folder, "sketches")
-    classes = written(sketches.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), folder, "classes")
-    chosen = classes.select("digest", F.col("rep").alias("id"))
-    reps = written(sketches.join(grows(chosen), ["digest", "id"], "left_semi").select("id", "n", "bands", "packed"), folder, "reps")
-
-    members = reps.select("id", F.explode("bands").alias("bucket"))
+    full = sketches.filter("digest is not null and id is not null")
+    grouped = full.groupBy("digest").agg(F.min("id").alias("rep"), F.first(F.struct("n", "bands", "packed")).alias("sketch"))  # equal digests have equal sketches
+    reps = written(grouped.select(F.monotonically_increasing_id().alias("node"), "rep", "digest", "sketch.n", "sketch.bands", "sketch.packed"), folder, "reps")
+
+    # keys with several texts
+    several = full.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("id")
+    several = full.select("id", "digest").join(grows(several), "id", "left_semi").distinct().join(grows(reps.select("digest", "node")), "digest")
+    several = written(several.select("id", "node"), folder, "several")
+    least = several.groupBy("id").agg(F.min("node").alias("a"))
+    same_key = several.join(grows(least), "id").filter("a <> node").select("a", F.col("node").alias("b"))
+
+    members = reps.select("node", F.explode("bands").alias("bucket"))
     crowded = written(members.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), folder, "crowded")
     shared = written(members.join(grows(crowded), "bucket"), folder, "shared")
-    company = written(shared.groupBy("id").agg(F.sum("members").alias("company")), folder, "company")
-    best = F.max(F.struct("company", (-F.col("id")).alias("less"))).alias("best")
-    pivots = written(shared.join(grows(company), "id").groupBy("bucket").agg(best).select("bucket", (-F.col("best.less")).alias("pivot")), folder, "pivots")
-    first = shared.join(grows(pivots), "bucket").filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-    pairs = written(first.distinct(), folder, "pairs")
-
-    low = {n: reps.select(F.col("id").alias(n), F.col("packed").alias(f"low_{n}")) for n in "ab"}
-    likely = pairs.join(grows(low["a"]), "a").join(grows(low["b"]), "b").filter(_equal_low_bits("low_a", "low_b", cfg) >= cfg.least_equal).select("a", "b")
-    likely = written(likely, folder, "likely")
-    sets = written(_sets_of(docs, company.select("id"), text, key, cfg).dropDuplicates(["id"]), folder, "sets")
-    links = written(_confirmed(likely, sets, cfg), folder, "links")
+    company = written(shared.groupBy("node").agg(F.sum("members").alias("company")), folder, "company")
+    best = F.max(F.struct("company", (-F.col("node")).alias("less"))).alias("best")
+    pivots = written(shared.join(grows(company), "node").groupBy("bucket").agg(best).select("bucket", (-F.col("best.less")).alias("hub")), folder, "pivots")
+    pairs = written(shared.join(grows(pivots), "bucket").filter("node <> hub").select("hub", "node").distinct(), folder, "pairs")
+
+    low = reps.select("node", "packed")
+    likely = pairs.join(grows(low.select(F.col("node").alias("hub"), F.col("packed").alias("low_a"))), "hub").join(grows(low.select("node", F.col("packed").alias("low_b"))), "node")
+    likely = written(likely.filter(_equal_low_bits("low_a", "low_b", cfg) >= cfg.least_equal).select("hub", "node"), folder, "likely")
+    wanted = reps.select("node", "rep", "digest").join(grows(company.select("node")), "node", "left_semi")
+    sets = written(_sets_of(docs, wanted, text, key, cfg), folder, "sets")
+    links = written(_confirmed(likely, sets, cfg).unionByName(same_key), folder, "links")
     groups = connected_components(links, f"{folder}/first")
 
     # buckets that still hold several components
-    labelled = shared.join(grows(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = shared.select("node", "bucket").join(grows(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = written(labelled, folder, "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     open_ = written(open_, folder, "open")
-    rows = written(labelled.join(grows(open_), "bucket").join(grows(reps), "id"), folder, "rows")
+    rows = written(labelled.join(grows(open_), "bucket").join(grows(reps.select("node", "n", "packed", "bands")), "node"), folder, "rows")
     units = written(_units(rows, cfg), folder, "units")
     found = written(_unit_links(units, sets, cfg), folder, "links-more")
     if found.limit(1).count():
         groups = connected_components(links.union(found), f"{folder}/all")
 
-    by_class = classes.join(grows(groups), classes.rep == groups.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    by_class = written(by_class, folder, "components")
+    smallest = groups.join(grows(reps.select("node", "rep")), "node").groupBy("component").agg(F.min("rep").alias("smallest"))
+    named = groups.join(grows(smallest), "component").select("node", "smallest")
+    by_class = written(reps.select("node", "rep", "digest").join(grows(named), "node", "left").select("digest", F.coalesce("smallest", "rep").alias("component")), folder, "components")
+    for name in ("several", "crowded", "shared", "company", "pivots", "pairs", "likely", "sets", "links", "first", "labelled", "open", "rows", "units", "links-more", "all", "reps"):
+        removed(spark, f"{folder}/{name}")
     out = sketches.select("id", "n", "digest").join(grows(by_class), "digest", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))

@@ -28,7 +28,7 @@ def test_viterbi_and_marginals_against_enumeration():
     rng = np.random.default_rng(2)
     border = np.array([0, 4, 5, 9])
     scores, moves = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
-    best, (chance, _) = crf.viterbi(scores, moves, border), crf.marginals(scores, moves, border)
+    best, chance = crf.viterbi(scores, moves, border), crf.marginals(scores, moves, border)
     for a, b in itertools.pairwise(border):
         paths = list(itertools.product(range(3), repeat=b - a))
         value = np.array([sum(scores[a + i, y] for i, y in enumerate(p)) + sum(moves[x, y] for x, y in itertools.pairwise(p)) for p in paths])
@@ -271,11 +271,29 @@ def test_near_duplicates_against_all_pairs(spark):
     texts += [(20_000, None), (20_001, ""), (20_002, " \t "), (20_003, "solo"), (20_004, "SOLO"), (20_005, "a b"), (20_006, "a b")]
     rng.shuffle(texts)
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
-    for k in (2, 5):
-        for cfg in (neardup.MinHash(shingle=k), neardup.MinHash(shingle=k, block=3)):
-            wanted = components(texts, k)
-            for r in neardup.near_duplicates(docs, cfg=cfg).collect():
-                assert (r.n_shingles, r.component_id) == wanted[r.doc_id] and r.kept == (r.component_id == r.doc_id)
+    for cfg in (neardup.MinHash(shingle=2, block=3, slice_rows=2), neardup.MinHash(), neardup.MinHash(block_shingles=150)):
+        wanted = components(texts, cfg.shingle)
+        for r in neardup.near_duplicates(docs, cfg=cfg).collect():
+            assert (r.n_shingles, r.component_id) == wanted[r.doc_id] and r.kept == (r.component_id == r.doc_id)
+
+
+def test_repeated_keys_link_all_their_texts(spark):
+    rng = random.Random(31)
+    one, two = ([rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(60)] for _ in range(2))
+    near = lambda words: [*words[:-1], "changed"]
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(near(one))), (3, " ".join(near(two))), (4, "else"), (4, ""), (5, " ".join(one)), (5, " ".join(one)), (7, "zz yy xx"), (7, "else")]
+    for order in (rows, rows[::-1]):
+        for shift in (0, -9):  # keys as they are, and so that the smallest key is another text's
+            docs = spark.createDataFrame([(i if not shift else 10 - i, t) for i, t in order], "doc_id long, text string").repartition(3)
+            found = {(r.doc_id if not shift else 10 - r.doc_id): r.component_id for r in neardup.near_duplicates(docs).filter("n_shingles > 0").collect()}
+            first = {i: (min if not shift else max)(x for x in group) for group in ((1, 2, 3, 5), (4, 7)) for i in group}
+            assert found == {i: (c if not shift else 10 - c) for i, c in first.items()}
+
+
+def test_near_duplicate_query_against_all_pairs(spark, sf_dir):
+    wanted = components([(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()], 2)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_near_duplicates(spark, sf_dir).collect()}
+    assert found == wanted
 
 
 def test_near_duplicate_edges(spark):

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,14 +122,37 @@ def test_contamination_edges(spark):
     assert rows[77].n_hit == 13 and rows[77].items == [5] and rows[77].hit_spans == [(2, 46)]
     assert rows[8].items == [4] and rows[1].n_words == 0 and decontaminate.contaminated_words(empty(spark), items).count() == 0
     assert decontaminate.contaminated_words(awkward(spark), items.limit(0)).filter("n_hit > 0").count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.contaminated_words(docs, items, max_bytes=5)
+    assert sorted(map(str, decontaminate.contaminated_words(docs, items, part_bytes=20).collect())) == sorted(map(str, decontaminate.contaminated_words(docs, items).collect()))
 
 
-def test_several_automata_agree_with_one(spark, sf_dir):
+def test_several_parts_agree_with_one(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    one, many = (decontaminate.contaminated_words(docs, items, max_patterns=n).orderBy("doc_id").collect() for n in (200_000, 100))
-    assert one == many
+    one, many = (decontaminate.contaminated_words(docs, items, part_bytes=n).orderBy("doc_id").collect() for n in (8 << 20, 4_000))
+    assert one == many and any(r.n_hit for r in one)
+
+
+def test_automaton_against_plain_search():
+    rng = random.Random(6)
+    for _ in range(200):
+        window = rng.randint(1, 5)
+        items = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 5))]
+        texts = [" ".join(rng.choice("aabbccx") for _ in range(rng.choice((0, 3, 40, 700)))) for _ in range(4)]
+        built = decontaminate.build(items, list(range(len(items))), window)
+        found = decontaminate._Texts.of(pa.array(texts, pa.string()))
+        first, last, pattern = found.places(built)
+        n_hit, _ = found.hits(first, last)
+        named = found.found_items(built, first, pattern)
+        for text, n, mine in zip(texts, n_hit, named, strict=True):
+            w, hit, seen = text.split(), set(), set()
+            for i, item in enumerate(items):
+                v = item.split()
+                size = min(window, len(v))
+                for a in range(len(v) - size + 1 if size else 0):
+                    for b in range(len(w) - size + 1):
+                        if w[b : b + size] == v[a : a + size]:
+                            hit |= set(range(b, b + size))
+                            seen.add(i)
+            assert n == len(hit) and set(mine.tolist()) == seen
 
 
 # personal data

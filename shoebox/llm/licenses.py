@@ -1,20 +1,21 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
 A template is a row of words with mandatory key phrases at fixed places. Document frequencies of the
-licence vocabulary are counted over the whole corpus; the words of a template's key phrases with the
-highest IDF are its rare words, and their places in the template its postings. In each document the
-places of rare words are looked up, each posting turns them into a possible start of the template,
-starts at which all rare words stand in their relative place survive, and there the key phrases are
-compared word for word. As rare words come from key phrases, no placement is missed.
-
-All of it happens inside a row: no shuffle but the count of the vocabulary, and no hot key.
+licence vocabulary are counted over the whole corpus. The index is one inverted list for all templates: each
+word that is among the rarest of some template's key phrases has its postings, (template, place in it). A file's
+own indexed words, those with the highest IDF it has, are looked up where they stand; a posting turns a
+place into a possible start of a template, and the starts that all postings of a template agree on are the
+intersection by relative position. There the mandatory phrases are compared word for word. As indexed words come from
+key phrases, no placement is missed.
+
+All of it happens inside a row: no shuffle but the count of the vocabulary, and no hot key. The plan doesn't grow
+with the number of templates.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,21 +44,35 @@ class Template:
         return self.keys or ((0, len(self.words)),)
 
 
-# Base phrases and their labels, then wording of public licences.
+# Base phrases and their labels, then names, tags, addresses and wording of public licences.
 TEMPLATES = (
     Template("mit", "under the mit license", base=True),
     Template("apache-2", "apache license version 2", base=True),
     Template("cc-by-nc", "cc by nc", base=True),
-    Template("gpl", "gnu general public license"),
-    Template("lgpl", "gnu lesser general public license"),
-    Template("agpl", "gnu affero general public license"),
-    Template("mpl-2", "mozilla public license version 2"),
-    Template("cc-by-sa", "cc by sa"),
-    Template("cc0", "cc0 1 0 universal"),
+    *(Template(label, f"spdx license identifier {tag}") for label, tag in (
+        ("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl", "lgpl"), ("agpl", "agpl 3 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"),
+        ("isc", "isc"), ("mpl-2", "mpl 2 0"), ("cc0", "cc0 1 0"), ("unlicense", "unlicense"), ("zlib", "zlib"), ("bsl", "bsl 1 0"), ("epl-2", "epl 2 0"),
+    )),
+    Template("mit", "mit license"), Template("mit", "opensource org licenses mit"),
+    Template("apache-2", "apache 2 0 license"), Template("apache-2", "apache license 2 0"), Template("apache-2", "apache org licenses license 2 0"),
+    Template("gpl", "gnu general public license"), Template("gpl", "gnu org licenses gpl"), Template("gpl-2", "gplv2"), Template("gpl-2", "gpl version 2"), Template("gpl-3", "gplv3"), Template("gpl-3", "gpl version 3"),
+    Template("lgpl", "gnu lesser general public license"), Template("lgpl", "gnu org licenses lgpl"), Template("agpl", "gnu affero general public license"), Template("agpl", "agplv3"),
+    Template("mpl-2", "mozilla public license version 2"), Template("mpl-2", "mozilla org mpl 2 0"), Template("bsd", "bsd 2 clause license"), Template("bsd", "bsd 3 clause license"), Template("isc", "isc license"),
+    Template("bsl", "boost software license version 1 0"), Template("epl-2", "eclipse public license v 2 0"), Template("cc0", "cc0 1 0 universal"), Template("cc0", "creativecommons org publicdomain zero 1 0"),
+    Template("cc-by", "creativecommons org licenses by 4 0"), Template("cc-by-nc", "creativecommons org licenses by nc"), Template("cc-by-sa", "cc by sa"), Template("cc-by-sa", "creativecommons org licenses by sa"), Template("cc-by-nd", "creativecommons org licenses by nd"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ((2, 5), (10, 3)), 0.7),
+    Template("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ((1, 5), (21, 3)), 0.7),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ((3, 4), (10, 6)), 0.7),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ((2, 3), (18, 4)), 0.7),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ((2, 3), (18, 5)), 0.7),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ((1, 3), (11, 6)), 0.7),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ((0, 3), (4, 4)), 0.7),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ((2, 5), (17, 3)), 0.7),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ((0, 5), (13, 4)), 0.7),
-)
+    Template("unlicense", "this is free and unencumbered software released into the public domain", ((2, 4),), 0.7),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", ((1, 5), (13, 3)), 0.7),
+    Template("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ((8, 4), (18, 3)), 0.7),
+)
 
 
 def license_words(text: Column) -> Column:
@@ -84,56 +99,82 @@ def rare_words(template: Template, frequency: dict[str, int], most: int = 3) ->
     return [(i, template.words[i]) for i in sorted(at, key=lambda i: (-idf(template.words[i]), i))[:most]]
 
 
-def _placements(template: Template, postings: list[tuple[int, str]], words: str, hits: str) -> Column:
-    """The sorted starts of the template in the array words; hits: places of rare words."""
-    (lead, rarest), *others = postings
-    starts = F.transform(F.filter(hits, lambda p: F.get(words, p) == rarest), lambda p: p - lead)
-
-    def holds(start: Column) -> Column:
-        aligned = [F.get(words, start + i) == w for i, w in others]
-        keys = [F.slice(words, start + at + 1, F.lit(n)) == F.array(*map(F.lit, template.words[at : at + n])) for at, n in template.phrases]
-        whole = [start >= 0, *([] if template.cover < 1 else [start + len(template.words) <= F.size(words)])]
-        if template.cover < 1:
-            keys.append(_cover(template, words, start) >= template.cover)
-        return reduce(lambda a, b: F.when(a, b).otherwise(False), [*whole, *aligned, *keys])
-
-    return F.filter(starts, lambda s: F.coalesce(holds(s), F.lit(False)))
-
-
-def _placement(number: int, template: Template):
-    def row(start: Column) -> Column:
-        cover = _cover(template, "words", start) if template.cover < 1 else F.lit(1.0)
-        return F.struct(F.lit(number).alias("template"), F.lit(template.label).alias("label"), F.lit(template.base).alias("base"), start.cast("long").alias("start"), cover.alias("cover"))
-
-    return row
-
-
-def _cover(template: Template, words: str, start: Column) -> Column:
-    """The share of the template's words that stand in their place."""
-    there = F.slice(words, F.greatest(start, F.lit(0)) + 1, F.lit(len(template.words)))
-    same = F.zip_with(there, F.array(*map(F.lit, template.words)), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    return F.aggregate(same, F.lit(0), lambda s, x: s + x) / len(template.words)
+@dataclass(frozen=True)
+class Index:
+    """The templates and their inverted list as literal columns: postings by word, and by template its words, key
+    phrases, least cover, label and number of postings."""
+
+    words: tuple[str, ...]
+    postings: Column
+    templates: Column
+
+    @staticmethod
+    def of(templates: tuple[Template, ...], frequency: dict[str, int]) -> Index:
+        by_word: dict[str, list[tuple[int, int]]] = {}
+        rare = [rare_words(t, frequency) for t in templates]
+        for number, mine in enumerate(rare):
+            for place, word in mine:
+                by_word.setdefault(word, []).append((number, place))
+        posting = lambda t, p: F.struct(F.lit(t).alias("template"), F.lit(p).alias("place"))
+        postings = F.create_map(*(x for w in sorted(by_word) for x in (F.lit(w), F.array(*(posting(t, p) for t, p in by_word[w])))))
+        phrase = lambda at, n: F.struct(F.lit(at).alias("at"), F.lit(n).alias("n"))
+        rows = [
+            F.struct(
+                F.array(*map(F.lit, t.words)).alias("words"), F.array(*(phrase(at, n) for at, n in t.phrases)).alias("phrases"),
+                F.lit(float(t.cover)).alias("cover"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(len(r)).alias("postings"),
+            )
+            for t, r in zip(templates, rare, strict=True)
+        ]
+        return Index(tuple(sorted(by_word)), postings, F.array(*rows))
+
+    def template(self, number: Column) -> Column:
+        return F.element_at(self.templates, number + 1)
+
+    def candidates(self, words: str, hits: str) -> Column:
+        """The distinct (template, start) that all postings of the template agree on: the postings at the places in
+        hits are turned to starts and sorted, and a start counts if it comes as often as the template has postings."""
+        voted = F.flatten(F.transform(hits, lambda at: F.transform(F.element_at(self.postings, F.get(words, at)), lambda p: F.struct(p["template"].alias("template"), (at - p["place"]).alias("start")))))
+        votes = F.array_sort(F.filter(voted, lambda v: v["start"] >= 0))
+        fits = lambda v, i: (F.get(votes, i + self.template(v["template"])["postings"] - 1) == v) & F.coalesce(F.get(votes, i - 1) != v, F.lit(True))
+        return F.filter(votes, lambda v, i: F.coalesce(fits(v, i), F.lit(False)))
+
+    def placed(self, words: str, candidates: str) -> Column:
+        """The candidates whose key phrases, and the share cover of all words, are in place, by template and start."""
+
+        def described(c: Column) -> Column:
+            t = self.template(c["template"])
+            there = F.slice(words, c["start"] + 1, F.size(t["words"]))
+            keys = F.forall(t["phrases"], lambda p: F.slice(there, p["at"] + 1, p["n"]) == F.slice(t["words"], p["at"] + 1, p["n"]))
+            same = F.zip_with(there, t["words"], lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
+            matched = F.aggregate(same, F.lit(0), lambda s, x: s + x)
+            share = matched / F.size(t["words"])
+            return F.struct(
+                c["template"].alias("template"), t["label"].alias("label"), t["base"].alias("base"), c["start"].cast("long").alias("start"), share.alias("cover"),
+                (matched / (F.size(t["words"]) + 1)).alias("weight"), (keys & (share >= t["cover"])).alias("holds"),
+            )
+
+        holding = F.filter(F.transform(candidates, described), lambda x: F.coalesce(x["holds"], F.lit(False)))
+        return F.transform(holding, lambda x: x.dropFields("holds"))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """Rows (key, n_words, placements array<struct<template, label, base, start, cover>>) for each row: every
-    place of a template in the whole text, by template and start, counted in words from 0.
+    """Rows (key, n_words, placements array<struct<template, label, base, start, cover, weight>>) for each row: every
+    place of a template in the whole text, by template and start, counted in words from 0. cover is the share
+    of the template's words in place; weight is that of long wordings more than of short names: words in place
+    by one more than the template has.
 
     Null and empty texts have no words. Repeated rows each give a row, a null key is kept, other columns
     are left out. An empty table gives no rows.
     """
     words = docs.select(F.col(key), license_words(F.col(text)).alias("words"))
-    frequency = document_frequencies(words, "words", templates)
-    postings = [rare_words(t, frequency) for t in templates]
-    leads = sorted({p[0][1] for p in postings})
-    at = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(leads), i)))
-    found = []
-    for i, (t, p) in enumerate(zip(templates, postings, strict=True)):
-        found.append(F.transform(_placements(t, p, "words", "hits"), _placement(i, t)))
-    located = words.select(key, "words", F.when(F.arrays_overlap("words", F.array(*map(F.lit, leads))), at).alias("hits"))
-    empty = F.array().cast("array<struct<template:int,label:string,base:boolean,start:bigint,cover:double>>")
-    places = F.when(F.size("hits") > 0, F.concat(*found)).otherwise(empty)
-    return located.select(key, F.size("words").cast("long").alias("n_words"), places.alias("placements"))
+    index = Index.of(templates, document_frequencies(words, "words", templates))
+    known = F.array(*map(F.lit, index.words))
+    at = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(*index.words), i)))
+    located = words.select(key, "words", F.when(F.arrays_overlap("words", known), at).alias("hits"))
+    found = located.select(key, "words", F.when(F.size("hits") > 0, index.candidates("words", "hits")).alias("candidates"))
+    kind = "array<struct<template:int,label:string,base:boolean,start:bigint,cover:double,weight:double>>"
+    places = F.when(F.size("candidates") > 0, index.placed("words", "candidates")).otherwise(F.array().cast(kind))
+    return found.select(key, F.size("words").cast("long").alias("n_words"), places.cast(kind).alias("placements"))
 
 
 def label_list(places: Column) -> Column:

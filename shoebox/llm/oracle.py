@@ -14,13 +14,14 @@ def _license_sql() -> str:
         words = "[" + ", ".join(f"'{w}'" for w in t.words) + "]"
         tests = [f"words[s + {at + 1} : s + {at + n}] = [{', '.join(f"'{w}'" for w in t.words[at : at + n])}]" for at, n in t.phrases]
         cover = f"list_sum(list_transform(range(1, {len(t.words) + 1}), lambda k: CASE WHEN words[s + k] = ({words})[k] THEN 1 ELSE 0 END)) / CAST({len(t.words)} AS DOUBLE)" if t.cover < 1 else "CAST(1 AS DOUBLE)"
+        weight = f"list_sum(list_transform(range(1, {len(t.words) + 1}), lambda k: CASE WHEN words[s + k] = ({words})[k] THEN 1 ELSE 0 END)) / CAST({len(t.words) + 1} AS DOUBLE)" if t.cover < 1 else f"{len(t.words)} / CAST({len(t.words) + 1} AS DOUBLE)"
         where = " AND ".join([*tests, f"{cover} >= {t.cover}"] if t.cover < 1 else tests)
-        parts.append(f"SELECT row_id, '{t.label}' AS label, {t.base} AS base, s, {cover} AS cover FROM (SELECT row_id, words, unnest(range(0, len(words))) AS s FROM d WHERE list_contains(words, '{t.words[t.phrases[0][0]]}')) WHERE {where}")
+        parts.append(f"SELECT row_id, '{t.label}' AS label, {t.base} AS base, s, {weight} AS weight FROM (SELECT row_id, words, unnest(range(0, len(words))) AS s FROM d WHERE list_contains(words, '{t.words[t.phrases[0][0]]}')) WHERE {where}")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS words FROM documents),
 places AS ({" UNION ALL ".join(parts)}),
 sums AS (SELECT row_id, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM places GROUP BY row_id)
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight) AS score FROM places GROUP BY row_id)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
     coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score
 FROM d LEFT JOIN sums USING (row_id)"""

@@ -37,7 +37,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts(base)).alias("first_word"), F.array_max(starts(base)).alias("last_word"),
         licenses.label_list(base).alias("base_labels"), licenses.label_list(F.col("placements")).alias("labels"),
-        F.coalesce(F.array_max(F.transform("placements", lambda p: p["cover"])), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_max(F.transform("placements", lambda p: p["weight"])), F.lit(0.0)).alias("score"),
     )
 
 

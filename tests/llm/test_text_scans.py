@@ -68,6 +68,25 @@ def test_long_template_needs_phrases_and_cover(spark):
     assert not rows[3] and not rows[4] and rows[5][0].start == 1
 
 
+def test_index_finds_tags_names_addresses_and_wording(spark):
+    texts = [
+        "// SPDX-License-Identifier: MIT", "Apache 2.0 license", "see http://www.apache.org/licenses/LICENSE-2.0 for it", "GPLv3 or later", "This is free and unencumbered software released into the public domain.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "nothing of the kind", "cc by nc cc by nc",
+    ]
+    rows = {r.doc_id: r.placements for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [sorted({p.label for p in rows[i]}) for i in range(8)] == [["mit"], ["apache-2"], ["apache-2"], ["gpl-3"], ["unlicense"], ["mit"], [], ["cc-by-nc"]]
+    assert [p.start for p in rows[7]] == [0, 3] and 0 < rows[3][0].weight < rows[5][0].weight < 1
+    for i, text in enumerate(texts):  # every template tried at every word
+        w = words(text)
+        wanted = []
+        for number, t in enumerate(licenses.TEMPLATES):
+            for s in range(len(w)):
+                same = sum(a == b for a, b in zip(w[s:], t.words, strict=False))
+                if all(w[s + a : s + a + n] == t.words[a : a + n] for a, n in t.phrases) and same >= t.cover * len(t.words):
+                    wanted.append((number, s))
+        assert [(p.template, p.start) for p in rows[i]] == wanted
+
+
 # secrets
 
 

@@ -101,11 +101,12 @@ def rare_words(template: Template, frequency: dict[str, int], most: int = 3) ->
 
 @dataclass(frozen=True)
 class Index:
-    """The templates and their inverted list as literal columns: postings by word, and by template its words, key
-    phrases, least cover, label and number of postings."""
+    """The templates and their inverted list as literal columns: postings by word; by template their number, and its
+    words, key phrases, least cover and label."""
 
     words: tuple[str, ...]
     postings: Column
+    counts: Column
     templates: Column
 
     @staticmethod
@@ -121,28 +122,25 @@ class Index:
         rows = [
             F.struct(
                 F.array(*map(F.lit, t.words)).alias("words"), F.array(*(phrase(at, n) for at, n in t.phrases)).alias("phrases"),
-                F.lit(float(t.cover)).alias("cover"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(len(r)).alias("postings"),
+                F.lit(float(t.cover)).alias("cover"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"),
             )
-            for t, r in zip(templates, rare, strict=True)
+            for t in templates
         ]
-        return Index(tuple(sorted(by_word)), postings, F.array(*rows))
-
-    def template(self, number: Column) -> Column:
-        return F.element_at(self.templates, number + 1)
+        return Index(tuple(sorted(by_word)), postings, F.array(*(F.lit(len(r)) for r in rare)), F.array(*rows))
 
     def candidates(self, words: str, hits: str) -> Column:
         """The distinct (template, start) that all postings of the template agree on: the postings at the places in
         hits are turned to starts and sorted, and a start counts if it comes as often as the template has postings."""
         voted = F.flatten(F.transform(hits, lambda at: F.transform(F.element_at(self.postings, F.get(words, at)), lambda p: F.struct(p["template"].alias("template"), (at - p["place"]).alias("start")))))
         votes = F.array_sort(F.filter(voted, lambda v: v["start"] >= 0))
-        fits = lambda v, i: (F.get(votes, i + self.template(v["template"])["postings"] - 1) == v) & F.coalesce(F.get(votes, i - 1) != v, F.lit(True))
+        fits = lambda v, i: (F.get(votes, i + F.element_at(self.counts, v["template"] + 1) - 1) == v) & F.coalesce(F.get(votes, i - 1) != v, F.lit(True))
         return F.filter(votes, lambda v, i: F.coalesce(fits(v, i), F.lit(False)))
 
     def placed(self, words: str, candidates: str) -> Column:
         """The candidates whose key phrases, and the share cover of all words, are in place, by template and start."""
 
-        def described(c: Column) -> Column:
-            t = self.template(c["template"])
+        def described(x: Column) -> Column:
+            c, t = x["candidate"], x["of"]
             there = F.slice(words, c["start"] + 1, F.size(t["words"]))
             keys = F.forall(t["phrases"], lambda p: F.slice(there, p["at"] + 1, p["n"]) == F.slice(t["words"], p["at"] + 1, p["n"]))
             same = F.zip_with(there, t["words"], lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
@@ -153,7 +151,8 @@ class Index:
                 (matched / (F.size(t["words"]) + 1)).alias("weight"), (keys & (share >= t["cover"])).alias("holds"),
             )
 
-        holding = F.filter(F.transform(candidates, described), lambda x: F.coalesce(x["holds"], F.lit(False)))
+        whole = F.transform(candidates, lambda c: F.struct(c.alias("candidate"), F.element_at(self.templates, c["template"] + 1).alias("of")))
+        holding = F.filter(F.transform(whole, described), lambda x: F.coalesce(x["holds"], F.lit(False)))
         return F.transform(holding, lambda x: x.dropFields("holds"))
 
 

@@ -203,7 +203,7 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
     known = data.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     n, longest = known["n"], sqrt(known["square"] or 1.0) * (1 + 1e-12)
     picked = data.orderBy(F.xxhash64("id"), "id").limit(cfg.sample).select("id", "v").collect()
-    sample, sample_ids = extended(np.array([r["v"] for r in picked]).reshape(len(picked), -1), longest), np.array([r["id"] for r in picked], np.int64)
+    sample, sample_ids = extended(np.array([r["v"] for r in picked]).reshape(len(picked), sizes[0]["size"] if sizes else 0), longest), np.array([r["id"] for r in picked], np.int64)
     centres = sample[: max(1, min(cfg.cells, len(sample) // 8, ceil(n / 1024)))]
     sent = rows.sparkSession.sparkContext.broadcast((sample, sample_ids, centres))
 

@@ -8,7 +8,9 @@ places of all segments together. What no piece covers is spelt in byte pieces; a
 too, so decoding gives back every text exactly.
 
 The vocabulary is an installed public file, given by path, and never trained. A unigram model's own log scores
-are used; a merge-ranked (BPE) model has only ranks, which become log scores by Zipf's law.
+are used; a merge-ranked (BPE) model has only ranks, which become log scores by Zipf's law. The model's normaliser
+is not applied: a text is encoded as it stands, so that decoding is exact. Where a model's normaliser would change
+a text (fold characters, drop repeated spaces), normalise it before to get that model's own pieces.
 """
 
 from __future__ import annotations
@@ -112,10 +114,20 @@ def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
+def _safe_cuts(begin: np.ndarray, end: np.ndarray, border: np.ndarray, n: int) -> np.ndarray:
+    """The borders, and with them all places that no piece goes across: the best pieces before and after such a place
+    don't depend on each other, so a long segment without spaces (base64, say) falls into many short ones."""
+    wide = end - begin > 1
+    across = np.bincount(begin[wide] + 1, minlength=n + 1) - np.bincount(end[wide], minlength=n + 1)
+    free = np.cumsum(across)[: n + 1] == 0
+    free[border] = True
+    return np.flatnonzero(free)
+
+
 def best_pieces(vocabulary: Vocabulary, data: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece numbers of non-empty segments, one after the other, and their borders. border cuts data into segments.
     Among equal scores the longest last piece wins."""
-    v, n = vocabulary, len(data)
+    v, n, whole = vocabulary, len(data), border
     lengths = np.diff(border)
     offset, stop = _places(np.zeros(len(lengths), np.int64), lengths).astype(np.int32), np.repeat(border[1:], lengths).astype(np.int32)
     every = np.arange(n, dtype=np.int32)
@@ -135,6 +147,9 @@ def best_pieces(vocabulary: Vocabulary, data: np.ndarray, border: np.ndarray) ->
         more = at + depth < stop[at]
         at, state = at[more], state[more]
     begin, end, what = map(np.concatenate, (froms, tos, whats))
+    border = _safe_cuts(begin, end, border, n)
+    lengths = np.diff(border)
+    offset = _places(np.zeros(len(lengths), np.int64), lengths).astype(np.int32)
     gain = np.where(v.is_byte[what], v.spelt, v.score[what])
     order = np.lexsort((begin, end, offset[end - 1]))
     begin, end, what, gain = begin[order], end[order], what[order], gain[order]
@@ -163,7 +178,7 @@ def best_pieces(vocabulary: Vocabulary, data: np.ndarray, border: np.ndarray) ->
     for who, piece in trail:
         write[who] -= 1
         out[write[who]] = piece
-    return out, cut
+    return out, cut[np.searchsorted(border, whole)]
 
 
 def encode_batch(vocabulary: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -199,8 +214,10 @@ def encode_pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", keep
     """Rows (key, keep..., ids array<int>, n_bytes, exact) for each row: the pieces of the whole text, how many of
     them are byte pieces, and whether decoding gives back the text.
 
-    Null and empty texts have no pieces. Repeated rows each give a row; a null key is kept; columns other than
-    keep are left out.
+    Null and empty texts have no pieces. Among segmentations of equal score the one whose last piece is longest wins,
+    and so on backwards. Repeated rows each give a row; a null key is kept; columns other than keep are left out; an
+    empty table gives no rows. A text of any length is one text; what bounds the work on it is its longest stretch
+    that pieces cover without a gap.
     """
     sent = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
     fields = [docs.schema[c] for c in dict.fromkeys([key, *keep])]

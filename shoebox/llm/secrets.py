@@ -37,6 +37,16 @@ class Rule:
     def compiled(self) -> re.Pattern:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
+    def searched(self) -> re.Pattern:
+        """What is run over a text: if the pattern is one class repeated once or more, and its matches must have least
+        characters, the same class repeated so often. Runs that are too short are then no matches instead of dropped ones."""
+        parsed = list(_parser.parse(self.pattern))
+        if self.group == 0 and self.least > 1 and len(parsed) == 1 and parsed[0][0] is K.MAX_REPEAT:
+            low, high, inner = parsed[0][1]
+            if low == 1 and high is K.MAXREPEAT and len(inner) == 1 and inner[0][0] is K.IN and self.pattern.endswith("]+"):
+                return re.compile(f"{self.pattern[:-1]}{{{self.least},}}", self.compiled().flags)
+        return self.compiled()
+
 
 # The three base kinds, in the order in which spans with equal starts are listed.
 BASE_RULES = (
@@ -153,15 +163,15 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     """Rows (key, spans array<struct<kind, start, end>>): the secrets of each row's whole text, by
     start, then in the order of rules; start and end are code points, end exclusive.
 
-    A null or empty text has no spans; a null key is kept; repeated rows each give a row. Other
-    columns are left out, so their names can't clash. Matches of a kind are leftmost and don't overlap.
+    A null or empty text has no spans; a null key is kept; repeated rows each give a row; an empty table gives no
+    rows. Other columns are left out, so their names can't clash. Matches of a kind are leftmost and don't overlap.
     """
     schema = T.StructType([docs.schema[key], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = [trigram_query(r) for r in rules]
-        patterns = [r.compiled() for r in rules]
+        patterns = [r.searched() for r in rules]
         number = np.array(sorted({int.from_bytes(g) for q in queries for clause in q for grams in clause for g in grams}), np.uint32)
         wanted = np.zeros(1 << 24, bool)
         wanted[number] = True
@@ -171,9 +181,6 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
                 texts = part.column(text)
                 spans: list[list] = [[] for _ in range(part.num_rows)]
                 for rule, pattern, query in zip(rules, patterns, queries, strict=True):
-                    # a run of one class that has to be long is the same as a search for the long run
-                    if rule.kind == "hex" and not query:
-                        pattern = re.compile(rf"[0-9a-f]{{{rule.least},}}")
                     for row in index.candidates(query):
                         value = texts[int(row)].as_py()
                         if value:

@@ -26,10 +26,11 @@ from .common import ALNUM_WORD, BYTE_KEYS, STEP, mixed, run_hashes, spans_of, te
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """max_rows bounds the labelled rows of each class that training takes (those with the smallest hash);
-    it is the only sample here, and every text is scored whole."""
+    """max_rows bounds the labelled rows of each class that training takes (those with the smallest hash), max_bytes
+    the length of a text it learns from; it is the only sample here, and every text is scored whole."""
 
     max_rows: int = 1500
+    max_bytes: int = 1 << 15
     buckets: int = 1 << 18
     size: int = 8
     grams: tuple[int, ...] = (3, 4, 5, 6)
@@ -153,11 +154,13 @@ def train(texts: list[str], toxic: list[int], cfg: ToxicityConfig = ToxicityConf
 
 def training_rows(docs: DataFrame, labels: DataFrame, may_learn, text: str, key: str, cfg: ToxicityConfig) -> list:
     """At most max_rows labelled texts of each class, with their label. The labels are cut to that number
-    before anything is joined, so the side that is broadcast has a fixed bound."""
+    before anything is joined, so the side that is broadcast has a fixed bound, and copies of a key are put together
+    (the smallest text stays) before anything reaches the driver."""
     known = labels.filter(may_learn & F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(cfg.max_rows) for y in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))
-    return docs.select(key, text).filter(F.col(text).isNotNull()).join(sample, key).select(key, text, "toxic").dropDuplicates([key]).orderBy(key).collect()
+    short = docs.select(key, text).filter(F.col(text).isNotNull() & (F.octet_length(text) <= cfg.max_bytes))
+    return short.join(sample, key).groupBy(key).agg(F.min(text).alias(text), F.first("toxic").alias("toxic")).orderBy(key).collect()
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn, text: str = "text", key: str = "doc_id", cfg: ToxicityConfig = ToxicityConfig(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -166,7 +169,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn, text: str = "t
 
     A text without words (null, empty, blank) gets the model's bias. Rows without a label in 0, 1 aren't
     learnt from; a key with several labels counts as toxic if any says so; a repeated key is learnt from
-    once. Without labels of both classes the score is constant. Other columns are left out.
+    once, by the smallest of its texts. Repeated rows each give a row; a null key is kept; an empty table gives no rows. Without labels of both classes the score is constant. Other columns are left out.
     """
     model = train(*zip(*[(r[text], r["toxic"]) for r in rows], strict=True), cfg) if (rows := training_rows(docs, labels, may_learn, text, key, cfg)) else train([], [], cfg)
     sent = docs.sparkSession.sparkContext.broadcast(model)

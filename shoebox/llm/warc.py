@@ -7,6 +7,9 @@ stand inside a payload. Pointer jumping from the start of each file keeps the ca
 of successors reaches, in a number of rounds that is the logarithm of the file's records; all
 others are payload. Only numbers are grouped by file. Records whose payload holds the magic are put
 together again from their fragments.
+
+Versions 1.0 and 1.1 are read. Archives whose names end in .gz are read too, one or many members alike: the
+reader unpacks them as one stream, so offsets are those of the unpacked file, and such a file is one split.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import window as W
 from .common import shared_dir, written
 
 # Fixed values of the format.
-MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
+VERSION, MAGIC, END = "WARC/1.1", "WARC/1.", "\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -60,7 +63,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("body")))
     header = F.concat_ws(
-        "\r\n", F.lit(MAGIC.strip()), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")), F.concat(F.lit("WARC-Record-ID: "), uri("page")), F.lit(f"WARC-Date: {date}"),
+        "\r\n", F.lit(VERSION), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")), F.concat(F.lit("WARC-Record-ID: "), uri("page")), F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")), F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")), F.concat(F.lit("X-Payload-Length: "), F.col("bytes").cast("string")),
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {REVISIT}\r\nWARC-Refers-To: "), uri("first"))),
         F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
@@ -79,8 +82,10 @@ def _number(text: str | None) -> int | None:
 
 def parse_record(fragment: bytes) -> tuple:
     """The columns _HEAD and _READ of the bytes after a magic; head is null where no header with a length
-    begins, whole is false where the bytes end before the record does."""
+    begins (after a version 0 or 1), whole is false where the bytes end before the record does."""
     cut = fragment.find(END.encode())
+    if fragment[:3] not in (b"0\r\n", b"1\r\n"):
+        cut = -1
     fields = {}
     for line in fragment[: max(cut, 0)].split(b"\r\n"):
         name, _, value = line.partition(b":")
@@ -145,13 +150,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Rows (page_id, url, record_type, refers_to, payload_bytes, payload_digest, stored_digest, intact,
     file, offset): the records of the archives under path. Length and digest are taken from the stored
     payload of a response, and from the header of a revisit; intact says whether payload and header
-    agree. Folders without records give no rows."""
+    agree. Headers that a record lacks are null. A chain that breaks (a wrong length, a cut file) ends its file
+    there: the records before it are returned. Folders without files, and empty files, give no rows; a file
+    that has bytes but no record at its start raises ValueError."""
     folder = shared_dir(spark)
     parts = written(_numbered(_fragments(spark, path), True), folder, "fragments")
     splits = parts.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(W.Window.partitionBy("file").orderBy("split").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     splits = written(splits.select("file", "split", before.alias("base")), folder, "splits")
     placed = written(parts.join(splits, ["file", "split"]).withColumn("offset", F.col("base") + F.col("place") - len(MAGIC)), folder, "placed")
+    begun = placed.groupBy("file").agg(F.max(F.col("head").isNotNull() & (F.col("offset") == 0)).alias("good"), F.max("size").alias("size"))
+    if wrong := begun.filter("not good and size > 0").limit(3).collect():
+        raise ValueError(f"no record at the start of {', '.join(r['file'] for r in wrong)}")
     candidates = placed.filter("offset >= 0 and head is not null").select("file", "offset", (F.col("offset") + F.col("head") + F.col("length") + len(END)).alias("after"))
     chain = written(_reached(candidates), folder, "chain")
     records = placed.join(chain, ["file", "offset"], "left_semi")

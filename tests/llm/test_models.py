@@ -1,8 +1,11 @@
 """Toxicity, languages, pieces, neighbours, archives, near duplicates and the pipeline."""
 
+import gzip
 import itertools
 import random
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -61,6 +64,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert a > 0.7 > b
 
 
+def test_toxicity_query_against_a_plain_scorer(spark, sf_dir):
+    """The query's scores are those of a row-by-row loop over its n-grams; on held-out rows it tells the classes apart."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(*zip(*[(r.text, r.toxic) for r in toxicity.training_rows(docs, labels, digest_bucket("doc_id", 3) != 1, "text", "doc_id", toxicity.ToxicityConfig())], strict=True))
+    found = {r.doc_id: r for r in queries.op5_toxicity(spark, sf_dir).collect()}
+    texts, known = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    for i, text in list(texts.items())[:40]:
+        words = [bytes(c if i >= 128 or chr(c).isalnum() or c >= 128 else 32 for c in w) for w in ((text or "").lower().encode(),) for i in (0,)][0].split()
+        logit = []
+        for w in words:
+            flat = np.frombuffer(w, np.uint8)
+            one = [x for x, _ in toxicity._grams(flat, np.array([0]), np.array([len(w)]), toxicity.run_hashes(flat, np.array([0]), np.array([len(w)])), model.config)]
+            logit.append(np.mean(model.parts[np.concatenate(one).astype(np.int64)].astype(float)))
+        worst = max((np.mean(logit[k : k + 3]) for k in range(len(logit))), default=0.0)
+        assert found[i].score == pytest.approx(1 / (1 + np.exp(-np.clip(worst + model.bias, -40, 40))), abs=1e-6)
+        assert found[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and found[i].predicted == int(found[i].score >= 0.7)
+    held = [(r.predicted, known[i]) for i, r in found.items() if r.held_out and i in known]
+    assert sum(p == y for p, y in held) >= 0.8 * len(held)
+
+
+def test_a_repeated_key_is_learnt_from_by_its_smallest_text(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, None), (2, "x" * (1 << 16))], "doc_id long, text string")
+    for order in ("text", F.desc("text")):
+        assert [(r.text, r.toxic) for r in toxicity.training_rows(docs.orderBy(order), labels, F.lit(True), "text", "doc_id", toxicity.ToxicityConfig())] == [("a", 1), ("c", 0)]
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(5, 1), (6, 0), (5, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     rows = toxicity.score_toxicity(awkward(spark), labels, F.lit(True)).collect()
@@ -88,6 +118,27 @@ def test_code_switched_words(spark, sf_dir):
     assert border[-1] == len(names) and names[:20].count("fr") >= 17 and names[-20:].count("de") >= 17
 
 
+def test_130_languages(spark):
+    """Every language is learnt, and none shares its lexicon mark with another."""
+    rng = random.Random(7)
+    speech = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéöñ") for _ in range(rng.randint(3, 8))) for _ in range(30)] for i in range(130)}
+    rows = [(k, " ".join(rng.choice(words) for _ in range(40)), lang) for k, (lang, words) in enumerate((x for x in speech.items() for _ in range(4)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    cfg = langid.LanguageConfig(rounds=12, pieces=1)
+    found = langid.identify_languages(docs, F.col("doc_id") % 4 != 0, cfg=cfg).collect()
+    held = [(r.lang_pred, rows[r.doc_id][2]) for r in found if r.doc_id % 4 == 0]
+    assert len(held) == 130 and sum(a == b for a, b in held) >= 125
+    assert len({langid.language_set([i]) for i in range(5000)}) == 5000
+    border, scores = np.array([0, 3]), np.zeros((3, 200))
+    scores[:, 180] = 5.0
+    assert crf.viterbi(scores, np.zeros((200, 200)), border).tolist() == [180] * 3
+
+
+def test_a_hot_key_brings_one_training_row(spark):
+    docs = spark.createDataFrame([(1, "one text", "en")] * 500 + [(2, "ein Text", "de"), (3, "x" * 40_000, "de")], "doc_id long, text string, lang string")
+    assert langid.training_rows(docs, F.lit(True), "text", "lang", "doc_id", langid.LanguageConfig()) == [("ein Text", "de"), ("one text", "en")]
+
+
 def test_language_edges(spark):
     rows = {r.doc_id: r for r in langid.identify_languages(awkward(spark), F.lit(True)).collect()}
     assert [rows[i].lang_pred for i in (1, 2, 3, 10)] == ["und"] * 4 and rows[4].lang_pred == "en" and 0 <= rows[4].score <= 1
@@ -134,6 +185,43 @@ def test_double_array_holds_all_keys():
         assert value[s] == wanted
 
 
+def unigram_model(path, pieces_and_scores):
+    """A unigram model file by hand: the wire format of its few fields."""
+    number = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+    field = lambda k, body: number(k << 3 | 2) + number(len(body)) + body
+    flag = lambda k, n: number(k << 3) + number(n)
+    entry = lambda text, score, kind: field(1, field(1, text.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + flag(3, kind))
+    rows = [entry("<unk>", 0, 2), entry("<s>", 0, 3), entry("</s>", 0, 3), *(entry(f"<0x{b:02X}>", 0, 6) for b in range(256)), *(entry(t, s, 1) for t, s in pieces_and_scores)]
+    trainer = field(2, flag(3, 1) + flag(35, 1))
+    plain = field(3, field(1, b"identity") + flag(3, 1) + flag(4, 0) + flag(5, 1))
+    path.write_bytes(b"".join(rows) + trainer + plain)
+    return str(path)
+
+
+def test_pieces_of_a_unigram_model_are_those_of_the_library(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(14)
+    known = {"▁": -3.0, **{c: -rng.uniform(4, 7) for c in "abcdeé"}}
+    while len(known) < 300:
+        known.setdefault(("▁" if rng.random() < 0.4 else "") + "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))), -rng.uniform(3, 12))
+    path = unigram_model(tmp_path / "unigram.model", sorted(known.items()))
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load_vocabulary(path)
+    texts = ["".join(rng.choice("abcdeé    ") for _ in range(rng.randint(1, 80))) for _ in range(300)] + ["abc" * 500, "a", "  ab"]
+    ids, border = pieces.encode_batch(own, pa.array(texts))
+    for text, a, b in zip(texts, border[:-1], border[1:], strict=True):
+        assert ids[a:b].tolist() == library.encode(text), text
+    assert pieces.decode_batch(own, ids, border) == [t.encode() for t in texts]
+
+
+def test_a_long_text_without_spaces_is_cut_where_no_piece_goes_across():
+    v, rng = pieces.load_vocabulary(), random.Random(3)
+    text = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(2_000_000))
+    began = time.perf_counter()
+    ids, border = pieces.encode_batch(v, pa.array([text]))
+    assert pieces.decode_batch(v, ids, border) == [text.encode()] and time.perf_counter() - began < 60
+
+
 def test_piece_round_trip_and_edges(spark):
     docs = awkward(spark)
     found = pieces.encode_pieces(docs)
@@ -193,6 +281,24 @@ def test_queries_outside_a_hot_group_are_not_left_short(spark):
     assert set(rows) == {20} and recall.min() >= 0.9
 
 
+def test_clusters_isolated_vectors_and_uneven_lengths(spark):
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(9, 24)))
+    mixed = np.concatenate([unit(np.repeat(centres, 150, axis=0) + 0.03 * rng.normal(size=(1350, 24))), unit(rng.normal(size=(250, 24)))])
+    uneven = rng.normal(size=(1600, 24)) * rng.lognormal(0, 1, size=(1600, 1))
+    for vectors in (mixed, uneven):
+        recall, rows = recall_by_query(spark, vectors, list(range(0, 1600, 20)))
+        assert set(rows) == {20} and recall.mean() >= 0.95 and np.sort(recall)[:8].mean() >= 0.9
+
+
+def test_a_repeated_key_counts_once_with_its_smallest_vector(spark):
+    vectors = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 1.0]), (3, [1.0, 3.0])]
+    for order in (vectors, vectors[::-1]):
+        out = neighbours.nearest_neighbours(spark.createDataFrame(order, "vec_id long, embedding array<float>"), F.col("vec_id") == 1).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in out] == [(3, 3.0), (2, 1.0)]
+
+
 def test_fewer_vectors_than_neighbours_give_all_of_them(spark):
     recall, rows = recall_by_query(spark, np.random.default_rng(6).normal(size=(15, 8)), list(range(15)))
     assert set(rows) == {14} and recall.min() == 1
@@ -224,6 +330,19 @@ def test_magic_in_payloads_and_duplicates(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_old_versions_and_packed_archives(spark, tmp_path):
+    record = lambda version, page, body: f"WARC/1.{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old/a.warc").write_bytes(record(0, 1, "abc") + record(0, 2, "WARC/1.0\r\n WARC/1.1 x") + record(1, 3, "d"))
+    (tmp_path / "old/b.warc.gz").write_bytes(b"".join(gzip.compress(record(i % 2, 10 + i, "WARC/1." * i)) for i in range(5)))
+    rows = warc.read_warc(spark, str(tmp_path / "old")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in rows) == [(1, 3), (2, 21), (3, 1), *((10 + i, 7 * i) for i in range(5))]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/c.warc").write_bytes(b"no archive at all")
+    with pytest.raises(ValueError):
+        warc.read_warc(spark, str(tmp_path / "bad"))
+
+
 def test_damaged_chain_ends_there(spark, tmp_path):
     good = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     wrong = good.replace("Length: 3", "Length: 9")
@@ -282,12 +401,10 @@ def test_repeated_keys_link_all_their_texts(spark):
     one, two = ([rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(60)] for _ in range(2))
     near = lambda words: [*words[:-1], "changed"]
     rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(near(one))), (3, " ".join(near(two))), (4, "else"), (4, ""), (5, " ".join(one)), (5, " ".join(one)), (7, "zz yy xx"), (7, "else")]
-    for order in (rows, rows[::-1]):
-        for shift in (0, -9):  # keys as they are, and so that the smallest key is another text's
-            docs = spark.createDataFrame([(i if not shift else 10 - i, t) for i, t in order], "doc_id long, text string").repartition(3)
-            found = {(r.doc_id if not shift else 10 - r.doc_id): r.component_id for r in neardup.near_duplicates(docs).filter("n_shingles > 0").collect()}
-            first = {i: (min if not shift else max)(x for x in group) for group in ((1, 2, 3, 5), (4, 7)) for i in group}
-            assert found == {i: (c if not shift else 10 - c) for i, c in first.items()}
+    for order, name in ((rows, lambda i: i), (rows[::-1], lambda i: 10 - i)):  # also so that the smallest key is another text's
+        docs = spark.createDataFrame([(name(i), t) for i, t in order], "doc_id long, text string").repartition(3)
+        found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).filter("n_shingles > 0").collect()}
+        assert found == {name(i): min(map(name, group)) for group in ((1, 2, 3, 5), (4, 7)) for i in group}
 
 
 def test_near_duplicate_query_against_all_pairs(spark, sf_dir):

@@ -34,6 +34,10 @@ def laplacian_variance(plane: np.ndarray) -> float:
     return float((wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * wide[1:-1, 1:-1]).var())
 
 
+#: Bins of the three histograms: hue, saturation, value.
+HSV_BINS = (180, 256, 256)
+
+
 def hsv_histograms(image: np.ndarray) -> np.ndarray:
     """Counts of hue (180 bins of two degrees), saturation (256) and value (256), one after the other."""
     image = np.repeat(image, 3, axis=2) if image.shape[2] == 1 else image

@@ -61,9 +61,10 @@ def final_order(chosen: DataFrame, by: list[str], key: str = "photo_id") -> Data
     return chosen.withColumn("place", F.row_number().over(order))
 
 
-def selection_stats(chosen: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
+def selection_stats(chosen: DataFrame, candidates: DataFrame, by: list[str], pairs: DataFrame | None = None) -> DataFrame:
     """One row for each group of candidates. Photos with smiles are always 0: no photo carries that mark. An empty
-    selection has zeros and no minima or maxima."""
+    selection has zeros and no minima or maxima. pairs: the similarity of the pairs of each selection (by..., similarity);
+    diversity_score is 1 less their mean, 0 without pairs."""
     scores = ("quality", "emotional", "combined")
     few = chosen.groupBy(*by).agg(
         *(F.avg(s).alias(f"avg_{s}") for s in scores), *(f(s).alias(f"{n}_{s}") for s in scores for n, f in (("min", F.min), ("max", F.max))),
@@ -71,7 +72,10 @@ def selection_stats(chosen: DataFrame, candidates: DataFrame, by: list[str]) ->
     )
     out = candidates.groupBy(*by).agg(F.count("*").alias("total_candidates")).join(few, by, "left")
     zeros = {n: 0.0 for n in ("avg_quality", "avg_emotional", "avg_combined")} | {n: 0 for n in ("months_represented", "photos_with_faces", "photos")}
-    return out.fillna(zeros).withColumn("photos_with_smiles", F.lit(0).cast("long"))
+    out = out.fillna(zeros).withColumn("photos_with_smiles", F.lit(0).cast("long"))
+    if pairs is None:
+        return out.withColumn("diversity_score", F.lit(0.0))
+    return out.join(pairs.groupBy(*by).agg((1 - F.avg("similarity")).alias("diversity_score")), by, "left").fillna(0.0, ["diversity_score"])
 
 
 def with_fallback(photos: DataFrame, by: list[str], config: CurationConfig = CurationConfig(), key: str = "photo_id") -> DataFrame:
@@ -120,8 +124,14 @@ def export_name(place: Column, score: Column, name: Column) -> Column:
     return F.format_string("%02d_score-%d_%s", place, F.floor(score).cast("int"), name)
 
 
-def selection_document(chosen: DataFrame, by: list[str]) -> DataFrame:
-    """One JSON document for each group, photos in final order, scores with two decimals."""
-    photo = F.struct("place", "photo_id", "month", *(F.round(s, 2).alias(f"{s}_score") for s in ("quality", "emotional", "combined")))
-    photos = F.array_sort(F.collect_list(photo))
-    return chosen.groupBy(*by).agg(F.count("*").alias("photos"), F.to_json(F.struct(photos.alias("photos"))).alias("document"))
+def selection_document(chosen: DataFrame, stats: DataFrame, year: str, strategy: Column, created_at: Column) -> DataFrame:
+    """(year, document): one JSON text a year with the layout of schemas.SELECTION; photos (at most a selection's size) in final
+    order. chosen has photo_id, timestamp, month, the three scores, face_count and tiers; stats is selection_stats()."""
+    marks = F.struct("quality_tier", "emotional_tier", (F.col("face_count") > 0).alias("has_faces"), F.col("face_count").cast("int").alias("face_count"), (F.col("emotional_tier") == "high").alias("has_positive_emotion"))
+    photo = F.struct(F.col("photo_id").alias("photo_path"), "timestamp", F.col("month").cast("int").alias("month"), *(F.col(s).alias(f"{s}_score") for s in ("quality", "emotional", "combined")), marks.alias("metadata"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", photo.alias("photo")))), lambda p: p["photo"])
+    known = [c for c in stats.columns if c not in (year, "photos")]
+    numbers = stats.select(year, F.struct(*known).alias("stats"))
+    whole = F.struct(F.col(year).cast("int").alias("year"), strategy.alias("strategy"), created_at.alias("created_at"), "stats", "photos")
+    options = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
+    return chosen.groupBy(year).agg(ordered.alias("photos")).join(numbers, year).select(year, F.to_json(whole, options).alias("document"))

@@ -17,20 +17,22 @@ def product(x: Column, y: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The array moved to mean 0 and scaled to length 1, so that a product of two is their correlation; null for a constant one."""
+    """The array moved to mean 0 and scaled to length 1, so that a product of two is their correlation; nulls for a constant one."""
 
     def scaled(x: Column) -> Column:
-        return bound(F.sqrt(product(x, x)), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n)))
+        return bound(F.sqrt(product(x, x)), lambda n: F.transform(x, lambda v: F.when(n > 0, v / n)))
 
     return bound(total(a) / F.size(a), lambda mean: bound(F.transform(a, lambda v: v - mean), scaled))
 
 
 def units(a: Column, channels: tuple[int, ...] = ()) -> Column:
-    """unit() of the whole array, or of each channel (their lengths, in order) with zeros for a constant one."""
-    if not channels:
-        return unit(a)
-    starts = [sum(channels[:i]) + 1 for i in range(len(channels))]
-    return F.concat(*(F.coalesce(unit(F.slice(a, s, n)), F.array_repeat(F.lit(0.0), n)) for s, n in zip(starts, channels, strict=True)))
+    """unit() of the whole array, or of each channel (their lengths, in order)."""
+    return F.concat(*(unit(F.slice(a, s, n)) for s, n in parts(channels))) if channels else unit(a)
+
+
+def parts(channels: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The start and length of each channel in an array that holds all."""
+    return [(sum(channels[:i]) + 1, n) for i, n in enumerate(channels)]
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -38,13 +40,16 @@ def correlation(a: Column, b: Column) -> Column:
     return product(unit(a), unit(b))
 
 
-def alike(x: Column, y: Column, channels: int = 1) -> Column:
-    """The similarity of two units(): the mean correlation over channels, moved to 0 to 1."""
-    return bound(product(x, y) / channels, lambda m: F.when(m.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (m + 1) / 2))))
+def alike(x: Column, y: Column, channels: tuple[int, ...] = ()) -> Column:
+    """The similarity of two units(): the mean correlation over channels, moved to 0 to 1. A channel without variance in
+    one of the two correlates at 1; arrays of different lengths can't be compared (null)."""
+    each = [F.coalesce(product(F.slice(x, s, n), F.slice(y, s, n)), F.lit(1.0)) for s, n in parts(channels)] if channels else [F.coalesce(product(x, y), F.lit(1.0))]
+    mean = sum(each[1:], each[0]) / len(each)
+    return F.when(F.size(x) == F.size(y), bound(mean, lambda m: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (m + 1) / 2))))
 
 
 def similarity(a: Column, b: Column, channels: tuple[int, ...] = ()) -> Column:
-    return alike(units(a, channels), units(b, channels), max(1, len(channels)))
+    return alike(units(a, channels), units(b, channels), channels)
 
 
 def album_arrays(photos: DataFrame, album: str, key: str, histogram: str, order: str, channels: tuple[int, ...] = ()) -> DataFrame:
@@ -58,7 +63,7 @@ def similarity_pairs(photos: DataFrame, album: str = "album", key: str = "photo_
     """(album, first, second, similarity) of the pairs of each album, the earlier photo first; a pair that can't be
     compared counts as 0."""
     items = album_arrays(photos, album, key, histogram, order, channels)
-    later = lambda a, i: F.transform(F.slice(F.col("items"), i + 2, F.size("items")), lambda b: F.struct(a["k"].alias("first"), b["k"].alias("second"), F.coalesce(alike(a["h"], b["h"], max(1, len(channels))), F.lit(0.0)).alias("similarity")))
+    later = lambda a, i: F.transform(F.slice(F.col("items"), i + 2, F.size("items")), lambda b: F.struct(a["k"].alias("first"), b["k"].alias("second"), F.coalesce(alike(a["h"], b["h"], channels), F.lit(0.0)).alias("similarity")))
     return items.select(album, F.inline(F.flatten(F.transform("items", later))))
 
 

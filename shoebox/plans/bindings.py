@@ -111,7 +111,7 @@ def albums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALBUMS_SQL = """photo AS (SELECT vec_id AS photo_id, vec_id // 12 AS album, vec_id % 12 AS place, embedding FROM embeddings),
 bins AS (SELECT photo_id, album, place, unnest(range(1, len(embedding) + 1)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM photo),
-sims AS (SELECT a.album, a.photo_id AS first, b.photo_id AS second, CASE WHEN corr(a.v, b.v) IS NULL THEN 0 ELSE greatest(0, least(1, (corr(a.v, b.v) + 1) / 2)) END AS similarity
+sims AS (SELECT a.album, a.photo_id AS first, b.photo_id AS second, CASE WHEN corr(a.v, b.v) IS NULL THEN 1 ELSE greatest(0, least(1, (corr(a.v, b.v) + 1) / 2)) END AS similarity
     FROM bins a JOIN bins b ON a.album = b.album AND a.place < b.place AND a.k = b.k GROUP BY ALL)"""
 
 

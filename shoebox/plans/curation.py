@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from shoebox.config import Settings
 from shoebox.functions import dates, faces, pixels, quality
-from shoebox.operators import curate
-from shoebox.sources import library
+from shoebox.operators import curate, diversity
+from shoebox.sources import exif, library
 
 
 def score_quality(images: DataFrame, settings: Settings = Settings(), key: str = "origin") -> DataFrame:
@@ -26,17 +26,37 @@ def curate_years(photos: DataFrame, settings: Settings = Settings(), by: tuple[s
     return curate.final_order(curate.selected(scored, list(by), settings.curation), list(by))
 
 
+def photo_dates(files: DataFrame) -> DataFrame:
+    """Rows (path, exif, taken) of files with content: the date of the first EXIF field that is there, and the date that counts."""
+    texts = exif.exif_texts(files)
+    when = dates.exif_datetime(dates.first_present(F.col("original"), F.col("plain"), F.col("digitized")))
+    return files.select("path", "modificationTime").join(texts, "path").select("path", when.alias("exif"), dates.photo_datetime(when, F.col("modificationTime").cast("timestamp_ntz")).alias("taken"))
+
+
 def curate_folder(spark: SparkSession, roots: list[str], year: int, detector: Callable | None = None, settings: Settings = Settings()) -> DataFrame:
-    """From files to the selection of a year. The year is tested on file times before any pixel is read; undated
-    photos pass. Without a detector no photo has faces."""
-    files = library.photos(library.scan_files(spark, roots), config=settings.scan).filter(dates.in_year_or_undated(F.col("modificationTime"), F.lit(year)))
-    images = spark.read.format("image").option("recursiveFileLookup", "true").load(roots).select("image.*")
-    wanted = images.join(files.select(F.col("path").alias("origin"), "modificationTime"), "origin").filter("height > 0")
+    """From files to the selection of a year. A photo's date is that of its EXIF fields, or else of its file; undated photos
+    pass. Dates are read before any pixel is, and only photos of the year are scored. Without a detector no photo has faces."""
+    there = [r for r in roots if r not in library.missing_roots(spark, roots)]
+    if not there:
+        raise FileNotFoundError(f"no such folders: {', '.join(roots)}")
+    dated = photo_dates(library.photos(library.scan_files(spark, there, content=True), config=settings.scan))
+    files = dated.filter(dates.in_year_or_undated(F.col("taken"), F.lit(year)))
+    images = spark.read.format("image").option("recursiveFileLookup", "true").load(there).select("image.*")
+    images = images.withColumn("origin", F.regexp_replace("origin", "^file:/+", "file:/"))  # local paths as file scans write them
+    wanted = images.join(files.select(F.col("path").alias("origin"), "taken"), "origin").filter("height > 0")
     scored = score_quality(wanted, settings)
     if detector is None:
-        found = wanted.select("origin", F.array().cast("array<struct<x:int,y:int,w:int,h:int,smile:double>>").alias("faces"), "width", "height", "modificationTime")
+        found = wanted.select("origin", F.array().cast("array<struct<x:int,y:int,w:int,h:int,smile:double>>").alias("faces"), "width", "height", "taken")
     else:
-        found = faces.detect_faces(wanted, detector, "origin").join(wanted.select("origin", "width", "height", "modificationTime"), "origin")
-    human = faces.score_significance(found, settings.emotional).select("origin", F.col("composite").alias("emotional"), "face_count", "modificationTime")
-    photos = scored.filter("error is null").join(human, "origin").select(F.col("origin").alias("photo_id"), F.lit(year).alias("year"), F.month("modificationTime").cast("long").alias("month"), F.col("composite").alias("quality"), "emotional", "face_count")
+        found = faces.detect_faces(wanted, detector, "origin").join(wanted.select("origin", "width", "height", "taken"), "origin")
+    human = faces.score_significance(found, settings.emotional).select("origin", F.col("composite").alias("emotional"), "face_count", "taken")
+    photos = scored.filter("error is null").join(human, "origin").select(F.col("origin").alias("photo_id"), F.lit(year).alias("year"), F.month("taken").cast("long").alias("month"), F.col("composite").alias("quality"), "emotional", "face_count")
     return curate_years(photos, settings)
+
+
+def image_similarity(images: DataFrame, album: str = "album", key: str = "origin", order: str = "place", settings: Settings = Settings()) -> DataFrame:
+    """(album, first, second, similarity) of the pairs of each album by their colours: the mean correlation of the hue, saturation and
+    value histograms. Images that can't be read compare as 0."""
+    found = pixels.measure_pixels(images, key, settings.quality.max_side).select(key, F.coalesce("histogram", F.array().cast("array<double>")).alias("histogram"))
+    placed = images.select(album, order, key).join(found, key)
+    return diversity.similarity_pairs(placed, album, key, "histogram", order, pixels.HSV_BINS)

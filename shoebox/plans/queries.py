@@ -12,6 +12,7 @@ from shoebox.config import STRATEGIES, CurationConfig, Settings
 from shoebox.functions import dates, faces, pixels, quality
 from shoebox.operators import cache, curate, diversity, reports
 from shoebox.operators.ordering import top_per_group
+from shoebox.schemas import SELECTION
 from shoebox.sources import documents, library, media
 
 from . import bindings as b
@@ -93,13 +94,17 @@ def fill_to_twelve(spark, sf_dir):
 
 
 @query(f"""{_PICKS}, few AS (SELECT year, avg(quality) AS avg_quality, avg(emotional) AS avg_emotional, avg(combined) AS avg_combined, min(combined) AS min_combined, max(combined) AS max_combined, min(quality) AS min_quality, max(quality) AS max_quality,
-    min(emotional) AS min_emotional, max(emotional) AS max_emotional, count(DISTINCT month) AS months_represented, count(*) FILTER (WHERE face_count > 0) AS photos_with_faces, count(*) AS photos FROM picks GROUP BY year)
-SELECT year, total_candidates, {r6('avg_quality', 'avg_emotional', 'avg_combined', 'min_combined', 'max_combined', 'min_quality', 'max_quality', 'min_emotional', 'max_emotional')}, months_represented, photos_with_faces, photos, CAST(0 AS BIGINT) AS photos_with_smiles
-FROM few JOIN (SELECT year, count(*) AS total_candidates FROM scored GROUP BY year) USING (year)""")
+    min(emotional) AS min_emotional, max(emotional) AS max_emotional, count(DISTINCT month) AS months_represented, count(*) FILTER (WHERE face_count > 0) AS photos_with_faces, count(*) AS photos FROM picks GROUP BY year),
+bins AS (SELECT year, pick, unnest(range(1, len(embedding) + 1)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM picks JOIN embeddings ON vec_id = year % 40 * 12 + pick),
+likes AS (SELECT a.year, coalesce(greatest(0, least(1, (corr(a.v, b.v) + 1) / 2)), 1) AS similarity FROM bins a JOIN bins b ON a.year = b.year AND a.pick < b.pick AND a.k = b.k GROUP BY a.year, a.pick, b.pick),
+likeness AS (SELECT year, avg(similarity) AS alike FROM likes GROUP BY year)
+SELECT year, total_candidates, {r6('avg_quality', 'avg_emotional', 'avg_combined', 'min_combined', 'max_combined', 'min_quality', 'max_quality', 'min_emotional', 'max_emotional')}, months_represented, photos_with_faces, photos, CAST(0 AS BIGINT) AS photos_with_smiles,
+    round(coalesce(1 - alike, 0), 6) AS diversity_score
+FROM few JOIN (SELECT year, count(*) AS total_candidates FROM scored GROUP BY year) USING (year) LEFT JOIN likeness USING (year)""")
 def selection_stats(spark, sf_dir):
     photos = scored(spark, sf_dir)
-    out = curate.selection_stats(curate.by_month(photos, ["year"]), photos, ["year"])
-    return out.select("year", "total_candidates", *six("avg_quality", "avg_emotional", "avg_combined", "min_combined", "max_combined", "min_quality", "max_quality", "min_emotional", "max_emotional"), "months_represented", "photos_with_faces", "photos", "photos_with_smiles")
+    out = statistics_of(spark, sf_dir, curate.by_month(photos, ["year"]), photos)
+    return out.select("year", "total_candidates", *six("avg_quality", "avg_emotional", "avg_combined", "min_combined", "max_combined", "min_quality", "max_quality", "min_emotional", "max_emotional"), "months_represented", "photos_with_faces", "photos", "photos_with_smiles", *six("diversity_score"))
 
 
 @query(f"""WITH {b.CANDIDATES_SQL} SELECT year, count(*) AS photos, round(avg(quality), 6) AS avg_quality, round(avg(emotional), 6) AS avg_emotional, round(avg(combined), 6) AS avg_combined, count(*) FILTER (WHERE combined >= 70) AS high,
@@ -165,9 +170,26 @@ def export_names(spark, sf_dir):
     return out.select("year", "photo_id", curate.export_name(c("place"), c("combined"), F.concat("photo_id", F.lit(".jpg"))).alias("name"))
 
 
-@query()
+def statistics_of(spark: SparkSession, sf_dir: str, chosen: DataFrame, photos: DataFrame) -> DataFrame:
+    """Statistics with the diversity of each year's selection; a picked photo's histogram is a vector of the table."""
+    vectors = b.table(spark, sf_dir, "embeddings").select(c("vec_id"), c("embedding").cast("array<double>").alias("histogram"))
+    pictures = chosen.withColumn("vec_id", c("year") % 40 * 12 + c("pick")).join(vectors, "vec_id")
+    return curate.selection_stats(chosen, photos, ["year"], diversity.similarity_pairs(pictures, album="year", order="pick"))
+
+
+@query(f"""{_PICKS}, ordered AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY coalesce(month, 999), combined DESC, pick) - 1 AS place FROM picks), n AS (SELECT year, count(*) AS total_candidates FROM scored GROUP BY year),
+a AS (SELECT year, round(avg(combined), 6) AS avg_combined FROM picks GROUP BY year)
+SELECT CAST(year AS INTEGER) AS year, 'balanced' AS strategy, '2025-01-01T00:00:00' AS created_at, total_candidates, avg_combined, CAST(place AS INTEGER) AS place, photo_id AS photo_path, ts AS timestamp, CAST(month AS INTEGER) AS month, {r6('combined')},
+    CASE WHEN quality >= 70 THEN 'high' WHEN quality >= 50 THEN 'acceptable' ELSE 'low' END AS quality_tier, face_count > 0 AS has_faces FROM ordered JOIN n USING (year) JOIN a USING (year)""")
 def selection_documents(spark, sf_dir):
-    return curate.selection_document(curate_years(b.candidates(spark, sf_dir)), ["year"])
+    """The documents, read back: what they hold of each photo and of the whole."""
+    photos = scored(spark, sf_dir)
+    chosen = curate.final_order(curate.by_month(photos, ["year"]), ["year"]).withColumns({"timestamp": c("ts").cast("timestamp_ntz"), "quality_tier": quality.quality_tier(c("quality")), "emotional_tier": faces.emotional_tier(c("emotional"))})
+    written = curate.selection_document(chosen, statistics_of(spark, sf_dir, chosen, photos), "year", F.lit("balanced"), F.lit("2025-01-01T00:00:00"))
+    read = written.select(F.from_json("document", SELECTION, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("d")).select("d.*")
+    return documents.selected_photos(read, "created_at", "stats").select(
+        "year", "strategy", "created_at", "stats.total_candidates", F.round("stats.avg_combined", 6).alias("avg_combined"), "place", "photo_path", "timestamp", "month", F.round("combined_score", 6).alias("combined"), "metadata.quality_tier", "metadata.has_faces"
+    )
 
 
 @query(f"WITH {b.CANDIDATES_SQL}, t AS (SELECT l_suppkey, month, CASE WHEN quality >= 70 THEN 'high' WHEN quality >= 50 THEN 'acceptable' ELSE 'low' END AS tier FROM cand) SELECT l_suppkey, count(*) AS total, count(*) FILTER (WHERE tier = 'high') AS high, count(*) FILTER (WHERE tier = 'acceptable') AS acceptable, count(*) FILTER (WHERE tier = 'low') AS low, count(DISTINCT month) AS months FROM t GROUP BY l_suppkey")
@@ -176,10 +198,15 @@ def library_reports(spark, sf_dir):
     return photos.groupBy("l_suppkey").agg(F.count("*").alias("total"), *(F.count_if(c("tier") == t).alias(t) for t in ("high", "acceptable", "low")), F.count_distinct("month").alias("months"))
 
 
-@query()
+@query(f"""WITH {b.CACHE_SQL}, t AS (SELECT *, CASE WHEN composite_score >= 70 THEN 'high' WHEN composite_score >= 50 THEN 'acceptable' ELSE 'low' END AS tier FROM cached)
+SELECT source, photo_path AS name, {r6('composite_score')}, tier, CAST(sum(CASE WHEN tier = 'high' THEN 1 ELSE 0 END) OVER (PARTITION BY source) AS BIGINT) AS high FROM t""")
 def library_report_documents(spark, sf_dir):
+    """The reports, read back: every photo, and the high ones of its source summed over the source's pages."""
     photos = b.cache_rows(spark, sf_dir).select("source", c("photo_path").alias("name"), c("composite_score").alias("composite"), c("sharpness_score").alias("sharpness"), c("exposure_score").alias("exposure"), quality.quality_tier(c("composite_score")).alias("tier"))
-    return documents.library_report(photos.withColumn("shelf", F.pmod(F.xxhash64("name"), F.lit(64))), ["source", "shelf"])
+    pages = documents.library_report(documents.paged(photos, "source", "name", 500), ["source", "page"])
+    whole = pages.withColumn("high", F.sum("high").over(W.Window.partitionBy("source")))
+    read = whole.select("source", "high", F.explode(F.from_json("photos", "array<struct<name string, composite double, tier string>>")).alias("p"))
+    return read.select("source", "p.name", F.round("p.composite", 6).alias("composite_score"), "p.tier", "high")
 
 
 @query(f"{_PICKS}, n AS (SELECT year, count(*) AS k FROM picks GROUP BY year) SELECT year, photo_id, CASE WHEN k < 12 THEN 'top_heavy' ELSE 'balanced' END AS strategy FROM picks JOIN n USING (year)")
@@ -405,11 +432,17 @@ def scan_estimate(spark, sf_dir):
     return library.estimated_count(rows, ["source", "sub"])
 
 
-@query(f"""WITH {b.PAGES_SQL}, n AS (SELECT page_id, regexp_extract(path, '([^/]*)$', 1) AS name FROM paged), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id) - 1 AS k FROM n)
-SELECT page_id, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '(\\.[^.]*)?$', '') || '_' || k || regexp_extract(name, '(\\.[^.]*)?$', 1) END AS stored_name FROM k""")
+@query("""WITH RECURSIVE n AS (SELECT page_id, 'p' || (page_id % 29) || CASE WHEN page_id % 4 = 0 THEN '_' || (page_id % 3 + 1) ELSE '' END AS stem, ['.jpg', '', '.tar.gz'][page_id % 3 + 1] AS tail, page_id % 29 AS family FROM pages),
+m AS (SELECT page_id, family, regexp_extract(stem || tail, '^(.+?)(\\.[^.]*)?$', 1) AS head, regexp_extract(stem || tail, '^.+?(\\.[^.]*)?$', 1) AS suffix, row_number() OVER (PARTITION BY family ORDER BY page_id) AS k, count(*) OVER (PARTITION BY family) AS many FROM n),
+r AS (SELECT family, page_id, k, head || suffix AS stored_name, [head || suffix] AS taken FROM m WHERE k = 1
+    UNION ALL SELECT family, page_id, k, free AS stored_name, list_append(taken, free) AS taken FROM (SELECT m.family, m.page_id, m.k, r.taken,
+        list_filter(list_concat([head || suffix], list_transform(range(1, many + 1), lambda i: head || '_' || i || suffix)), lambda x: NOT list_contains(r.taken, x))[1] AS free FROM r JOIN m ON m.family = r.family AND m.k = r.k + 1))
+SELECT page_id, stored_name FROM r""")
 def collision_free_names(spark, sf_dir):
-    names = b.page_files(spark, sf_dir).select("page_id", library.file_name(c("path")).alias("name"))
-    return library.collision_free(names, "name", ["page_id"]).select("page_id", "stored_name")
+    """Names that get into each other's way in every manner; the SQL tries name after name, row after row."""
+    i = c("page_id")
+    name = F.concat(F.lit("p"), (i % 29).cast("string"), F.when(i % 4 == 0, F.concat(F.lit("_"), (i % 3 + 1).cast("string"))).otherwise(""), F.element_at(F.array(F.lit(".jpg"), F.lit(""), F.lit(".tar.gz")), (i % 3 + 1).cast("int")))
+    return library.collision_free(b.table(spark, sf_dir, "pages").select("page_id", name.alias("name")), "name", "page_id").select("page_id", "stored_name")
 
 
 @query(f"WITH {b.PAGES_SQL} SELECT page_id, CASE ext WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.png' THEN 'image/png' WHEN '.heic' THEN 'image/heic' WHEN '.heif' THEN 'image/heif' ELSE 'application/octet-stream' END AS content_type, url || '=d' AS download FROM typed")
@@ -502,9 +535,9 @@ def year_predicates(spark, sf_dir):
     return sums.withColumn("tolerant", c("strict") + undated).filter("asked").select("year", "strict", "tolerant")
 
 
-@query(f"WITH {b.DATES_SQL} SELECT photo_id % 997 AS album, month(ts) AS month, string_agg(CAST(photo_id AS VARCHAR), ',' ORDER BY photo_id) AS photos FROM stamped WHERE ts IS NOT NULL GROUP BY ALL")
+@query(f"WITH {b.DATES_SQL} SELECT photo_id // 1000 AS album, month(ts) AS month, string_agg(CAST(photo_id AS VARCHAR), ',' ORDER BY photo_id) AS photos FROM stamped WHERE ts IS NOT NULL GROUP BY ALL")
 def photos_by_month(spark, sf_dir):
-    d = with_dates(spark, sf_dir).filter("ts is not null").groupBy((c("photo_id") % 997).alias("album"), F.month("ts").cast("long").alias("month"))
+    d = with_dates(spark, sf_dir).filter("ts is not null").groupBy(F.floor(c("photo_id") / 1000).alias("album"), F.month("ts").cast("long").alias("month"))
     return d.agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("photo_id")), lambda x: x.cast("string"))).alias("photos"))
 
 
@@ -535,7 +568,11 @@ def diversity_stats(spark, sf_dir):
     return out.select("album", *six("avg_similarity", "min_similarity", "max_similarity", "diversity"), "similar_pairs")
 
 
-@query()
+@query(f"""WITH RECURSIVE {b.ALBUMS_SQL}, near AS (SELECT second AS photo_id, list(first) AS l FROM sims WHERE similarity >= 0.6 GROUP BY second),
+q AS (SELECT album, photo_id, row_number() OVER (PARTITION BY album ORDER BY place) AS k, coalesce(l, []) AS l FROM photo LEFT JOIN near USING (photo_id)),
+r AS (SELECT album, k, [photo_id] AS kept FROM q WHERE k = 1 UNION ALL SELECT q.album, q.k, CASE WHEN list_has_any(kept, q.l) THEN kept ELSE list_append(kept, q.photo_id) END FROM r JOIN q ON q.album = r.album AND q.k = r.k + 1),
+z AS (SELECT album, arg_max(kept, k) AS kept FROM r GROUP BY album)
+SELECT album, CAST(unnest(range(len(kept))) AS INTEGER) AS position, unnest(kept) AS photo FROM z""")
 def without_similar(spark, sf_dir):
     return diversity.without_similar(b.albums(spark, sf_dir), threshold=0.6)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.schemas import QUALITY_CACHE, SELECTION
+from shoebox.schemas import EMOTIONAL_CACHE, QUALITY_CACHE, SELECTION
 
 
 def write_selections(selections: DataFrame, path: str) -> None:
@@ -17,9 +17,15 @@ def read_selections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SELECTION).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").json(path)
 
 
-def selected_photos(selections: DataFrame) -> DataFrame:
-    """The photos of selections, with their place from 0."""
-    return selections.select("year", "strategy", F.posexplode("photos").alias("place", "photo")).select("year", "strategy", "place", "photo.*")
+def selected_photos(selections: DataFrame, *keep: str) -> DataFrame:
+    """The photos of selections, with their place from 0, and columns of the selection beside them."""
+    return selections.select("year", "strategy", *keep, F.posexplode("photos").alias("place", "photo")).select("year", "strategy", *keep, "place", "photo.*")
+
+
+def paged(photos: DataFrame, by: str, key: str, size: int) -> DataFrame:
+    """Adds page: each group is dealt to so many pages that one holds about `size` photos, however large the group."""
+    pages = photos.groupBy(by).agg(F.ceil(F.count("*") / size).alias("_pages"))
+    return photos.join(pages, by).withColumn("page", F.pmod(F.xxhash64(key), F.col("_pages"))).drop("_pages")
 
 
 def exported(cache: DataFrame) -> DataFrame:
@@ -36,6 +42,26 @@ def imported(entries: DataFrame) -> DataFrame:
     return out.to(entries.sparkSession.createDataFrame([], QUALITY_CACHE).schema)
 
 
+def exported_emotions(cache: DataFrame) -> DataFrame:
+    """An emotional cache as it is exported: short names, no file size, metadata as JSON text."""
+    short = {"emotion": "emotion_score", "intimacy": "intimacy_score", "engagement": "engagement_score", "composite": "composite_score"}
+    return cache.select("photo_path", "photo_hash", "face_count", "face_coverage", *(F.col(v).alias(k) for k, v in short.items()), "tier", "metadata", "analyzed_at", "algorithm_version")
+
+
+def imported_emotions(entries: DataFrame) -> DataFrame:
+    """Emotional cache rows of exported entries: file size 0, version v1.0 and metadata {} if there are none; entries without hash, path,
+    face count or scores are skipped, and so are those outside the ranges of the scores."""
+    parts = {"emotion_score": ("emotion", 40.0), "intimacy_score": ("intimacy", 100.0), "engagement_score": ("engagement", 100.0), "composite_score": ("composite", 100.0)}
+    good = entries.dropna(subset=["photo_hash", "photo_path", "face_count", "face_coverage", "tier", *(n for n, _ in parts.values())]).filter(F.col("face_count") >= 0)
+    for name, most in (("face_coverage", 1.0), *parts.values()):
+        good = good.filter(F.col(name).between(0.0, most))
+    out = good.select(
+        "photo_hash", "photo_path", F.col("face_count").cast("int").alias("face_count"), "face_coverage", *(F.col(v).alias(k) for k, (v, _) in parts.items()), "tier", F.coalesce("metadata", F.lit("{}")).alias("metadata"),
+        F.lit(0).cast("long").alias("file_size"), F.col("analyzed_at").cast("timestamp_ntz").alias("analyzed_at"), F.coalesce("algorithm_version", F.lit("v1.0")).alias("algorithm_version"),
+    )
+    return out.to(entries.sparkSession.createDataFrame([], EMOTIONAL_CACHE).schema)
+
+
 def library_report(photos: DataFrame, by: list[str]) -> DataFrame:
     """Total, photos by tier, and the photo list of each group as one JSON text, best first. The list is as long as the
     group: group by something bounded."""

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 from shoebox.config import ScanConfig
-
 from shoebox.operators.ordering import top_per_group
 
 
 def scan_files(spark: SparkSession, roots: list[str], recursive: bool = True, content: bool = False) -> DataFrame:
     """(path, length, modificationTime, root[, content]) of the files under the roots. A root that doesn't exist has no
-    files. Content is read only when asked for; it is at most 2 GB a file."""
+    files (missing_roots names those). Content is read only when asked for; it is at most 2 GB a file."""
     parts = []
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for root in roots:
@@ -27,6 +29,13 @@ def scan_files(spark: SparkSession, roots: list[str], recursive: bool = True, co
     return reduce(DataFrame.unionByName, parts)
 
 
+def missing_roots(spark: SparkSession, roots: list[str]) -> list[str]:
+    """The roots that a scan would find nothing under because they don't exist: its errors."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there = lambda root: jvm.org.apache.hadoop.fs.Path(root)
+    return [r for r in roots if not there(r).getFileSystem(conf).exists(there(r))]
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
@@ -101,13 +110,42 @@ def estimated_count(photos: DataFrame, folders: list[str], sample: int = 5) -> D
     return out.select(top, (F.col("here") + F.coalesce(F.col("mean") * F.col("folders"), F.lit(0.0))).cast("long").alias("estimate"))
 
 
-def collision_free(names: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Adds stored_name: a name that was used n times before becomes stem_n.suffix."""
-    from pyspark.sql import window as W
+def collision_free(names: DataFrame, name: str, key: str, span: int = 10_000) -> DataFrame:
+    """Adds stored_name, no two of them equal: in the order of key (a number, each once), a row takes its own name if that is free, else
+    the first free one of stem_1.suffix, stem_2.suffix and so on.
 
-    n = F.row_number().over(W.Window.partitionBy(name).orderBy(*order)) - 1
+    Names that can get into each other's way are those of one family: equal but for `_n` at the ends of their stems.
+    A family with one distinct name is numbered by counts over ranges of `span` keys, however often the name
+    occurs. The others, in which an `a_1.jpg` meets copies of `a.jpg`, are gone through in order, a family to a group.
+    """
     stem, suffix = F.regexp_extract(F.col(name), r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(F.col(name), r"^.+?(\.[^.]*)?$", 1)
-    return names.withColumn("_n", n).withColumn("stored_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), suffix))).drop("_n")
+    rows = names.withColumns({"_stem": stem, "_suffix": suffix, "_base": F.regexp_replace(stem, r"(_[1-9][0-9]*)+$", "")})
+    families = rows.groupBy("_base", "_suffix").agg(F.min(name).alias("_x"), F.max(name).alias("_y"), F.count("*").alias("_size"))
+    mixed = families.filter("_x <> _y and _size > 1").select("_base", "_suffix")
+    alone = rows.join(mixed, ["_base", "_suffix"], "left_anti").withColumn("_range", F.floor(F.col(key) / span))
+    counts = alone.groupBy(name, "_range").agg(F.count("*").alias("_n"))
+    before = W.Window.partitionBy(name).orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = counts.select(name, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(W.Window.partitionBy(name, "_range").orderBy(key)) - 1
+    numbered = alone.join(offsets, [name, "_range"]).withColumn("_place", place)
+    numbered = numbered.withColumn("stored_name", F.when(F.col("_place") == 0, F.col(name)).otherwise(F.concat("_stem", F.lit("_"), F.col("_place").cast("string"), "_suffix")))
+
+    kept = names.columns
+
+    def in_order(family: pd.DataFrame) -> pd.DataFrame:
+        family, taken, tried, out = family.sort_values(key), set(), {}, []
+        for wanted, head, tail in zip(family[name], family["_stem"], family["_suffix"], strict=True):
+            free = wanted
+            while free in taken:
+                tried[wanted] = tried.get(wanted, 0) + 1  # lower numbers are taken for good
+                free = f"{head}_{tried[wanted]}{tail}"
+            taken.add(free)
+            out.append(free)
+        return family[kept].assign(stored_name=out)
+
+    schema = T.StructType([*names.schema.fields, T.StructField("stored_name", T.StringType())])
+    together = rows.join(mixed, ["_base", "_suffix"], "left_semi").groupBy("_base", "_suffix").applyInPandas(in_order, schema)
+    return numbered.select(*names.columns, "stored_name").unionByName(together)
 
 
 # Content types by extension.

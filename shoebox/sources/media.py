@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
@@ -54,27 +54,42 @@ def item_metadata(items: DataFrame) -> DataFrame:
     return items.withColumns({"timestamp": when, "format": F.coalesce(F.try_element_at(known, F.col("mimeType")), F.lit("jpg")), "width": side("width"), "height": side("height"), "url": download_url(F.col("baseUrl"))}).withColumn("month", F.month("timestamp"))
 
 
+def checked(status: int, message: str = "", retry_after: int | None = None) -> None:
+    """Raises the error that an HTTP status stands for; returns for a success."""
+    if status in (401, 403):
+        raise AuthenticationError(message or f"status {status}")
+    if status == 429:
+        raise RateLimitError(message or "too many requests", retry_after)
+    if status >= 400:
+        raise SourceError(message or f"status {status}")
+
+
 class Month(InputPartition):
-    def __init__(self, start: str, end: str) -> None:
+    """The days of one month; without bounds the undated items."""
+
+    def __init__(self, start: str | None, end: str | None) -> None:
         self.start, self.end = start, end
 
 
 class ListingReader(DataSourceReader):
-    """Reads the items of a date range, a partition for each month. A subclass supplies page()."""
+    """Reads the items of a date range, a partition for each month, and the undated ones if no range is asked for. A subclass
+    supplies page(), which asks a service."""
 
     def __init__(self, options: dict) -> None:
         self.options = options
-        self.start = dt.date.fromisoformat(options.get("start", "1970-01-01"))
-        self.end = dt.date.fromisoformat(options.get("end", "2100-12-31"))
+        self.whole = "start" not in options and "end" not in options
+        self.size = int(options.get("pageSize", "100"))
+        self.start = dt.date.fromisoformat(options.get("start", "1990-01-01"))
+        self.end = dt.date.fromisoformat(options["end"]) if "end" in options else dt.date.today()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds on `day` narrow the range that is asked for; all filters are also kept for Spark."""
         for f in filters:
             if getattr(f, "attribute", None) == ("day",):
                 if isinstance(f, (GreaterThanOrEqual, EqualTo)):
-                    self.start = max(self.start, f.value)
+                    self.start, self.whole = max(self.start, f.value), False
                 if isinstance(f, (LessThanOrEqual, EqualTo)):
-                    self.end = min(self.end, f.value)
+                    self.end, self.whole = min(self.end, f.value), False
             yield f
 
     def partitions(self) -> list[InputPartition]:
@@ -83,54 +98,98 @@ class ListingReader(DataSourceReader):
             after = (at.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
             out.append(Month(at.isoformat(), min(self.end, after - dt.timedelta(days=1)).isoformat()))
             at = after
-        return out or [Month(self.start.isoformat(), self.end.isoformat())]
-
-    def page(self, start: str, end: str, token: str | None) -> dict:
-        """One listing page: a pages file (JSON lines) of the option `path`, filtered by day; it stands in for a service."""
-        items = []
-        with open(self.options["path"], encoding="utf-8") as lines:
-            for line in lines:
-                for item in json.loads(line).get("mediaItems", []):
-                    day = (item.get("mediaMetadata", {}).get("creationTime") or "")[:10]
-                    if start <= day <= end:
-                        items.append(item)
-        return {"mediaItems": items}
+        return [*out, *([Month(None, None)] if self.whole else [])] or [Month(self.start.isoformat(), self.end.isoformat())]
+
+    def page(self, start: str | None, end: str | None, token: str | None, size: int) -> dict:
+        """One listing page of at most size items after the token: {"mediaItems": [...], "nextPageToken": ...}. start and end are
+        days; both None: undated items. Raises what checked() raises."""
+        raise NotImplementedError
 
     def read(self, partition: Month) -> Iterator[tuple]:
         token = None
         while True:
-            found = self.page(partition.start, partition.end, token)
+            found = self.page(partition.start, partition.end, token, self.size)
             for x in found.get("mediaItems", []):
                 if x.get("baseUrl"):
                     created = x.get("mediaMetadata", {}).get("creationTime")
-                    yield x.get("id"), x.get("filename"), x["baseUrl"], x.get("mimeType"), created, dt.date.fromisoformat(created[:10]) if created else None
+                    yield x.get("id"), x.get("filename"), x["baseUrl"], x.get("productUrl"), x.get("mimeType"), created, dt.date.fromisoformat(created[:10]) if created else None
             token = found.get("nextPageToken")
             if not token:
                 return
 
 
 class MediaListing(DataSource):
-    """spark.read.format("media_listing").option("path", ...).option("start", ...).option("end", ...)."""
+    """A listing service as a data source: a subclass names its reader, and is registered under its name()."""
+
+    reader_class: type[ListingReader] = ListingReader
 
     @classmethod
     def name(cls) -> str:
         return "media_listing"
 
     def schema(self) -> str:
-        return "id string, filename string, baseUrl string, mimeType string, creationTime string, day date"
+        return "id string, filename string, baseUrl string, productUrl string, mimeType string, creationTime string, day date"
 
     def reader(self, schema) -> DataSourceReader:
-        return ListingReader(self.options)
+        return self.reader_class(self.options)
+
+
+def saved_listing(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The items of saved listing pages, one JSON page a line, in the layout of a listing source. With a bound, undated items are left out."""
+    items = spark.read.schema(MEDIA_PAGE).json(path).select(F.inline("mediaItems")).filter(F.coalesce(F.length("baseUrl"), F.lit(0)) > 0)
+    created = F.col("mediaMetadata.creationTime")
+    out = items.select("id", "filename", "baseUrl", "productUrl", "mimeType", created.alias("creationTime"), F.try_to_date(F.substring(created, 1, 10), "yyyy-MM-dd").alias("day"))
+    for bound in ([F.col("day") >= F.lit(start)] if start else []) + ([F.col("day") <= F.lit(end)] if end else []):
+        out = out.filter(bound)
+    return out
+
+
+def fetched(items: DataFrame, fetch: Callable[[str], bytes], url: str = "url", key: str = "id") -> DataFrame:
+    """Rows (key, content, error) for each item: what fetch gives for its URL. An item that fails with DownloadError is skipped: its content
+    is null and error says why. Other errors (refused access, too many requests) end the job, as every item would meet them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for address in frame[url]:
+                try:
+                    rows.append((fetch(address), None))
+                except DownloadError as e:
+                    rows.append((None, str(e)))
+            out = pd.DataFrame(rows, columns=["content", "error"])
+            out.insert(0, key, frame[key].to_numpy())
+            yield out
+
+    return items.select(key, url).mapInPandas(run, f"{key} {items.schema[key].dataType.simpleString()}, content binary, error string")
+
+
+def original_urls(paths: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each asked path with the address of its photo in the service (productUrl); null for a path that isn't stored. stored: (path, productUrl)."""
+    return paths.join(stored.select("path", F.col("productUrl").alias("original_url")).dropDuplicates(["path"]), "path", "left")
+
+
+def cleaned(spark: SparkSession, folder: str, paths: list[str] | None = None) -> int:
+    """Deletes the files of a cache folder (or those of the paths that lie in it) and gives their number. What is already gone is no error,
+    so it can be called again and again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(conf)
+    if not files.exists(root):
+        return 0
+    mine = [jvm.org.apache.hadoop.fs.Path(p) for p in paths if f"/{p}".startswith(f"/{folder.rstrip('/')}/")] if paths is not None else [x.getPath() for x in files.listStatus(root)]
+    return sum(bool(files.delete(p, True)) for p in mine)
 
 
-def source(spark: SparkSession, kind: str, **options: str) -> DataFrame:
-    """A library by kind: `local` (path) or `media_listing` (path, start, end)."""
+def source(spark: SparkSession, kind: str, listing: type[MediaListing] | None = None, **options: str) -> DataFrame:
+    """A library by kind: `local` (path), `saved_listing` (path, start, end), or `listing` (a subclass of MediaListing and its options)."""
     if kind == "local":
         from .library import scan_files
 
         return scan_files(spark, [options["path"]])
-    if kind == "media_listing":
+    if kind == "saved_listing":
+        return saved_listing(spark, options["path"], options.get("start"), options.get("end"))
+    if kind == "listing" and listing is not None:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # lets bounds on the day narrow the listing
-        spark.dataSource.register(MediaListing)
-        return spark.read.format(kind).options(**options).load()
+        spark.dataSource.register(listing)
+        return spark.read.format(listing.name()).options(**options).load()
     raise ValueError(f"unknown kind of source: {kind}")

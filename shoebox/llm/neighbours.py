@@ -14,8 +14,9 @@ the length of the longest, which turns the largest inner product into the smalle
    within the radius, or its own last radius, estimated from its distances to the sample, was searched.
    Narrow windows are counted entry by entry, so only rows inside them are touched; wide ones, which hold a large
    part of the block anyway, wait for the last radius and are counted by comparing ranks.
-4. Queries that have fewer than k verified neighbours within their last radius over all blocks visit the same
-   cells once more, and there every vector is verified. So a query has k rows, or as many as there are.
+4. Only neighbours within a query's last radius leave a block, some k of them over all blocks however many there are.
+   Queries that then have fewer than k visit the same cells once more, and there every vector is verified, up to
+   the bound of their k-th distance. So a query has k rows, or as many as there are.
 """
 
 from __future__ import annotations
@@ -45,9 +46,9 @@ class CollisionConfig:
     projections: int = 96
     width: float = 0.9
     steps: tuple[float, ...] = (0.25, 0.5, 1.0)
-    margin: float = 1.02
+    margin: float = 1.0
     slack: float = 1.8
-    sample: int = 4096
+    sample: int = 8192
     cells: int = 512
     block: int = 4096
     query_block: int = 2048
@@ -135,11 +136,12 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
             active, seen = active[going], seen[going]
             if not len(active):
                 break
+    best[best < (longest * lengths * (1 - last**2 / 2))[:, None]] = -np.inf  # what lies beyond the last radius is no result of this search
     return best, best_ids
 
 
-def search_all(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """What search gives, with every vector of the block looked at. A matrix product, whose last bits depend on the
+def search_all(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, longest: float, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What search gives, with every vector of the block looked at, up to the bound of each query's k-th distance. A matrix product, whose last bits depend on the
     place in it, picks the k best and those within rounding of them; these are scored as in search, so ties stay ties."""
     best, best_ids = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
     rounding = 1e-9 * np.linalg.norm(vectors, axis=1).max() * np.linalg.norm(queries, axis=1)
@@ -153,6 +155,8 @@ def search_all(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_
         for part in range(0, len(q), 65536):
             x, y = rows[q[part : part + 65536]], v[part : part + 65536]
             _merge(best, best_ids, x, (vectors[y] * queries[x]).sum(axis=1), ids[y], k)
+    lengths = np.linalg.norm(queries, axis=1)
+    best[best < (longest * lengths * (1 - (bound + 1e-6) ** 2 / 2))[:, None]] = -np.inf
     return best, best_ids
 
 
@@ -228,18 +232,18 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
                 units = asked(_dense(part.column("v")))
                 last, bound = query_radii(units, part.column("id").to_numpy(), near, near_ids, n, k, cfg.margin)
                 visits = distances(units, middle) - reach <= bound[:, None] + 1e-6
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(last), pa.array([np.flatnonzero(x).astype(np.int32) for x in visits], pa.list_(pa.int32()))], names=["id", "v", "last", "visits"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(last), pa.array(bound), pa.array([np.flatnonzero(x).astype(np.int32) for x in visits], pa.list_(pa.int32()))], names=["id", "v", "last", "bound", "visits"])
 
-    asking = written(celled.filter("asks").select("id", "v").mapInArrow(routed, "id long, v array<double>, last double, visits array<int>"), folder, "asking")
+    asking = written(celled.filter("asks").select("id", "v").mapInArrow(routed, "id long, v array<double>, last double, bound double, visits array<int>"), folder, "asking")
     order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     blocks = F.element_at(F.array(*(F.lit(max(1, -(-about.get(c, (0, 0))[0] // cfg.block))) for c in range(len(centres)))), F.col("cell") + 1)
 
     def ranked(asking: DataFrame, exact: bool) -> DataFrame:
-        visiting = asking.select("id", "v", "last", F.explode("visits").alias("cell"))
+        visiting = asking.select("id", "v", "last", "bound", F.explode("visits").alias("cell"))
         crowd = {r["cell"]: r["count"] for r in visiting.groupBy("cell").count().collect()}
         query_blocks = F.element_at(F.array(*(F.lit(-(-crowd.get(c, 0) // cfg.query_block)) for c in range(len(centres)))), F.col("cell") + 1)
         left = celled.withColumn("many", query_blocks).filter("many > 0").select("id", "v", "cell", block_of(1, blocks).alias("block"), every(F.col("many")).alias("query_block"))
-        right = visiting.select("id", "v", "last", "cell", block_of(2, query_blocks).alias("query_block"), every(blocks).alias("block"))
+        right = visiting.select("id", "v", "last", "bound", "cell", block_of(2, query_blocks).alias("query_block"), every(blocks).alias("block"))
 
         def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
             if not vectors.num_rows or not queries.num_rows:
@@ -247,7 +251,7 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
             dense = lambda t: _dense(t["v"].combine_chunks())
             who = queries["id"].to_numpy()
             block = dense(vectors), vectors["id"].to_numpy(), dense(queries), who
-            best, ids = search_all(*block, k) if exact else search(*block, longest, queries["last"].to_numpy(), k, cfg)
+            best, ids = search_all(*block, longest, queries["bound"].to_numpy(), k) if exact else search(*block, longest, queries["last"].to_numpy(), k, cfg)
             found = np.isfinite(best)
             return pa.table({"query_id": np.repeat(who, k)[found.ravel()], "id": ids[found], "score": best[found]})
 
@@ -259,7 +263,7 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
     reached = first.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("found"), F.min("score").alias("least"))
     within = longest * (1 - F.col("last") ** 2 / 2) * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     short = asking.join(grows(reached), "id", "left").filter((F.coalesce("found", F.lit(0)) < min(k, max(n - 1, 0))) | (F.col("least") < within))
-    short = written(short.select("id", "v", "last", "visits"), folder, "short")
+    short = written(short.select("id", "v", "last", "bound", "visits"), folder, "short")
     if short.limit(1).count():
         done = first.join(grows(short.select(F.col("id").alias("query_id"))), "query_id", "left_anti")
         first = written(done.unionByName(ranked(short, True)), folder, "all")

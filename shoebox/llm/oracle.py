@@ -46,4 +46,17 @@ h AS (SELECT page_id, body, max(page_id) OVER (PARTITION BY body) AS first, list
 SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN page_id < first THEN first END AS refers_to FROM h"""
 
-ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_warc": _WARC, "op8_decontamination": _CONTAMINATION}
+_NEAR = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) = 1 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words), 2))) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sized AS (SELECT doc_id, n, shingle FROM s JOIN n USING (doc_id)),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sized AS a JOIN sized AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT a AS node, b AS other FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+first AS (SELECT node AS doc_id, min(other) AS other FROM reach GROUP BY node)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id, least(doc_id, coalesce(other, doc_id)) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN first USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_warc": _WARC, "op7_near_duplicates": _NEAR, "op8_decontamination": _CONTAMINATION}

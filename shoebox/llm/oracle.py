@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import TEMPLATES
+from .secrets import RULES
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -59,4 +60,23 @@ first AS (SELECT node AS doc_id, min(other) AS other FROM reach GROUP BY node)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id, least(doc_id, coalesce(other, doc_id)) = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN first USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_warc": _WARC, "op7_near_duplicates": _NEAR, "op8_decontamination": _CONTAMINATION}
+
+def _secret_sql() -> str:
+    """Every match of every rule: what lies between matches and the matches themselves give the places. Where case doesn't count, ASCII letters are lowered first."""
+    parts = []
+    for place, r in enumerate(RULES):
+        source, pattern = "low" if r.ignore_case else "body", r.pattern.replace("'", "''")
+        parts.append(f"SELECT row_id, '{r.kind}' AS kind, {place} AS place, {r.base} AS base, {r.least} AS least, string_split_regex({source}, '{pattern}') AS gaps, regexp_extract_all({source}, '{pattern}') AS hits, regexp_extract_all({source}, '{pattern}', {r.group}) AS parts FROM d")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS body, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+runs AS ({" UNION ALL ".join(parts)}),
+places AS (SELECT row_id, kind, place, base, least, unnest(range(len(hits))) AS k, unnest(gaps[1 : len(hits)]) AS gap, unnest(hits) AS hit, unnest(parts) AS part FROM runs WHERE len(hits) > 0),
+spans AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY row_id, place ORDER BY k) AS BIGINT) AS stop FROM places),
+kept AS (SELECT row_id, kind, place, base, stop - length(hit) AS start, kind || ':' || (stop - length(hit)) || ':' || stop AS span FROM spans WHERE length(part) >= least),
+sums AS (SELECT row_id, {counts}, string_agg(span, ',' ORDER BY start, place) FILTER (WHERE base) AS base_spans, string_agg(span, ',' ORDER BY start, place) AS spans FROM kept GROUP BY row_id)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in RULES if r.base)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN sums USING (row_id)"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_warc": _WARC, "op6_secret_scan": _secret_sql(), "op7_near_duplicates": _NEAR, "op8_decontamination": _CONTAMINATION}

@@ -103,16 +103,34 @@ def test_secrets_against_plain_scan(spark, sf_dir, documents):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in spans) for k in ("assign", "access", "hex")]
 
 
-def test_index_gives_what_full_scans_give(spark):
+def secret_texts():
     rng = random.Random(4)
     pieces = ["password", "api_key", "APIKEY", " = ", ":", "'", '"', "AKIA", "A1B2C3D4E5F6G7H8", "deadbeef" * 4, "é", "eyJ", "abcdefgh123.", "xoxb-", "ghp_", "z" * 40, "\n", "k", "K", "tok", "en=", "secret:", "日"]
-    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    return ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+
+
+def test_index_gives_what_full_scans_give(spark):
+    texts = secret_texts()
     found = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for r in found:
         wanted = {(m.start(), x.kind, m.end()) for x in secrets.RULES for m in x.compiled().finditer(texts[r.doc_id]) if m.end(x.group) - m.start(x.group) >= x.least}
         assert {(s.start, s.kind, s.end) for s in r.spans} == wanted
 
 
+def test_sql_finds_planted_secrets():
+    texts = [*secret_texts(), None]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(texts)])
+    order, some = [r.kind for r in secrets.RULES], 0
+    for doc_id, n_assign, _, n_hex, base, spans in db.execute(ORACLES["op6_secret_scan"]).fetchall():
+        wanted = [(m.start(), x.kind, m.end()) for x in secrets.RULES for m in x.compiled().finditer(texts[doc_id] or "") if m.end(x.group) - m.start(x.group) >= x.least]
+        assert spans == by_start(wanted, order) and base == digest(by_start([w for w in wanted if w[1] in order[:3]], order))
+        assert [n_assign, n_hex] == [sum(w[1] == k for w in wanted) for k in ("assign", "hex")]
+        some += len(wanted)
+    assert some > 100
+
+
 def test_unequal_repeats_are_found(spark):
     rules = tuple(secrets.Rule(f"r{i}", p) for i, p in enumerate(("[ab]{2}cde", "(?:x|yz){1,2}cde", "[ab]?cdefg", "[a-z]{2}cde", "c{0}def")))
     texts = ["abcde", "bacde", "aacde", "xyzcde", "yzxcde", "xcde", "cdefg", "bcdefg", "qrcde", "nothing", ""]

@@ -577,7 +577,13 @@ def without_similar(spark, sf_dir):
     return diversity.without_similar(b.albums(spark, sf_dir), threshold=0.6)
 
 
-@query()
+@query(f"""WITH RECURSIVE {b.ALBUMS_SQL}, sides AS (SELECT first AS x, second AS y, similarity AS v FROM sims UNION ALL SELECT second, first, similarity FROM sims),
+r AS (SELECT album, 1 AS n, [arg_min(photo_id, place)] AS kept FROM photo GROUP BY album UNION ALL SELECT album, n + 1, list_append(kept, x) FROM
+    (SELECT r.album, n, kept, x, place, min(v) AS v FROM r JOIN photo USING (album) JOIN sides ON x = photo_id AND list_contains(kept, y) AND NOT list_contains(kept, x) WHERE n < 5 GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY album ORDER BY v, place) = 1),
+z AS (SELECT album, CASE WHEN (SELECT count(*) FROM photo WHERE photo.album = t.album) <= 5 THEN (SELECT list(photo_id ORDER BY place) FROM photo WHERE photo.album = t.album) ELSE t.kept END AS kept
+    FROM (SELECT album, arg_max(kept, n) AS kept FROM r GROUP BY album) t)
+SELECT album, CAST(unnest(range(len(kept))) AS INTEGER) AS position, unnest(kept) AS photo FROM z""")
 def most_diverse(spark, sf_dir):
     return diversity.most_diverse(b.albums(spark, sf_dir), 5)
 

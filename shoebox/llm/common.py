@@ -100,18 +100,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run: keyed bytes times powers of an odd number by place."""
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_bytes: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of the bytes of each (non-empty) run: keyed bytes times powers of an odd number by place. About max_bytes
+    bytes at once are in the temporary arrays; a run may go on in the next ones."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    begins = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(begins, lengths)
+    until = np.cumsum(lengths)
+    begins = until - lengths
     power = np.ones(int(lengths.max()), np.uint64)
     power[1:] = STEP
     np.multiply.accumulate(power, out=power)
-    value = BYTE_KEYS[data[np.repeat(starts, lengths) + place]] * power[place]
-    return mixed(np.add.reduceat(value, begins))
+    value = np.zeros(len(starts), np.uint64)
+    for a in range(0, int(until[-1]), max_bytes):
+        b = min(a + max_bytes, int(until[-1]))
+        here = slice(int(np.searchsorted(until, a, side="right")), int(np.searchsorted(begins, b)))
+        head = np.maximum(begins[here], a)
+        count = np.minimum(until[here], b) - head
+        place = np.arange(a, b) - np.repeat(begins[here], count)
+        keyed = BYTE_KEYS[data[np.repeat(starts[here], count) + place]] * power[place]
+        value[here] += np.add.reduceat(keyed, head - a)
+    return mixed(value)
 
 
 def sha256_hex(text: str) -> str:

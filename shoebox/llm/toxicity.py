@@ -27,7 +27,8 @@ from .common import ALNUM_WORD, BYTE_KEYS, STEP, mixed, run_hashes, spans_of, te
 @dataclass(frozen=True)
 class ToxicityConfig:
     """max_rows bounds the labelled rows of each class that training takes (those with the smallest hash), max_bytes
-    the length of a text it learns from; it is the only sample here, and every text is scored whole."""
+    the length of a text it learns from; it is the only sample here, and every text is scored whole. part: about so many words,
+    and n-grams, are in training's temporary arrays at once."""
 
     max_rows: int = 1500
     max_bytes: int = 1 << 15
@@ -38,6 +39,7 @@ class ToxicityConfig:
     rounds: int = 80
     rate: float = 0.05
     decay: float = 2e-6
+    part: int = 1 << 17
     seed: int = 5
 
 
@@ -112,43 +114,61 @@ def train(texts: list[str], toxic: list[int], cfg: ToxicityConfig = ToxicityConf
         sure = 3.0 if len(label) and label.min() else -3.0
         return ToxicityModel(cfg, np.zeros(cfg.buckets, np.float32), sure)
     which, ids, rows, border = _words(pa.array(texts, pa.string()), cfg)
-    rng, words = np.random.default_rng(cfg.seed), int(which.max()) + 1
+    which = which.astype(np.int32)
+    rng, words = np.random.default_rng(cfg.seed), int(which.max(initial=-1)) + 1
     count = np.bincount(rows, minlength=words)
     vectors = rng.normal(0, 0.1, (cfg.buckets, cfg.size)).astype(np.float32)
     used = np.unique(ids)
     softmax, bias = rng.normal(0, 1, (2, cfg.size)), np.zeros(1)
     weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (len(label) - label.sum()))
-    full = np.flatnonzero(border[1:] > border[:-1])
-    text_of = np.repeat(np.arange(len(label)), np.diff(border))
+    slices = [slice(at, at + cfg.part) for at in range(0, len(ids), cfg.part)]
+    groups = np.unique(np.append(np.searchsorted(border, np.arange(0, border[-1], cfg.part)), len(label)))
     state: dict = {}
 
     def adam(name, value, slope, t, at=slice(None)):
         m, v = state.setdefault(name, (np.zeros_like(value[at]), np.zeros_like(value[at])))
-        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        state[name] = m, v
-        value[at] -= cfg.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        m += 0.1 * (slope - m)
+        np.square(slope, out=slope)
+        v += 0.01 * (slope - v)
+        step = np.sqrt(v / (1 - 0.99**t))
+        step += 1e-9
+        np.divide(m, step, out=step)
+        step *= cfg.rate / (1 - 0.9**t)
+        value[at] -= step
+
+    def summed(to: np.ndarray, what: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        """Sums of what[of] by to, a slice at a time."""
+        return sum((np.bincount(to[part], what[of[part]], size) for part in slices), np.zeros(size))
 
     for t in range(1, cfg.rounds + 1):
-        sharp = 0.5 + 3.5 * min(1.0, t / (0.6 * cfg.rounds))  # from nearly a mean to nearly the maximum
+        done = min(1.0, t / (0.6 * cfg.rounds))
+        sharp = 0.5 + 3.5 * done  # from nearly a mean to nearly the maximum
         difference = softmax[1] - softmax[0]
-        parts = vectors @ difference
-        logit = np.bincount(rows, parts[ids], words) / count
-        window, end, length = _windows(logit[which], border, cfg.window)
-        top = np.zeros(len(label))
-        top[full] = np.maximum.reduceat(window, border[full])
-        e = np.exp(sharp * (window - top[text_of]))
-        mass = np.bincount(text_of, e, len(label))
-        score = top + np.log(np.maximum(mass, 1) / np.maximum(np.diff(border), 1)) / sharp * (1 - min(1.0, t / (0.6 * cfg.rounds)))
-        p = 1 / (1 + np.exp(-np.clip(score + bias[0], -40, 40)))
-        error = (p - label) * weight
-        d_window = error[text_of] * e / np.maximum(mass, 1e-300)[text_of] / length
-        turn = np.bincount(np.arange(len(window)), d_window, len(window) + 1) - np.bincount(end, d_window, len(window) + 1)
-        d_word = np.bincount(which, np.cumsum(turn)[:-1], words) / count
-        d_part = np.bincount(ids, d_word[rows], cfg.buckets)
-        adam("v", vectors, (np.outer(d_part[used], difference) + cfg.decay * vectors[used]).astype(np.float32), t, used)
+        logit = summed(rows, vectors @ difference, ids, words) / count
+        d_word, d_bias = np.zeros(words), 0.0
+        for a, b in zip(groups[:-1], groups[1:], strict=True):  # some texts at once
+            here, inside = which[border[a] : border[b]], border[a : b + 1] - border[a]
+            long = np.diff(inside)
+            full, text_of = np.flatnonzero(long), np.repeat(np.arange(b - a), long)
+            window, end, length = _windows(logit[here], inside, cfg.window)
+            top = np.zeros(b - a)
+            if len(full):
+                top[full] = np.maximum.reduceat(window, inside[full])
+            e = np.exp(sharp * (window - top[text_of]))
+            mass = np.bincount(text_of, e, b - a)
+            score = top + np.log(np.maximum(mass, 1) / np.maximum(long, 1)) / sharp * (1 - done)
+            error = (1 / (1 + np.exp(-np.clip(score + bias[0], -40, 40))) - label[a:b]) * weight[a:b]
+            d_window = error[text_of] * e / np.maximum(mass, 1e-300)[text_of] / length
+            turn = np.bincount(np.arange(len(window)), d_window, len(window) + 1) - np.bincount(end, d_window, len(window) + 1)
+            d_word += np.bincount(here, np.cumsum(turn)[:-1], words)
+            d_bias += error.sum()
+        d_part = summed(ids, d_word / count, rows, cfg.buckets)
+        slope = np.outer(d_part[used].astype(np.float32), difference.astype(np.float32))
+        slope += np.float32(cfg.decay) * vectors[used]
+        adam("v", vectors, slope, t, used)
         pull = vectors.T @ d_part
         adam("s", softmax, np.stack([-pull, pull]) + cfg.decay * softmax, t)
-        adam("b", bias, np.array([error.sum()]), t)
+        adam("b", bias, np.array([d_bias]), t)
     return ToxicityModel(cfg, (vectors @ (softmax[1] - softmax[0])).astype(np.float32), float(bias[0]))
 
 

@@ -424,12 +424,20 @@ def paths_validated(spark, sf_dir):
     return one.join(two, "page_id")
 
 
-@query(f"""WITH {b.CACHE_SQL}, f AS (SELECT source, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 9 END AS sub FROM cached), g AS (SELECT source, sub, count(*) AS n FROM f WHERE sub IS NOT NULL GROUP BY ALL),
-s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sub) AS k, count(*) OVER (PARTITION BY source) AS folders FROM g)
-SELECT h.source, CAST(floor(here + coalesce(mean * folders, 0)) AS BIGINT) AS estimate FROM (SELECT source, count(*) FILTER (WHERE sub IS NULL) AS here FROM f GROUP BY source) h LEFT JOIN (SELECT source, avg(n) AS mean, max(folders) AS folders FROM s WHERE k <= 5 GROUP BY source) m USING (source)""")
+@query(f"""WITH {b.CACHE_SQL}, f AS (SELECT source, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 9 END AS sub, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 <> 0 THEN doc_id % 7 END AS inner_, doc_id % 11 = 0 AS deeper FROM cached),
+g2 AS (SELECT source, sub, inner_, count(*) FILTER (WHERE NOT deeper) AS n FROM f WHERE inner_ IS NOT NULL GROUP BY ALL),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY source, sub ORDER BY inner_) AS k, count(*) OVER (PARTITION BY source, sub) AS folders FROM g2),
+m2 AS (SELECT source, sub, avg(n) AS mean, max(folders) AS folders FROM s2 WHERE k <= 5 GROUP BY ALL),
+h1 AS (SELECT source, sub, count(*) FILTER (WHERE inner_ IS NULL) AS here FROM f WHERE sub IS NOT NULL GROUP BY ALL),
+g1 AS (SELECT source, sub, CAST(floor(here + coalesce(mean * folders, 0)) AS BIGINT) AS n FROM h1 LEFT JOIN m2 USING (source, sub)),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sub) AS k, count(*) OVER (PARTITION BY source) AS folders FROM g1)
+SELECT h.source, CAST(floor(here + coalesce(mean * folders, 0)) AS BIGINT) AS estimate FROM (SELECT source, count(*) FILTER (WHERE sub IS NULL) AS here FROM f GROUP BY source) h LEFT JOIN (SELECT source, avg(n) AS mean, max(folders) AS folders FROM s1 WHERE k <= 5 GROUP BY source) m USING (source)""")
 def scan_estimate(spark, sf_dir):
-    rows = b.cache_rows(spark, sf_dir).withColumn("sub", F.when(c("doc_id") % 4 != 0, c("doc_id") % 9))
-    return library.estimated_count(rows, ["source", "sub"])
+    """A document lies in a folder, in one of its nine subfolders, in one of the seven below that, or deeper still."""
+    i = c("doc_id")
+    inner = F.when((i % 4 != 0) & (i % 5 != 0), i % 7)
+    rows = b.cache_rows(spark, sf_dir).withColumns({"sub": F.when(i % 4 != 0, i % 9), "inner": inner, "deeper": F.when(inner.isNotNull() & (i % 11 == 0), 1)})
+    return library.estimated_count(rows, ["source", "sub", "inner", "deeper"])
 
 
 @query("""WITH RECURSIVE n AS (SELECT page_id, 'p' || (page_id % 29) || CASE WHEN page_id % 4 = 0 THEN '_' || (page_id % 3 + 1) ELSE '' END AS stem, ['.jpg', '', '.tar.gz'][page_id % 3 + 1] AS tail, page_id % 29 AS family FROM pages),

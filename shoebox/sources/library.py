@@ -97,17 +97,26 @@ def split_messages(paths: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select(*paths.columns, message.alias("message"))
 
 
-def estimated_count(photos: DataFrame, folders: list[str], sample: int = 5) -> DataFrame:
+def estimated_count(photos: DataFrame, folders: list[str], sample: int = 5, depth: int = 2) -> DataFrame:
     """Photos by the top folder, estimated from at most `sample` subfolders of each folder: own photos, plus the mean of the
-    sampled subfolders times their number; two levels deep, cut to whole numbers at each. folders: two columns, the
-    second null for photos that lie directly in the first."""
-    top, sub = folders
-    own = photos.groupBy(top).agg(F.count_if(F.col(sub).isNull()).alias("here"))
-    below = photos.filter(F.col(sub).isNotNull()).groupBy(top, sub).agg(F.count("*").alias("n"))
-    number = below.groupBy(top).agg(F.count("*").alias("folders"))
-    mean = top_per_group(below, [top], [F.col(sub)], sample, "place").groupBy(top).agg(F.avg("n").alias("mean"))
-    out = own.join(number, top, "left").join(mean, top, "left")
-    return out.select(top, (F.col("here") + F.coalesce(F.col("mean") * F.col("folders"), F.lit(0.0))).cast("long").alias("estimate"))
+    sampled subfolders' estimates times their number, cut to a whole number at each level. Folders `depth` levels
+    below the top count with their own photos alone. folders: the columns of a photo's folders from the top on, null below the one
+    that it lies in; a column more than depth + 1 marks the photos that lie deeper."""
+    depth = min(depth, len(folders) - 1)
+
+    def own(level: int) -> DataFrame:
+        here = F.count_if(F.col(folders[level + 1]).isNull()) if level + 1 < len(folders) else F.count("*")
+        inside = photos.filter(F.col(folders[level]).isNotNull()) if level else photos
+        return inside.groupBy(*folders[: level + 1]).agg(here.alias("estimate"))
+
+    found = own(depth)
+    for level in reversed(range(depth)):
+        above = folders[: level + 1]
+        number = found.groupBy(*above).agg(F.count("*").alias("folders"))
+        mean = top_per_group(found, above, [F.col(folders[level + 1])], sample, "place").groupBy(*above).agg(F.avg("estimate").alias("mean"))
+        whole = F.col("estimate") + F.coalesce(F.col("mean") * F.col("folders"), F.lit(0.0))
+        found = own(level).join(number, above, "left").join(mean, above, "left").select(*above, whole.cast("long").alias("estimate"))
+    return found
 
 
 def collision_free(names: DataFrame, name: str, key: str, span: int = 10_000) -> DataFrame:

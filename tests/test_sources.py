@@ -36,6 +36,26 @@ def test_scan(spark, tree):
     assert library.missing_roots(spark, [str(tree), str(tree / "missing")]) == [str(tree / "missing")]
 
 
+def test_estimate_goes_two_levels_deep(spark):
+    """Against a recursion over folders: own photos, plus the mean of the first five subfolders times their number."""
+    rng = random.Random(4)
+    paths = [("lib", *(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 1, 2, 2, 2, 3])))) for _ in range(400)]
+
+    def estimate(folder, depth):
+        here = sum(p == folder for p in paths)
+        below = sorted({p[: len(folder) + 1] for p in paths if p[: len(folder)] == folder and len(p) > len(folder)})
+        if depth == 0 or not below:
+            return here
+        return int(here + sum(estimate(s, depth - 1) for s in below[:5]) / len(below[:5]) * len(below))
+
+    rows = spark.createDataFrame([(p + (None,) * 3)[:4] for p in paths], "top string, sub string, inner string, deeper string")
+    columns = rows.columns
+    assert [tuple(r) for r in library.estimated_count(rows, columns).collect()] == [("lib", estimate(("lib",), 2))]
+    assert library.estimated_count(rows, columns, depth=1).first().estimate == estimate(("lib",), 1)
+    assert library.estimated_count(rows, columns, depth=0).first().estimate == estimate(("lib",), 0)
+    assert library.estimated_count(rows.limit(0), columns).count() == 0
+
+
 def greedily(names):
     taken, out = set(), []
     for name in names:

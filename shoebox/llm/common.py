@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -38,6 +38,31 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def usable(vector: str) -> Column:
+    """Not null, no null or non-finite component, and not zero."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0)
+
+
+def dense(column: pa.Array) -> np.ndarray:
+    """A matrix of a column of lists of equal length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def commonest_size(rows: DataFrame, vector: str) -> int:
+    """The commonest length of the arrays, the smallest of several; 0 without rows."""
+    found = rows.groupBy(F.size(vector).alias("size")).count().agg(F.max(F.struct("count", (-F.col("size")).alias("less"))).alias("top")).first()["top"]
+    return -found["less"] if found else 0
+
+
+def bounded_sample(rows: DataFrame, n: int, size: int, key: str = "id") -> pa.Table:
+    """The size rows of n with the smallest hash of their key. A limit on the hash is set from n, so that the tasks together send little more than
+    that, however many they are; should the hashes be so uneven that fewer pass, the sample is smaller."""
+    share = min(1.0, 1.2 * size / max(n, 1) + 100 / max(n, 1))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 31))
+    return rows.filter(place < int(share * (1 << 31))).orderBy(place, key).limit(size).toArrow()
+
+
 def digest_bucket(column, divisor: int):
     """crc32 of a number written as text, mod divisor."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, neardup, neighbours, pieces, pii, secrets, toxicity, warc
+from . import decontaminate, itq, langid, licenses, neardup, neighbours, pieces, pii, secrets, toxicity, warc
 from .common import digest_bucket, shared_dir
 
 
@@ -90,5 +90,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count_of("spans", k) for k in base), joined_digest(span_strings("spans", base)).alias("base_sha256"), F.concat_ws(",", span_strings("spans")).alias("spans"))
 
 
+def op11_similar_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.similar_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_warc, op4_pieces, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op9_language, op10_personal_data)}
+    return {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_warc, op4_pieces, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op9_language, op10_personal_data, op11_similar_embeddings)}

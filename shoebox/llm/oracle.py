@@ -79,4 +79,18 @@ SELECT doc_id, {", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind
 FROM d LEFT JOIN sums USING (row_id)"""
 
 
-ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_warc": _WARC, "op6_secret_scan": _secret_sql(), "op7_near_duplicates": _NEAR, "op8_decontamination": _CONTAMINATION}
+_DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+kept AS (SELECT lang, term, count(*) AS n FROM d GROUP BY ALL HAVING count(DISTINCT row_id) >= 10),
+langs AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*) AS n FROM d SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents) LEFT JOIN cells c USING (lang, source) LEFT JOIN langs USING (lang) GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (g.total + 2 * g.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (k.n + 2) // (l.total + 2 * g.v) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM shares x JOIN shares y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL),
+every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs p ON p.lang = x.lang AND p.source = x.source AND p.item = y.source
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM shares WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every) WHERE part = 'pair' OR rank <= 10"""
+
+
+ORACLES: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_warc": _WARC, "op6_secret_scan": _secret_sql(), "op7_near_duplicates": _NEAR, "op8_decontamination": _CONTAMINATION, "op13_source_divergence": _DIVERGENCE}

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, itq, langid, licenses, neardup, neighbours, pieces, pii, secrets, toxicity, warc
+from . import alignment, decontaminate, divergence, itq, langid, licenses, neardup, neighbours, pieces, pii, secrets, toxicity, warc
 from .common import digest_bucket, shared_dir
 
 
@@ -98,5 +98,9 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.token_alignment(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_warc, op4_pieces, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op9_language, op10_personal_data, op11_similar_embeddings, op12_token_alignment)}
+    return {f.__name__: f for f in (op1_license_scan, op2_neighbours, op3_warc, op4_pieces, op5_toxicity, op6_secret_scan, op7_near_duplicates, op8_decontamination, op9_language, op10_personal_data, op11_similar_embeddings, op12_token_alignment, op13_source_divergence)}

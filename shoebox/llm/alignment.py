@@ -23,14 +23,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import places, removed, shared_dir, text_slices, written
+from .common import byte_class, places, removed, run_hashes, shared_dir, text_slices, utf8, written
 from .neardup import grows
 from .pieces import DEFAULT_MODEL, MARKER
 
@@ -41,7 +43,9 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: no piece of B has its marker after another character.
 CUT_A = re.compile(rb"(?<=[A-Za-z0-9])[ \n\t\r]")
 CUT_B = re.compile(rb"(?<=[^ ]) (?=[^ ])")
+CUT_AFTER = byte_class(lambda i: 32 < i < 127)
 SHIFT = 20
+REMEMBERED = 200_000  # strings whose ids a worker keeps
 
 
 @dataclass(frozen=True)
@@ -83,10 +87,11 @@ class Tokenizers:
             raw_a[number] = token
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         raw_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARKER, " ").encode() for i, p in enumerate(pieces)]
-        self.flat, self.border = [], []
+        self.flat, self.border, self.size_of, self.recent = [], [], [], {}
         for raw in (raw_a, raw_b):
             self.flat.append(np.frombuffer(b"".join(raw), np.uint8))
-            self.border.append(np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+            self.size_of.append(np.array([len(r) for r in raw]))
+            self.border.append(np.concatenate([[0], np.cumsum(self.size_of[-1])]))
         names = [f"{i}{end}" for i in range(size) for end in ",|"] + [f"{i}{end}" for i in range(self.size_b) for end in ",;"]
         self.names = np.array(names, object)
 
@@ -98,8 +103,18 @@ class Tokenizers:
         """text without its leading space, which B adds itself."""
         return np.array(self.b.encode(text, num_threads=1), np.int32)
 
+    def stretches(self, strings: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and B of each string (which starts with a space). Those of recent strings are remembered."""
+        if len(self.recent) > REMEMBERED:
+            self.recent.clear()
+        new = [x for x in strings if x not in self.recent]
+        for x, b in zip(new, self.b.encode([x[1:] for x in new], num_threads=1), strict=True):
+            self.recent[x] = self.a.encode_ordinary(x), b
+        found = [self.recent[x] for x in strings]
+        return [a for a, _ in found], [b for _, b in found]
+
     def lengths(self, side: int, ids: np.ndarray) -> np.ndarray:
-        return np.diff(self.border[side])[ids]
+        return self.size_of[side][ids]
 
     def bytes_of(self, side: int, ids: np.ndarray) -> bytes:
         return self.flat[side][places(self.border[side][ids], self.lengths(side, ids))].tobytes()
@@ -158,34 +173,76 @@ class Lined:
 
 def lined_up(t: Tokenizers, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, named: bool = True) -> Lined:
     ends_a, ends_b = np.cumsum(t.lengths(0, a)), np.cumsum(t.lengths(1, b))
-    common, every = np.intersect1d(ends_a, ends_b, assume_unique=True), np.union1d(ends_a, ends_b)
+    last_a, last_b = (np.zeros(int(ends_a[-1]) + 1 if len(a) else 1, bool) for _ in range(2))  # by byte: does a token end here?
+    last_a[ends_a], last_b[ends_b] = True, True
+    both, before = last_a & last_b, lambda mark: np.cumsum(mark, dtype=np.int32) - mark
+    every, common = np.flatnonzero(last_a | last_b), np.flatnonzero(both)
+    before_a, before_b = before(last_a), before(last_b)
     border = np.concatenate([[0], ends_a])[at_a]
     codes = np.zeros(0, np.int64)
     if named:
-        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-        through_a = np.searchsorted(ends_a, common, side="right")
-        before_b = np.concatenate([[0], np.searchsorted(ends_b, common, side="right")])
+        closed = before(both)
         codes = np.zeros(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + before_b[group_a]] = 2 * a.astype(np.int64) + (common[group_a] == ends_a)
-        codes[np.arange(len(b)) + through_a[group_b]] = 2 * (t.size_a + b.astype(np.int64)) + (common[group_b] == ends_b)
-    return Lined(np.searchsorted(ends_a, every), np.searchsorted(ends_b, every), np.searchsorted(every, border, side="right"), np.searchsorted(common, border, side="right"), codes)
-
-
-def encoded_texts(t: Tokenizers, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of A and B of all texts and their borders; a text whose tokens don't give back its bytes has none."""
-    all_a, all_b = [], []
-    for text in texts:
-        if not text:
-            a = b = np.zeros(0, np.int32)
+        through = [np.concatenate([[0], mark[common] + 1]) for mark in (before_a, before_b)]  # tokens up to each common end
+        codes[np.arange(len(a)) + through[1][closed[ends_a]]] = 2 * a.astype(np.int64) + both[ends_a]
+        codes[np.arange(len(b)) + through[0][1:][closed[ends_b]]] = 2 * (t.size_a + b.astype(np.int64)) + both[ends_b]
+    return Lined(before_a[every], before_b[every], np.searchsorted(every, border, side="right"), np.searchsorted(common, border, side="right"), codes)
+
+
+def encoded_texts(t: Tokenizers, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of A and B of all texts and their borders; a text whose tokens don't give back its bytes has none.
+
+    Both tokenizers allow a cut before a single space that follows another visible ASCII character, so each distinct stretch between such cuts is encoded
+    once. A text whose bytes don't come back is encoded once more as a whole, so that two stretches with one hash spoil nothing."""
+    value = pc.fill_null(texts.cast(pa.large_string()), "")
+    scalar = lambda x: pa.scalar(x, pa.large_string())
+    data, offsets = utf8(pc.if_else(pc.equal(value, scalar("")), scalar(""), pc.binary_join_element_wise(scalar(" "), value, scalar(""))))
+    n = len(offsets) - 1
+    none = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    if not len(data):
+        return none
+    head, space = np.zeros(len(data), bool), data == 32
+    head[1:-1] = space[1:-1] & CUT_AFTER[data[:-2]] & ~space[2:]
+    head[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts = np.flatnonzero(head)
+    ends = np.append(starts[1:], len(data))
+    _, first, which = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    raw, cut = data.tobytes(), np.searchsorted(starts, offsets)
+    strings = [raw[x:y].decode() for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    out = []
+    for side, ids in enumerate(t.stretches(strings)):
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        begin, many = (np.cumsum(size) - size)[which], size[which]
+        at = np.concatenate([[0], np.cumsum(many)])[cut]
+        flat = flat[places(begin, many)]
+        byte_at = np.concatenate([[0], np.cumsum(t.lengths(side, flat))])[at]
+        back = np.frombuffer(t.bytes_of(side, flat), np.uint8)
+        same = np.diff(byte_at) == np.diff(offsets)
+        if same.all():  # the places agree, so one comparison does for all
+            wrong = np.flatnonzero(back != data)
+            same[np.searchsorted(offsets, wrong, side="right") - 1] = False
         else:
-            a, b = t.encoded_a(" " + text), t.encoded_b(text)
-            whole = (" " + text).encode()
-            if t.bytes_of(1, b) != whole or t.bytes_of(0, a) != whole:
-                a = b = np.zeros(0, np.int32)
-        all_a.append(a)
-        all_b.append(b)
-    border = lambda x: np.concatenate([[0], np.cumsum([len(i) for i in x], dtype=np.int64)]).astype(np.int64)
-    return np.concatenate([*all_a, np.zeros(0, np.int32)]), np.concatenate([*all_b, np.zeros(0, np.int32)]), border(all_a), border(all_b)
+            same &= np.array([np.array_equal(back[x:y], data[p:q]) for x, y, p, q in zip(byte_at[:-1], byte_at[1:], offsets[:-1], offsets[1:], strict=True)])
+        out.append((flat, at, same))
+    (a, at_a, good_a), (b, at_b, good_b) = out
+    if (good_a & good_b).all():
+        return a, b, at_a, at_b
+    parts_a, parts_b = [], []
+    for k, good in enumerate(good_a & good_b):
+        one, two = a[at_a[k] : at_a[k + 1]], b[at_b[k] : at_b[k + 1]]
+        if not good:
+            whole = raw[offsets[k] : offsets[k + 1]]
+            one, two = t.encoded_a(whole.decode()), t.encoded_b(whole[1:].decode())
+            if t.bytes_of(0, one) != whole or t.bytes_of(1, two) != whole:
+                one = two = none[0]
+        parts_a.append(one)
+        parts_b.append(two)
+    return np.concatenate(parts_a), np.concatenate(parts_b), _border(parts_a), _border(parts_b)
+
+
+def _border(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
 
 
 def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,16 +254,15 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _tokens(t: Tokenizers, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of rows that hold texts, or, where the text is null, ids."""
     texts = rows.column("text")
+    a, b, at_a, at_b = encoded_texts(t, texts)
     if texts.null_count == 0:
-        return encoded_texts(t, texts.to_pylist())
-    a, b, at_a, at_b = encoded_texts(t, texts.to_pylist())
+        return a, b, at_a, at_b
     own_a, own_at_a = _ids(rows.column("a"))
     own_b, own_at_b = _ids(rows.column("b"))
     stored = texts.is_null().to_numpy(zero_copy_only=False)
-    both = lambda x, at, y, own: ([y[own[k] : own[k + 1]] if stored[k] else x[at[k] : at[k + 1]] for k in range(len(stored))])
+    both = lambda x, at, y, own: [y[own[k] : own[k + 1]] if stored[k] else x[at[k] : at[k + 1]] for k in range(len(stored))]
     parts_a, parts_b = both(a, at_a, own_a, own_at_a), both(b, at_b, own_b, own_at_b)
-    border = lambda x: np.concatenate([[0], np.cumsum([len(i) for i in x], dtype=np.int64)]).astype(np.int64)
-    return np.concatenate(parts_a), np.concatenate(parts_b), border(parts_a), border(parts_b)
+    return np.concatenate(parts_a), np.concatenate(parts_b), _border(parts_a), _border(parts_b)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, lined: Lined) -> np.ndarray:

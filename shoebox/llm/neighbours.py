@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import removed, shared_dir, written
+from .common import bounded_sample, commonest_size, dense, removed, shared_dir, usable, written
 from .neardup import grows
 
 
@@ -40,7 +40,7 @@ class CollisionConfig:
     """steps are the radii searched, as shares of a query's last radius, which is the distance of its k-th neighbour
     as the sample tells it, times margin. A window of a radius reaches width * radius to both sides. slack: how
     many standard deviations fewer windows than expected at the radius a neighbour may share. sample: vectors,
-    the only sample here, that centres and radii come from (every vector is indexed). block, query_block: about so many
+    and of sample_bytes at most, the only sample here, that centres and radii come from (every vector is indexed). block, query_block: about so many
     vectors, and queries, meet in a task at once. sparse: windows that hold a smaller share are counted entry by entry."""
 
     projections: int = 96
@@ -49,6 +49,7 @@ class CollisionConfig:
     margin: float = 1.0
     slack: float = 1.8
     sample: int = 8192
+    sample_bytes: int = 16 << 20
     cells: int = 512
     block: int = 4096
     query_block: int = 2048
@@ -62,12 +63,6 @@ class CollisionConfig:
         return max(1, floor(m * p - self.slack * sqrt(m * p * (1 - p))))
 
 
-def usable(vector: str) -> Column:
-    """Not null, no null or non-finite component, and not zero."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0)
-
-
 def extended(vectors: np.ndarray, longest: float) -> np.ndarray:
     """The vectors over the longest length, with the coordinate that makes each a unit vector."""
     unit = vectors / longest
@@ -183,10 +178,6 @@ def _merge(best: np.ndarray, best_ids: np.ndarray, rows: np.ndarray, score: np.n
     best[touched], best_ids[touched] = score[pick], ids[pick]
 
 
-def _dense(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, cfg: CollisionConfig = CollisionConfig()) -> DataFrame:
     """Rows (query_id, rank, key, score): for each row for which is_query holds, the k rows with the largest
     inner product found among all other rows, nearest first, ties to the smaller key.
@@ -201,20 +192,20 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
     """
     folder = shared_dir(rows.sparkSession)
     good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(usable("v") & F.col("id").isNotNull())
-    sizes = good.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    alike = good.filter(F.size("v") == (sizes[0]["size"] if sizes else 0)).groupBy("id").agg(F.min(F.struct("v", "asks")).alias("best")).select("id", "best.v", "best.asks")
+    size = commonest_size(good, "v")
+    alike = good.filter(F.size("v") == size).groupBy("id").agg(F.min(F.struct("v", "asks")).alias("best")).select("id", "best.v", "best.asks")
     data = written(alike, folder, "vectors")
     known = data.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     n, longest = known["n"], sqrt(known["square"] or 1.0) * (1 + 1e-12)
-    picked = data.orderBy(F.xxhash64("id"), "id").limit(cfg.sample).select("id", "v").collect()
-    sample, sample_ids = extended(np.array([r["v"] for r in picked]).reshape(len(picked), sizes[0]["size"] if sizes else 0), longest), np.array([r["id"] for r in picked], np.int64)
+    picked = bounded_sample(data.select("id", "v"), n, min(cfg.sample, max(256, cfg.sample_bytes // (8 * max(size, 1)))))
+    sample, sample_ids = extended(dense(picked["v"].combine_chunks()) if picked.num_rows else np.zeros((0, size)), longest), picked["id"].to_numpy()
     centres = sample[: max(1, min(cfg.cells, len(sample) // 8, ceil(n / 1024)))]
     sent = rows.sparkSession.sparkContext.broadcast((sample, sample_ids, centres))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, middle = sent.value
         for batch in batches:
-            far = distances(extended(_dense(batch.column("v")), longest), middle) if batch.num_rows else np.zeros((0, 1))
+            far = distances(extended(dense(batch.column("v")), longest), middle) if batch.num_rows else np.zeros((0, 1))
             cell = far.argmin(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far[np.arange(len(far)), cell])], names=[*batch.schema.names, "cell", "away"])
 
@@ -229,7 +220,7 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                units = asked(_dense(part.column("v")))
+                units = asked(dense(part.column("v")))
                 last, bound = query_radii(units, part.column("id").to_numpy(), near, near_ids, n, k, cfg.margin)
                 visits = distances(units, middle) - reach <= bound[:, None] + 1e-6
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(last), pa.array(bound), pa.array([np.flatnonzero(x).astype(np.int32) for x in visits], pa.list_(pa.int32()))], names=["id", "v", "last", "bound", "visits"])
@@ -248,8 +239,7 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
         def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
             if not vectors.num_rows or not queries.num_rows:
                 return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            dense = lambda t: _dense(t["v"].combine_chunks())
-            who = queries["id"].to_numpy()
+                who = queries["id"].to_numpy()
             block = dense(vectors), vectors["id"].to_numpy(), dense(queries), who
             best, ids = search_all(*block, longest, queries["bound"].to_numpy(), k) if exact else search(*block, longest, queries["last"].to_numpy(), k, cfg)
             found = np.isfinite(best)

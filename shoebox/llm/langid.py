@@ -31,7 +31,7 @@ BUCKETS = 1 << 16
 @dataclass(frozen=True)
 class LanguageConfig:
     """rows bounds the training texts of each language (those with the smallest hash), total those of all languages
-    together (many languages get fewer rows each, but one at least), max_bytes the length of a text that is learnt
+    together (many languages get fewer rows each, but one at least), max_bytes how many characters of a longer text are learnt
     from; pieces and piece what is taken of each; lexicon is the number of frequent words listed for each
     language. It is the only sample here: every language is learnt, and every text is labelled whole.
     longest: a longer line is cut into sequences of so many words."""
@@ -141,17 +141,18 @@ def label_words(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.
 
 
 def training_rows(docs: DataFrame, may_learn: Column, text: str, lang: str, key: str, cfg: LanguageConfig) -> list[tuple[str, str]]:
-    """At most cfg.rows texts of each language: one pass counts, one takes the rows whose hash lies below a limit
-    for about 1.5 times as many, of which the smallest stay. Copies of a text under one key count once, so a
-    hot key brings one row; only languages, and a bounded number of bounded texts, reach the driver."""
-    known = docs.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= cfg.max_bytes))
-    common = known.groupBy(F.col(lang).alias("lang")).count().orderBy("lang").collect()
+    """At most cfg.rows texts of each language: one pass counts distinct texts, one takes those whose hash lies below a limit
+    for about 1.5 times as many, of which the smallest stay. Copies of a text under one key count once in both, so neither a
+    hot row nor long texts (which are cut to cfg.max_bytes characters) cost a language its place; only languages, and a bounded number of
+    bounded texts, reach the driver."""
+    known = docs.filter(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    place = F.pmod(F.xxhash64(key, text), F.lit(1 << 30))
+    common = known.select(F.col(lang).alias("lang"), place.alias("place")).distinct().groupBy("lang").count().orderBy("lang").collect()
     if not common:
         return []
     each = max(1, min(cfg.rows, cfg.total // len(common)))
     limit = F.element_at(F.create_map(*(F.lit(x) for r in common for x in (r["lang"], min(1.0, (1.5 * each + 20) / r["count"])))), F.col(lang))
-    place = F.pmod(F.xxhash64(key, text), F.lit(1 << 30))
-    near = known.filter(place < limit * (1 << 30)).groupBy(F.col(lang).alias("lang"), place.alias("place")).agg(F.min(text).alias("text"))
+    near = known.filter(place < limit * (1 << 30)).groupBy(F.col(lang).alias("lang"), place.alias("place")).agg(F.min(F.substring(text, 1, cfg.max_bytes)).alias("text"))
     mine: dict[str, list] = defaultdict(list)
     for r in sorted(near.collect(), key=lambda r: (r["lang"], r["place"])):
         mine[r["lang"]].append((r["text"], r["lang"]))

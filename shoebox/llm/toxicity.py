@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORD, BYTE_KEYS, STEP, mixed, run_hashes, spans_of, text_slices, utf8
+from .common import ALNUM_WORD, BYTE_KEYS, STEP, mixed, run_hashes, shared_dir, spans_of, text_slices, utf8, written
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
     """max_rows bounds the labelled rows of each class that training takes (those with the smallest hash), max_bytes
-    the length of a text it learns from; it is the only sample here, and every text is scored whole. part: about so many words,
+    how many characters of a longer text it learns from; it is the only sample here, and every text is scored whole. part: about so many words,
     and n-grams, are in training's temporary arrays at once."""
 
     max_rows: int = 1500
@@ -173,14 +173,20 @@ def train(texts: list[str], toxic: list[int], cfg: ToxicityConfig = ToxicityConf
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, may_learn, text: str, key: str, cfg: ToxicityConfig) -> list:
-    """At most max_rows labelled texts of each class, with their label. The labels are cut to that number
-    before anything is joined, so the side that is broadcast has a fixed bound, and copies of a key are put together
-    (the smallest text stays) before anything reaches the driver."""
+    """At most max_rows labelled texts of each class, with their label: of the labelled keys that have a text, those with the
+    smallest hash, from below a limit that is set by the class's count, so little more than is taken leaves the tasks. The side that is
+    broadcast has a fixed bound; copies of a key are put together (the smallest text stays), and a longer text is cut to max_bytes
+    characters, before anything reaches the driver."""
     known = labels.filter(may_learn & F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    chosen = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64(key), key).limit(cfg.max_rows) for y in (0, 1)]
+    known = known.join(docs.filter(F.col(text).isNotNull()).select(key).hint("merge"), key, "left_semi")
+    known = written(known, shared_dir(docs.sparkSession), "labelled")
+    size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    near = lambda y: min(1.0, (1.5 * cfg.max_rows + 20) / size.get(y, 1)) * (1 << 30)
+    chosen = [known.filter((F.col("toxic") == y) & (place < near(y))).orderBy(place, key).limit(cfg.max_rows) for y in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))
-    short = docs.select(key, text).filter(F.col(text).isNotNull() & (F.octet_length(text) <= cfg.max_bytes))
-    return short.join(sample, key).groupBy(key).agg(F.min(text).alias(text), F.first("toxic").alias("toxic")).orderBy(key).collect()
+    texts = docs.select(key, text).filter(F.col(text).isNotNull()).join(sample, key)
+    return texts.groupBy(key).agg(F.substring(F.min(text), 1, cfg.max_bytes).alias(text), F.first("toxic").alias("toxic")).orderBy(key).collect()
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn, text: str = "text", key: str = "doc_id", cfg: ToxicityConfig = ToxicityConfig(), keep: tuple[str, ...] = ()) -> DataFrame:

@@ -7,9 +7,10 @@ it. It reads every text once, many stretches of text side by side, and places fo
 mapped back to words, and on to the original text. Unknown words lead to the root, so only
 stretches of known words are read.
 
-A benchmark has about thirteen states a word of some twenty bytes each. The items are dealt to parts of about
-`part_bytes` of text, one automaton each: a benchmark has one part, unless it is larger than that. Several parts are
-searched one after the other, and what they find is put together by text, with the same result.
+A benchmark has about thirteen states a word of 32 bytes each: some 52 MB for each MB of text, and about three times that while
+it is built. The items are dealt to parts of about `part_bytes` of text, one automaton each: a benchmark has one part, unless it is
+larger than that. Several parts are searched one after the other, each with a scan of the texts, their automata
+are released at once, and what they find is put together by text, with the same result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORD, ASCII_LOWER, run_hashes, shared_dir, spans_of, text_slices, utf8, written
+from .common import ALNUM_WORD, ASCII_LOWER, removed, run_hashes, shared_dir, spans_of, text_slices, utf8, written
 
 _STRETCH = 256
 
@@ -201,7 +202,7 @@ class _Texts:
         return np.diff(total[self.border]), spans
 
 
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 13, part_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = 13, part_bytes: int = 1 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, keep..., n_words, n_hit, items array, hit_spans array<struct<start, end>>) for each document:
     its words, those inside an occurrence of a window, the item keys whose windows occur, in their order, and
     the hit passages as code points of the original text.
@@ -222,18 +223,22 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     names = [f.name for f in kept]
     if parts == 1:
         whole = T.StructType([*kept, *counts, T.StructField("items", item_type), T.StructField("hit_spans", span_type)])
-        return docs.select(*dict.fromkeys([*names, text])).mapInArrow(_search(docs, items, text, window, whole, names, True), whole)
+        return docs.select(*dict.fromkeys([*names, text])).mapInArrow(_search(docs, items, text, window, whole, names, True)[0], whole)
     folder, hashed = shared_dir(docs.sparkSession), F.sha2(F.col(text).cast("binary"), 256).alias("sha")
     by_text = T.StructType([T.StructField("sha", T.StringType()), T.StructField("places", place_type), T.StructField("items", item_type)])
     found = []
     for p in range(parts):
-        one = docs.select(hashed, text).mapInArrow(_search(docs, items.filter(F.col("part") == p), text, window, by_text, ["sha"], False), by_text)
+        search, sent = _search(docs, items.filter(F.col("part") == p), text, window, by_text, ["sha"], False)
+        one = docs.select(hashed, text).mapInArrow(search, by_text)
         found.append(written(one.filter(F.size("items") > 0).dropDuplicates(["sha"]), folder, f"part-{p}"))
+        sent.destroy()
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
     every = every.groupBy("sha").agg(F.flatten(F.collect_list("places")).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row a part at most
     every = written(every, folder, "found")
+    for p in range(parts):
+        removed(docs.sparkSession, f"{folder}/part-{p}")
     marked = docs.select(*dict.fromkeys([*names, text]), hashed.alias("sha of text")).join(every.withColumnRenamed("sha", "sha of text").select("sha of text", F.struct("places", "items").alias("found in parts")), "sha of text", "left").drop("sha of text")
     schema = T.StructType([*kept, *counts, T.StructField("hit_spans", span_type), T.StructField("places of items", T.StructType([T.StructField("places", place_type), T.StructField("items", item_type)]))])
     counted = marked.mapInArrow(_counted(text, schema, names), schema)
@@ -241,7 +246,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
 
 def _search(docs: DataFrame, items: DataFrame, text: str, window: int, schema: T.StructType, kept: list[str], whole: bool):
-    """A function over batches that searches texts for the windows of items; whole: with counts and spans, else with places."""
+    """A function over batches that searches texts for the windows of items, and the broadcast it reads; whole: with counts and spans, else with places."""
     rows = items.select("item", "value").collect()  # one part
     known = sorted({r["item"] for r in rows}, key=lambda i: (i is None, i))
     number = {x: i for i, x in enumerate(known)}
@@ -267,7 +272,7 @@ def _search(docs: DataFrame, items: DataFrame, text: str, window: int, schema: T
                     columns["places"] = pa.array(places, arrow["places"])
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=schema.names)
 
-    return run
+    return run, sent
 
 
 def _counted(text: str, schema: T.StructType, kept: list[str]):

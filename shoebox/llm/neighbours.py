@@ -240,7 +240,7 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, key: str = "vec_id", v
             if not vectors.num_rows or not queries.num_rows:
                 return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
                 who = queries["id"].to_numpy()
-            block = dense(vectors), vectors["id"].to_numpy(), dense(queries), who
+            block = dense(vectors["v"].combine_chunks()), vectors["id"].to_numpy(), dense(queries["v"].combine_chunks()), who
             best, ids = search_all(*block, longest, queries["bound"].to_numpy(), k) if exact else search(*block, longest, queries["last"].to_numpy(), k, cfg)
             found = np.isfinite(best)
             return pa.table({"query_id": np.repeat(who, k)[found.ravel()], "id": ids[found], "score": best[found]})

@@ -169,14 +169,31 @@ def original_urls(paths: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, folder: str, paths: list[str] | None = None) -> int:
-    """Deletes the files of a cache folder (or those of the paths that lie in it) and gives their number. What is already gone is no error,
-    so it can be called again and again."""
+    """Deletes the files of a cache folder (or those of the paths that lie in it) and gives their number. Paths are compared as
+    the file system names them, with `..` resolved, so nothing outside the folder is touched however it is written. What is
+    already gone is no error, so it can be called again and again."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(conf)
     if not files.exists(root):
         return 0
-    mine = [jvm.org.apache.hadoop.fs.Path(p) for p in paths if f"/{p}".startswith(f"/{folder.rstrip('/')}/")] if paths is not None else [x.getPath() for x in files.listStatus(root)]
+
+    def plain(path) -> str:
+        whole = path.makeQualified(files.getUri(), files.getWorkingDirectory()).toUri().normalize()
+        steps: list[str] = []
+        for step in whole.getPath().split("/"):
+            if step == "..":
+                steps = steps[:-1]
+            elif step not in ("", "."):
+                steps.append(step)
+        return f"{whole.getScheme()}://{whole.getAuthority() or ''}/{'/'.join(steps)}"
+
+    home = plain(root)
+    if paths is None:
+        mine = [x.getPath() for x in files.listStatus(root)]
+    else:
+        named = [plain(jvm.org.apache.hadoop.fs.Path(p)) for p in dict.fromkeys(paths)]
+        mine = [jvm.org.apache.hadoop.fs.Path(p) for p in dict.fromkeys(named) if p.startswith(f"{home}/")]
     return sum(bool(files.delete(p, True)) for p in mine)
 
 

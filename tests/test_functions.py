@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,20 @@ def test_detector_errors_stay_in_their_row(spark):
     assert rows[2].faces is None and "broken" in rows[2].error and rows[1].faces[0].w == 3
 
 
+def test_a_bad_photo_of_a_batch_costs_few_calls():
+    calls = []
+
+    def detector(frame):
+        calls.append(len(frame))
+        if 37 in set(frame["photo_id"]):
+            raise RuntimeError("broken")
+        return [[] for _ in range(len(frame))]
+
+    found, errors = faces.bisected(detector, pd.DataFrame({"photo_id": range(64)}))
+    assert [i for i, e in enumerate(errors) if e] == [37] and found[37] is None and sum(x == [] for x in found) == 63
+    assert len(calls) == 13 and calls[0] == 64
+
+
 def test_quality(spark):
     assert value(spark, quality.quality_score(F.lit(80.0), F.lit(60.0))) == pytest.approx(72)
     assert value(spark, quality.quality_tier(F.lit(70.0))) == "high"

@@ -151,6 +151,10 @@ def test_downloads_skip_what_fails(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     (tmp_path.parent / "outside.jpg").write_bytes(b"x")
     assert media.cleaned(spark, str(tmp_path), [str(tmp_path / "a.jpg"), str(tmp_path.parent / "outside.jpg")]) == 1 and (tmp_path.parent / "outside.jpg").exists()
+    (tmp_path / "c.jpg").write_bytes(b"x")
+    sly = [f"{tmp_path}/../outside.jpg", f"file:{tmp_path}/../outside.jpg", f"{tmp_path}x/c.jpg", str(tmp_path)]
+    assert media.cleaned(spark, str(tmp_path), sly) == 0 and (tmp_path.parent / "outside.jpg").exists()
+    assert media.cleaned(spark, str(tmp_path), [f"file:{tmp_path}/x/../c.jpg", f"file://{tmp_path}/c.jpg"]) == 1
     assert media.cleaned(spark, str(tmp_path)) == 1 and media.cleaned(spark, str(tmp_path)) == 0 and media.cleaned(spark, str(tmp_path / "none")) == 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,13 @@ def in_year_or_undated(when: Column, year: Column) -> Column:
 def datetime_info(exif: Column, file_time: Column) -> Column:
     when = photo_datetime(exif, file_time)
     return F.struct(when.alias("datetime"), F.month(when).cast("long").alias("month"), F.year(when).cast("long").alias("year"), F.when(exif.isNotNull(), "exif").otherwise("file_mtime").alias("source"), exif.alias("exif"), file_time.alias("file_mtime"))
+
+
+def taken(original: str | None, plain: str | None, digitized: str | None, file_time: dt.datetime | None) -> dt.datetime | None:
+    """photo_datetime(exif_datetime(first_present(...))) of one file, for kernels that have its bytes."""
+    text = next((x for x in (original, plain, digitized) if x is not None), None)
+    form = {19: "%Y:%m:%d %H:%M:%S", 10: "%Y:%m:%d"}.get(len(text or ""))
+    try:
+        return dt.datetime.strptime(text, form) if form else file_time
+    except ValueError:
+        return file_time

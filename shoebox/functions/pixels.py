@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .quality import clamped, exposure_score
 
-_KERNEL = "sharpness double, clipped double, crushed double, middle double, mean double, deviation double, histogram array<double>, error string"
-
 
 def image_array(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8, height * width * channels).reshape(height, width, channels)
@@ -72,36 +70,46 @@ def resized(image: np.ndarray, height: int, width: int, lobes: int = 4) -> np.nd
     return np.clip(np.round(out), 0, 255).astype(np.uint8)
 
 
+#: The columns that measures() fills.
+MEASURES = "variance double, clipped double, crushed double, middle double, mean double, deviation double, histogram array<double>"
+
+
+def measures(image: np.ndarray, most: int = 1024) -> tuple:
+    """The raw measures of one image, capped to `most` on the longer side."""
+    height, width = image.shape[:2]
+    longer = max(height, width)
+    if longer > most:
+        image = resized(image, max(1, int(height * most / longer)), max(1, int(width * most / longer)))
+    plane = gray(image)
+    bins = np.bincount(plane.ravel(), minlength=256) / plane.size
+    return laplacian_variance(plane), bins[250:].sum(), bins[:5].sum(), bins[50:200].sum(), plane.mean(), plane.std(), hsv_histograms(image)
+
+
 def measure_pixels(images: DataFrame, key: str = "origin", most: int = 1024) -> DataFrame:
     """Rows (key, raw measures, histogram, error) of each image, capped to `most` on the longer side. A broken image
     has nulls and the error's text, and doesn't end the scan."""
 
-    def measure(data: bytes, height: int, width: int, channels: int) -> tuple:
-        image = image_array(data, height, width, channels)
-        longer = max(height, width)
-        if longer > most:
-            image = resized(image, max(1, int(height * most / longer)), max(1, int(width * most / longer)))
-        plane = gray(image)
-        bins = np.bincount(plane.ravel(), minlength=256) / plane.size
-        return laplacian_variance(plane), bins[250:].sum(), bins[:5].sum(), bins[50:200].sum(), plane.mean(), plane.std(), hsv_histograms(image), None
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for data, height, width, channels in zip(frame["data"], frame["height"], frame["width"], frame["nChannels"], strict=True):
                 try:
-                    rows.append(measure(data, height, width, channels))
+                    rows.append((*measures(image_array(data, height, width, channels), most), None))
                 except Exception as e:  # noqa: BLE001  one photo must not end the scan
                     rows.append((None,) * 7 + (f"{type(e).__name__}: {e}",))
             out = pd.DataFrame(rows, columns=["variance", "clipped", "crushed", "middle", "mean", "deviation", "histogram", "error"])
             out.insert(0, key, frame[key].to_numpy())
             yield out
 
-    schema = f"{key} {images.schema[key].dataType.simpleString()}, " + _KERNEL.replace("sharpness", "variance")
+    schema = f"{key} {images.schema[key].dataType.simpleString()}, {MEASURES}, error string"
     return images.select(key, "data", "height", "width", "nChannels").mapInPandas(run, schema)
 
 
+def scores(found: DataFrame) -> DataFrame:
+    """Adds sharpness and exposure, 0 to 100, to raw measures."""
+    return found.withColumns({"sharpness": clamped(F.col("variance") / 10), "exposure": exposure_score(F.col("clipped"), F.col("crushed"), F.col("middle"))})
+
+
 def pixel_scores(images: DataFrame, key: str = "origin", most: int = 1024) -> DataFrame:
     """Adds sharpness and exposure, 0 to 100, to measure_pixels."""
-    found = measure_pixels(images, key, most)
-    return found.withColumns({"sharpness": clamped(F.col("variance") / 10), "exposure": exposure_score(F.col("clipped"), F.col("crushed"), F.col("middle"))})
+    return scores(measure_pixels(images, key, most))

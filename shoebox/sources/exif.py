@@ -60,21 +60,23 @@ def date_fields(block: bytes) -> dict[int, str]:
     return found
 
 
+def date_texts(content: bytes | None) -> tuple[str | None, str | None, str | None, str | None]:
+    """(original, plain, digitized, error) of a file's bytes; a damaged block has the error's text and no dates."""
+    try:
+        block = exif_block(content) if content else None
+        found = date_fields(block) if block else {}
+        return found.get(ORIGINAL), found.get(PLAIN), found.get(DIGITIZED), None
+    except (ValueError, struct.error) as e:
+        return None, None, None, f"{type(e).__name__}: {e}"
+
+
 def exif_texts(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Rows (key, original, plain, digitized, exif_error) for each file: its EXIF date texts, null where it has none. A
     damaged block has the error's text and no dates; it doesn't end the scan. Null content has none."""
 
-    def fields(data: bytes | None) -> tuple:
-        try:
-            block = exif_block(data) if data else None
-            found = date_fields(block) if block else {}
-            return found.get(ORIGINAL), found.get(PLAIN), found.get(DIGITIZED), None
-        except (ValueError, struct.error) as e:
-            return None, None, None, f"{type(e).__name__}: {e}"
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = pd.DataFrame([fields(x) for x in frame[content]], columns=["original", "plain", "digitized", "exif_error"])
+            out = pd.DataFrame([date_texts(x) for x in frame[content]], columns=["original", "plain", "digitized", "exif_error"])
             out.insert(0, key, frame[key].to_numpy())
             yield out
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -163,6 +166,75 @@ def fetched(items: DataFrame, fetch: Callable[[str], bytes], url: str = "url", k
     return items.select(key, url).mapInPandas(run, f"{key} {items.schema[key].dataType.simpleString()}, content binary, error string")
 
 
+STORED = "id string, path string, length long, sha256 string, error string"
+
+
+def _waiting(fetch: Callable[[str], bytes], address: str, tries: int, pause: float) -> bytes:
+    """fetch(address), again after RateLimitError: after as many seconds as it asks for, or twice as long each time."""
+    for turn in range(tries):
+        try:
+            return fetch(address)
+        except RateLimitError as e:
+            if turn == tries - 1:
+                raise
+            time.sleep(pause * 2**turn if e.retry_after is None else e.retry_after)
+    raise ValueError("at least one try is needed")
+
+
+def stored(items: DataFrame, folder: str, fetch: Callable[[str], bytes], key: str = "id", url: str = "url", pause: float = 0.1, tries: int = 5) -> DataFrame:
+    """Rows STORED for each item: where its bytes lie in the folder, their length and SHA-256, or why they couldn't be fetched.
+
+    A file is named by the hash of the item's key, written beside its place and renamed, so it is whole or not there; an item whose file
+    is there isn't fetched, so a run after a crash, or a task that is tried again, fetches only what is missing. Each task waits `pause`
+    seconds between two requests and, when there are too many, as long as the service asks, `tries` times; then, and when access
+    is refused, the job ends. The folder must be one that pyarrow's file systems read on every executor. Repeated keys are one item.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, home = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        files.create_dir(home, recursive=True)
+        last = 0.0
+        for frame in frames:
+            rows = []
+            for item, address in zip(frame[key], frame[url], strict=True):
+                name = hashlib.sha256(str(item).encode()).hexdigest()
+                place, error, content = f"{home.rstrip('/')}/{name}", None, None
+                if files.get_file_info(place).type == fs.FileType.File:
+                    with files.open_input_stream(place) as f:
+                        content = f.read()
+                else:
+                    time.sleep(max(0.0, last + pause - time.monotonic()))
+                    try:
+                        content = _waiting(fetch, address, tries, pause)
+                        beside = f"{place}.{uuid.uuid4().hex}.part"
+                        with files.open_output_stream(beside) as f:
+                            f.write(content)
+                        files.move(beside, place)
+                    except DownloadError as e:
+                        error = str(e)
+                    last = time.monotonic()
+                rows.append((str(item), f"{folder.rstrip('/')}/{name}", len(content) if content is not None else None, hashlib.sha256(content).hexdigest() if content is not None else None, error))
+            yield pd.DataFrame(rows, columns=["id", "path", "length", "sha256", "error"]).astype({"length": "Int64"})
+
+    once = items.groupBy(key).agg(F.min(url).alias(url))
+    done = once.mapInPandas(run, STORED)
+    return done.withColumn("path", plain_path(F.col("path")))
+
+
+def plain_path(path: Column) -> Column:
+    """A local path as file scans write it (file:/...); others stay."""
+    return F.when(path.startswith("/"), F.concat(F.lit("file:"), path)).otherwise(F.regexp_replace(path, "^file:/+", "file:/"))
+
+
+def stored_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of whole stored files."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.read.format("binaryFile").schema(schema).load(folder)
+    return found.filter(~F.col("path").endswith(".part")).select(plain_path(F.col("path")).alias("path"), "content")
+
+
 def original_urls(paths: DataFrame, stored: DataFrame) -> DataFrame:
     """Each asked path with the address of its photo in the service (productUrl); null for a path that isn't stored. stored: (path, productUrl)."""
     return paths.join(stored.select("path", F.col("productUrl").alias("original_url")).dropDuplicates(["path"]), "path", "left")

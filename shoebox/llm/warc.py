@@ -71,7 +71,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     marked.select(F.concat(header, F.lit(END), block).alias("value")).write.option("lineSep", END).text(path)
 
 
-_HEAD = [("head", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("page", pa.int64()), ("refers", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("declared", pa.int64())]
+_HEAD = [("head", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("page", pa.int64()), ("refers", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("declared", pa.int64()), ("id", pa.string()), ("refers_id", pa.string())]
 _READ = [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("whole", pa.bool_())]
 
 
@@ -92,14 +92,14 @@ def parse_record(fragment: bytes) -> tuple:
         fields.setdefault(name.strip().lower(), value.strip().decode("utf-8", "replace"))
     length = _number(fields.get(b"content-length"))
     if cut < 0 or length is None or length < 0:
-        return (None,) * 10 + (False,)
+        return (None,) * 12 + (False,)
     block = fragment[cut + 4 : cut + 4 + length]
-    at = block.find(END.encode())
+    at = block.find(END.encode()) if fields.get(b"content-type", "").lower().startswith("application/http") else -1
     payload = block[at + 4 :] if at >= 0 else block
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     kind = fields.get(b"warc-type")
     declared = fields.get(b"warc-payload-digest", "").removeprefix("sha1:")
-    head = (len(MAGIC) + cut + 4, length, kind, _number(fields.get(b"warc-record-id")), _number(fields.get(b"warc-refers-to")), fields.get(b"warc-target-uri"), declared, _number(fields.get(b"x-payload-length")))
+    head = (len(MAGIC) + cut + 4, length, kind, _number(fields.get(b"warc-record-id")), _number(fields.get(b"warc-refers-to")), fields.get(b"warc-target-uri"), declared, _number(fields.get(b"x-payload-length")), fields.get(b"warc-record-id"), fields.get(b"warc-refers-to"))
     return *head, len(payload), digest, len(fragment) >= cut + 4 + length
 
 
@@ -148,7 +148,8 @@ def _reached(candidates: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Rows (page_id, url, record_type, refers_to, payload_bytes, payload_digest, stored_digest, intact,
-    file, offset): the records of the archives under path. Length and digest are taken from the stored
+    record_id, refers_to_id, file, offset): the records of the archives under path. The ids are texts as the header has them; page_id and refers_to are numbers where
+    write_warc made them. Only a block of type application/http has a head before its payload; any other is all payload. Length and digest are taken from the stored
     payload of a response, and from the header of a revisit; intact says whether payload and header
     agree. Headers that a record lacks are null. A chain that breaks (a wrong length, a cut file) ends its file
     there: the records before it are returned. Folders without files, and empty files, give no rows; a file
@@ -173,7 +174,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return records.select(
         F.col("page").alias("page_id"), "url", F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"),
         F.when(response, F.col("payload_bytes")).otherwise(F.col("declared")).alias("payload_bytes"), F.when(response, F.col("payload_digest")).otherwise(F.col("digest")).alias("payload_digest"),
-        F.col("digest").alias("stored_digest"), (~response | (F.col("payload_digest") == F.col("digest"))).alias("intact"), "file", "offset",
+        F.col("digest").alias("stored_digest"), (~response | (F.col("payload_digest") == F.col("digest"))).alias("intact"), F.col("id").alias("record_id"), F.col("refers_id").alias("refers_to_id"), "file", "offset",
     )
 
 

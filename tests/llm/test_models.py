@@ -1,6 +1,8 @@
 """Toxicity, languages, pieces, neighbours, archives, near duplicates and the pipeline."""
 
+import base64
 import gzip
+import hashlib
 import itertools
 import random
 import re
@@ -344,6 +346,19 @@ def test_old_versions_and_packed_archives(spark, tmp_path):
         warc.read_warc(spark, str(tmp_path / "bad"))
 
 
+def test_archives_of_others(spark, tmp_path):
+    """A resource record with a blank line is all payload; ids that are no page numbers are kept as texts; a response of another type has no head."""
+    def record(kind, ident, body, content_type, more=""):
+        digest = base64.b32encode(hashlib.sha1(body.split("\r\n\r\n", 1)[1].encode() if content_type.startswith("application/http") else body.encode()).digest()).decode()
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {ident}\r\nWARC-Payload-Digest: sha1:{digest}\r\n{more}Content-Type: {content_type}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_text(record("resource", "<urn:uuid:1>", "abcdefgh\r\n\r\nijklmnop", "text/plain") + record("response", "<urn:uuid:2>", "HTTP/1.1 200 OK\r\nA: b\r\n\r\nxyz", "application/http; msgtype=response") + record("metadata", "<urn:uuid:3>", "k: v", "application/warc-fields", "WARC-Refers-To: <urn:uuid:2>\r\n"), newline="")
+    rows = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert {i: (r.payload_bytes, r.intact, r.page_id) for i, r in rows.items()} == {"<urn:uuid:1>": (20, True, None), "<urn:uuid:2>": (3, True, None), "<urn:uuid:3>": (4, True, None)}
+    assert rows["<urn:uuid:3>"].refers_to_id == "<urn:uuid:2>" and rows["<urn:uuid:1>"].refers_to_id is None
+
+
 def test_damaged_chain_ends_there(spark, tmp_path):
     good = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     wrong = good.replace("Length: 3", "Length: 9")

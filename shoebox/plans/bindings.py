@@ -121,7 +121,7 @@ def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes of a page's HTML as gray pixels, 64 to a row."""
+    """The bytes of a page's HTML as gray pixels, 64 to a row; the last row, or that of an empty page, is filled up with black."""
     data = F.coalesce("html", F.lit("")).cast("binary")
-    rows = F.floor(F.octet_length(data) / 64).cast("int")
-    return table(spark, sf_dir, "pages").select("page_id", data.alias("data"), rows.alias("height"), F.lit(64).alias("width"), F.lit(1).alias("nChannels")).filter("height > 0")
+    rows = F.greatest(F.lit(1), F.ceil(F.octet_length(data) / 64)).cast("int")
+    return table(spark, sf_dir, "pages").select("page_id", F.rpad(data, rows * 64, F.lit(b"\0")).alias("data"), rows.alias("height"), F.lit(64).alias("width"), F.lit(1).alias("nChannels"))

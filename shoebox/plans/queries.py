@@ -605,7 +605,7 @@ def pixel_scores(spark, sf_dir):
     return out.select("page_id", *six("sharpness", "exposure", "mean", "deviation"), "error")
 
 
-@query("""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) // 64 AS h FROM pages) SELECT page_id, CAST(CASE WHEN greatest(h, 64) > 1024 THEN floor(h * CAST(1024 AS DOUBLE) / greatest(h, 64)) ELSE h END AS BIGINT) AS height, CAST(CASE WHEN greatest(h, 64) > 1024 THEN floor(CAST(65536 AS DOUBLE) / greatest(h, 64)) ELSE 64 END AS BIGINT) AS width FROM p WHERE h > 0""")
+@query("""WITH p AS (SELECT page_id, greatest(1, (octet_length(encode(coalesce(html, ''))) + 63) // 64) AS h FROM pages) SELECT page_id, CAST(CASE WHEN greatest(h, 64) > 1024 THEN floor(h * CAST(1024 AS DOUBLE) / greatest(h, 64)) ELSE h END AS BIGINT) AS height, CAST(CASE WHEN greatest(h, 64) > 1024 THEN floor(CAST(65536 AS DOUBLE) / greatest(h, 64)) ELSE 64 END AS BIGINT) AS width FROM p""")
 def target_sizes(spark, sf_dir):
     size = pixels.target_size(c("height"), c("width"))
     return b.page_images(spark, sf_dir).select("page_id", size["height"].cast("long").alias("height"), size["width"].cast("long").alias("width"))

@@ -61,10 +61,10 @@ def final_order(chosen: DataFrame, by: list[str], key: str = "photo_id") -> Data
     return chosen.withColumn("place", F.row_number().over(order))
 
 
-def selection_stats(chosen: DataFrame, candidates: DataFrame, by: list[str], pairs: DataFrame | None = None) -> DataFrame:
+def selection_stats(chosen: DataFrame, candidates: DataFrame, by: list[str], alike: DataFrame | None = None) -> DataFrame:
     """One row for each group of candidates. Photos with smiles are always 0: no photo carries that mark. An empty
-    selection has zeros and no minima or maxima. pairs: the similarity of the pairs of each selection (by..., similarity);
-    diversity_score is 1 less their mean, 0 without pairs."""
+    selection has zeros and no minima or maxima. alike: the mean similarity of each selection (by..., avg_similarity),
+    as mean_similarity() gives it; diversity_score is 1 less that, 0 where there is none."""
     scores = ("quality", "emotional", "combined")
     few = chosen.groupBy(*by).agg(
         *(F.avg(s).alias(f"avg_{s}") for s in scores), *(f(s).alias(f"{n}_{s}") for s in scores for n, f in (("min", F.min), ("max", F.max))),
@@ -73,9 +73,9 @@ def selection_stats(chosen: DataFrame, candidates: DataFrame, by: list[str], pai
     out = candidates.groupBy(*by).agg(F.count("*").alias("total_candidates")).join(few, by, "left")
     zeros = {n: 0.0 for n in ("avg_quality", "avg_emotional", "avg_combined")} | {n: 0 for n in ("months_represented", "photos_with_faces", "photos")}
     out = out.fillna(zeros).withColumn("photos_with_smiles", F.lit(0).cast("long"))
-    if pairs is None:
+    if alike is None:
         return out.withColumn("diversity_score", F.lit(0.0))
-    return out.join(pairs.groupBy(*by).agg((1 - F.avg("similarity")).alias("diversity_score")), by, "left").fillna(0.0, ["diversity_score"])
+    return out.join(alike.select(*by, (1 - F.col("avg_similarity")).alias("diversity_score")), by, "left").fillna(0.0, ["diversity_score"])
 
 
 def with_fallback(photos: DataFrame, by: list[str], config: CurationConfig = CurationConfig(), key: str = "photo_id") -> DataFrame:

@@ -174,7 +174,7 @@ def statistics_of(spark: SparkSession, sf_dir: str, chosen: DataFrame, photos: D
     """Statistics with the diversity of each year's selection; a picked photo's histogram is a vector of the table."""
     vectors = b.table(spark, sf_dir, "embeddings").select(c("vec_id"), c("embedding").cast("array<double>").alias("histogram"))
     pictures = chosen.withColumn("vec_id", c("year") % 40 * 12 + c("pick")).join(vectors, "vec_id")
-    return curate.selection_stats(chosen, photos, ["year"], diversity.similarity_pairs(pictures, album="year", order="pick"))
+    return curate.selection_stats(chosen, photos, ["year"], diversity.mean_similarity(pictures, ["year"]))
 
 
 @query(f"""{_PICKS}, ordered AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY coalesce(month, 999), combined DESC, pick) - 1 AS place FROM picks), n AS (SELECT year, count(*) AS total_candidates FROM scored GROUP BY year),

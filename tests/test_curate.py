@@ -77,3 +77,55 @@ def test_running_totals_start_from_earlier_buckets(spark):
     rows = spark.range(100).withColumn("b", F.floor(F.col("id") / 7))
     out = running_totals(rows, F.col("b"), ["id"], {"n": F.lit(1), "s": F.col("id")}).orderBy("id").collect()
     assert [r.n for r in out] == list(range(1, 101)) and [r.s for r in out] == [i * (i + 1) // 2 for i in range(100)]
+
+
+def test_mean_similarity_is_that_of_the_pairs(spark):
+    """With constants, copies, opposites, another length, no histogram, groups of one and a null group; whole arrays and channels."""
+    import numpy as np
+
+    from shoebox.operators import diversity
+
+    rng, rows = np.random.default_rng(8), []
+    for album, count in ((1, 9), (2, 2), (3, 1), (None, 4)):
+        rows += [(album, i, i, rng.random(6).tolist()) for i in range(count)]
+    rows += [(4, i, i, h) for i, h in enumerate(([1.0, 2, 3, 4, 5, 9], [1.0, 2, 3, 4, 5, 9], [9.0, 5, 4, 3, 2, 1], [2.0] * 6, [3.0] * 6, [7.0, 7, 7, 1, 2, 3], [1.0, 2, 3], None))]
+    rows = [(a, k, p, h and [float(v) for v in h]) for a, k, p, h in [*rows, (5, 0, 0, None), (5, 1, 1, None)]]
+    photos = spark.createDataFrame(rows, "album long, photo_id long, place long, histogram array<double>")
+    for channels in ((), (3, 3), (2, 1, 3)):
+        some = photos if not channels else photos.filter("histogram is null or size(histogram) = 6")
+        wanted = {r.album: r.m for r in diversity.similarity_pairs(some, channels=channels).groupBy("album").agg(F.avg("similarity").alias("m")).collect()}
+        found = {r.album: r.avg_similarity for r in diversity.mean_similarity(some, ["album"], channels=channels).collect()}
+        assert found == {album: pytest.approx(m, abs=1e-12) for album, m in wanted.items()} | {3: None}
+    assert diversity.mean_similarity(photos.limit(0), ["album"]).count() == 0
+
+
+def test_a_watched_batch_counts_its_own_rows(spark, tmp_path):
+    """The metrics of a real batch are its rows and errors, from the job that made them; the rows are as they were."""
+    import pandas as pd
+
+    from shoebox.functions import faces
+    from shoebox.operators import reports
+
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def detector(frame):
+        (made / str(frame["photo_id"].iloc[0])).touch()
+        if (frame["photo_id"] % 10 == 3).any():
+            raise RuntimeError("broken")
+        return pd.Series([[] for _ in range(len(frame))])
+
+    batch = faces.detect_faces(spark.range(0, 40, 1, 4).withColumnRenamed("id", "photo_id"), detector)
+    rows, seen = reports.watched(batch, F.col("error").isNotNull())
+    assert rows.schema == batch.schema
+    rows.write.parquet(str(tmp_path / "out"))
+    before = len(list(made.iterdir()))
+    found = reports.session_of(seen)
+    assert (found["photos_processed"], found["failed"], found["successful"], found["success_rate"]) == (40, 4, 36, 90.0) and len(list(made.iterdir())) == before
+    assert found["memory_peak_mb"] > 1 and found["memory_delta_mb"] >= 0 and found["duration"] >= 0
+    assert spark.read.parquet(str(tmp_path / "out")).filter("error is not null").count() == 4
+    none, seen = reports.watched(batch.limit(0), F.lit(True), "empty")
+    none.write.mode("overwrite").parquet(str(tmp_path / "none"))
+    assert reports.session_of(seen)["photos_processed"] == 0 and reports.session_of(seen)["memory_peak_mb"] is None
+    with pytest.raises(ValueError, match="_at"):
+        reports.watched(spark.range(1).withColumn("_at", F.lit(1)), F.lit(False))

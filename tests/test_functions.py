@@ -109,6 +109,32 @@ def test_broken_and_large_images(spark):
     assert pixels.pixel_scores(images(spark, wide)).first().error is None
 
 
+def test_lanczos_of_a_ramp():
+    """Against the sum written out tap by tap; flat pictures stay flat, borders repeat, overshoot is cut."""
+    ramp = np.arange(0, 250, 25, dtype=np.uint8)[None, :, None]
+
+    def plain(old, new):
+        out = []
+        for i in range(new):
+            at = (i + 0.5) * len(old) / new - 0.5
+            start, kernel = int(np.floor(at)), []
+            for k in range(start - 3, start + 5):
+                d = np.pi * (at - k)
+                kernel.append(1.0 if d == 0 else 4 * np.sin(d) * np.sin(d / 4) / d**2)
+            shares = [round(w / sum(kernel) * 2048) for w in kernel]
+            total = sum(s * int(old[min(max(k, 0), len(old) - 1)]) for s, k in zip(shares, range(start - 3, start + 5), strict=True))
+            out.append(min(255, max(0, (total + 1024) // 2048)))
+        return out
+
+    assert pixels.resized(ramp, 1, 4)[0, :, 0].tolist() == plain(ramp[0, :, 0], 4)
+    assert pixels.resized(ramp.transpose(1, 0, 2), 5, 1)[:, 0, 0].tolist() == plain(ramp[0, :, 0], 5) == pixels.resized(ramp, 1, 5)[0, :, 0].tolist()
+    assert (pixels.resized(np.full((30, 40, 3), 201, np.uint8), 13, 7) == 201).all()
+    step = np.repeat([0, 255], 12).astype(np.uint8)[None, :, None]
+    assert pixels.resized(step, 1, 16)[0, :, 0].tolist() == plain(step[0, :, 0], 16) and pixels.resized(step, 1, 16)[0, [0, -1], 0].tolist() == [0, 255]
+    places, shares = pixels.taps(3000, 1024)
+    assert places.shape == shares.shape == (1024, 8) and places.min() == 0 and places.max() <= 2999 and abs(shares.sum(axis=1) - 2048).max() <= 4
+
+
 def test_hsv_histograms_count_every_pixel():
     image = np.random.default_rng(1).integers(0, 256, (30, 20, 3), dtype=np.uint8)
     found = pixels.hsv_histograms(image)

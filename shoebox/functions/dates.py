@@ -37,6 +37,11 @@ def datetime_info(exif: Column, file_time: Column) -> Column:
     return F.struct(when.alias("datetime"), F.month(when).cast("long").alias("month"), F.year(when).cast("long").alias("year"), F.when(exif.isNotNull(), "exif").otherwise("file_mtime").alias("source"), exif.alias("exif"), file_time.alias("file_mtime"))
 
 
+def date_texts(when: Column) -> Column:
+    """The texts that a date is shown as: June, Jun 15 and 2024-06-15; null for an undated photo."""
+    return F.struct(F.date_format(when, "MMMM").alias("month_name"), F.date_format(when, "MMM dd").alias("day"), F.date_format(when, "yyyy-MM-dd").alias("date"))
+
+
 def taken(original: str | None, plain: str | None, digitized: str | None, file_time: dt.datetime | None) -> dt.datetime | None:
     """photo_datetime(exif_datetime(first_present(...))) of one file, for kernels that have its bytes."""
     text = next((x for x in (original, plain, digitized) if x is not None), None)

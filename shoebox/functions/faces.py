@@ -214,3 +214,11 @@ def score_breakdown() -> Column:
     raw = F.struct(F.col("intimacy_score").alias("intimacy"), F.col("engagement_score").alias("engagement"))
     info = F.struct(F.col("face_count").alias("count"), F.col("face_coverage").alias("coverage"))
     return F.struct("composite", "tier", components.alias("components"), raw.alias("raw_scores"), info.alias("face_info"))
+
+
+def significance_stats(scored: DataFrame, tier: Column, by: list[str] | None = None) -> DataFrame:
+    """Count, mean, least and largest composite, photos of each tier, mean faces and photos with faces; one row without groups, whose
+    means are null if there are no photos."""
+    tiers = [F.count_if(tier == t).alias(t) for t in ("high", "medium", "low")]
+    score = F.col("composite")
+    return scored.groupBy(*(by or [])).agg(F.count("*").alias("count"), F.avg(score).alias("avg_composite"), F.max(score).alias("max_composite"), F.min(score).alias("min_composite"), *tiers, F.avg("face_count").alias("avg_faces"), F.count_if(F.col("face_count") > 0).alias("with_faces"))

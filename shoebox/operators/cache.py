@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from shoebox.functions.quality import quality_tier
+
 
 def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
@@ -58,6 +60,30 @@ def score_by_path(cache: DataFrame, path: str = "photo_path", score: str = "comp
     return cache.groupBy(path).agg(F.max_by(score, F.struct("analyzed_at", "photo_hash")).alias(score))
 
 
+def tier_counts(cache: DataFrame, by: list[str] | None = None, score: str = "composite_score") -> DataFrame:
+    """(by..., tier, entries) of the tiers that occur."""
+    return cache.groupBy(*(by or []), quality_tier(F.col(score)).alias("tier")).agg(F.count("*").alias("entries"))
+
+
+def results_of(asked: DataFrame, cached: DataFrame, fresh: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """The asked rows with their result, one of cached and fresh (ordinal, results...), whose columns are the same; null where there is
+    neither. A row with both has the fresh one. The ordinal gives the order in which they were asked; sorting by it is left to where rows are shown."""
+    names = [c for c in cached.columns if c != ordinal]
+    both = cached.withColumn("_fresh", F.lit(False)).unionByName(fresh.withColumn("_fresh", F.lit(True)))
+    one = both.groupBy(ordinal).agg(F.max_by(F.struct(*names), "_fresh").alias("_r")).select(ordinal, *(F.col(f"_r.{n}").alias(n) for n in names))
+    return asked.join(one, ordinal, "left")
+
+
+def decoded_metadata(text: Column, schema: str) -> Column:
+    """A cache row's JSON text as a struct; fields that aren't there, and all of them where the text is no JSON, are null."""
+    return F.from_json(text, schema)
+
+
+def encoded_metadata(fields: Column) -> Column:
+    """The JSON text of a struct, with its nulls."""
+    return F.to_json(fields, {"ignoreNullFields": "false"})
+
+
 def versions_compared(cache: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Each row with the values of the row before it under the same key (previous_...)."""
     w = W.Window.partitionBy(key).orderBy(*order)

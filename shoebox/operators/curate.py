@@ -107,6 +107,13 @@ def month_counts(photos: DataFrame, by: list[str]) -> DataFrame:
     return counts.select(*by, F.inline(months)).withColumn("bar", F.repeat(F.lit("█"), F.least(F.col("photos"), F.lit(60)).cast("int")))
 
 
+def photos_by_month(photos: DataFrame, by: list[str], when: str = "taken", key: str = "photo_id") -> DataFrame:
+    """(by..., month, photos array): the photos of each month, in the order of their keys; undated ones are in none. A group is an album, whose size the
+    caller bounds: its lists are rows."""
+    dated = photos.filter(F.col(when).isNotNull())
+    return dated.groupBy(*by, F.month(when).cast("long").alias("month")).agg(F.array_sort(F.collect_list(key)).alias("photos"))
+
+
 def best_and_worst(photos: DataFrame, by: list[str], key: str = "photo_id") -> DataFrame:
     order = lambda sign: F.struct(sign * F.col("combined"), F.col(key))
     return photos.groupBy(*by).agg(F.min_by(key, order(-1)).alias("best"), F.min_by(key, order(1)).alias("worst"), F.max("combined").alias("best_score"), F.min("combined").alias("worst_score"))

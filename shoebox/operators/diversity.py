@@ -17,12 +17,12 @@ def product(x: Column, y: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The array moved to mean 0 and scaled to length 1, so that a product of two is their correlation; nulls for a constant one."""
+    """The array moved to mean 0 and scaled to length 1, so that a product of two is their correlation; nulls for a constant one; an empty one stays empty."""
 
     def scaled(x: Column) -> Column:
         return bound(F.sqrt(product(x, x)), lambda n: F.transform(x, lambda v: F.when(n > 0, v / n)))
 
-    return bound(total(a) / F.size(a), lambda mean: bound(F.transform(a, lambda v: v - mean), scaled))
+    return bound(F.try_divide(total(a), F.size(a)), lambda mean: bound(F.transform(a, lambda v: v - mean), scaled))
 
 
 def units(a: Column, channels: tuple[int, ...] = ()) -> Column:
@@ -42,10 +42,10 @@ def correlation(a: Column, b: Column) -> Column:
 
 def alike(x: Column, y: Column, channels: tuple[int, ...] = ()) -> Column:
     """The similarity of two units(): the mean correlation over channels, moved to 0 to 1. A channel without variance in
-    one of the two correlates at 1; arrays of different lengths can't be compared (null)."""
+    one of the two correlates at 1; arrays of different lengths, and empty ones, can't be compared (null)."""
     each = [F.coalesce(product(F.slice(x, s, n), F.slice(y, s, n)), F.lit(1.0)) for s, n in parts(channels)] if channels else [F.coalesce(product(x, y), F.lit(1.0))]
     mean = sum(each[1:], each[0]) / len(each)
-    return F.when(F.size(x) == F.size(y), bound(mean, lambda m: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (m + 1) / 2))))
+    return F.when((F.size(x) == F.size(y)) & (F.size(x) > 0), bound(mean, lambda m: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (m + 1) / 2))))
 
 
 def similarity(a: Column, b: Column, channels: tuple[int, ...] = ()) -> Column:
@@ -90,7 +90,7 @@ def mean_similarity(photos: DataFrame, by: list[str], histogram: str = "histogra
     """(by..., photos, avg_similarity) of groups of any size, equal to the mean over similarity_pairs(), without a pair.
 
     The products of all pairs of unit vectors are half of what the square of their sum has beyond their own squares; pairs with a constant
-    channel are counted apart, at 1; photos of different lengths, and those without a histogram, compare as 0. A group of one photo has null.
+    channel are counted apart, at 1; photos of different lengths, and those without a histogram or with an empty one, compare as 0. A group of one photo has null.
     """
     pairs = lambda n: n * (n - 1) / 2
     spread = photos.select(*by, F.posexplode(units(F.col(histogram), channels)).alias("_at", "_v"), F.size(histogram).alias("_size"))

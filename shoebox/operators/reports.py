@@ -37,6 +37,11 @@ def progress(log: DataFrame, failed: Column, bucket: Column, order: list[str]) -
     return running_totals(log, bucket, order, {"done": F.lit(1), "failures": failed.cast("long")})
 
 
+def tier_report(photos: DataFrame, by: list[str], tiers: tuple[str, ...] = ("high", "acceptable", "low"), tier: str = "tier", month: str = "month") -> DataFrame:
+    """Photos, photos of each tier (a column each), and months that occur; undated photos count in no month."""
+    return photos.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(F.col(tier) == t).alias(t) for t in tiers), F.count_distinct(month).alias("months"))
+
+
 def session_metrics(log: DataFrame, session: list[str], at: str = "ts", memory: str = "value") -> DataFrame:
     """Duration in seconds, photos, rate, and memory at start, peak and end."""
     seconds = (F.unix_micros(F.max(at).cast("timestamp")) - F.unix_micros(F.min(at).cast("timestamp"))) / 1e6

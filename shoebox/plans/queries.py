@@ -195,7 +195,7 @@ def selection_documents(spark, sf_dir):
 @query(f"WITH {b.CANDIDATES_SQL}, t AS (SELECT l_suppkey, month, CASE WHEN quality >= 70 THEN 'high' WHEN quality >= 50 THEN 'acceptable' ELSE 'low' END AS tier FROM cand) SELECT l_suppkey, count(*) AS total, count(*) FILTER (WHERE tier = 'high') AS high, count(*) FILTER (WHERE tier = 'acceptable') AS acceptable, count(*) FILTER (WHERE tier = 'low') AS low, count(DISTINCT month) AS months FROM t GROUP BY l_suppkey")
 def library_reports(spark, sf_dir):
     photos = b.candidates(spark, sf_dir).withColumn("tier", quality.quality_tier(c("quality")))
-    return photos.groupBy("l_suppkey").agg(F.count("*").alias("total"), *(F.count_if(c("tier") == t).alias(t) for t in ("high", "acceptable", "low")), F.count_distinct("month").alias("months"))
+    return reports.tier_report(photos, ["l_suppkey"])
 
 
 @query(f"""WITH {b.CACHE_SQL}, t AS (SELECT *, CASE WHEN composite_score >= 70 THEN 'high' WHEN composite_score >= 50 THEN 'acceptable' ELSE 'low' END AS tier FROM cached)
@@ -266,13 +266,13 @@ def emotional_scores(spark, sf_dir):
 @query(f"""WITH {b.FACES_SQL} SELECT count(*) AS count, round(avg(composite), 6) AS avg_composite, round(max(composite), 6) AS max_composite, round(min(composite), 6) AS min_composite, count(*) FILTER (WHERE tier = 'high') AS high, count(*) FILTER (WHERE tier = 'medium') AS medium, count(*) FILTER (WHERE tier = 'low') AS low, round(avg(n), 6) AS avg_faces, count(*) FILTER (WHERE n > 0) AS with_faces FROM tiered""")
 def emotional_stats(spark, sf_dir):
     s = significant(spark, sf_dir).withColumn("tier", faces.emotional_tier(F.round("composite", 9)))
-    tiers = [F.count_if(c("tier") == t).alias(t) for t in ("high", "medium", "low")]
-    return s.agg(F.count("*").alias("count"), F.round(F.avg("composite"), 6).alias("avg_composite"), F.round(F.max("composite"), 6).alias("max_composite"), F.round(F.min("composite"), 6).alias("min_composite"), *tiers, F.round(F.avg("face_count"), 6).alias("avg_faces"), F.count_if(c("face_count") > 0).alias("with_faces"))
+    out = faces.significance_stats(s, c("tier"))
+    return out.select("count", *six("avg_composite", "max_composite", "min_composite"), "high", "medium", "low", *six("avg_faces"), "with_faces")
 
 
 @query(f"WITH {b.FACES_SQL} SELECT photo_id, round(composite, 10) AS composite FROM tiered WHERE tier = 'high'")
 def high_significance(spark, sf_dir):
-    """The tier filter; results are ranked where they are shown."""
+    """The tier filter, best first: the order is the feature."""
     s = significant(spark, sf_dir).filter(faces.emotional_tier(F.round("composite", 9)) == "high")
     return s.select("photo_id", F.round("composite", 10).alias("composite")).orderBy(F.desc("composite"), "photo_id")
 
@@ -364,7 +364,7 @@ def cache_unexpired(spark, sf_dir):
 
 @query(f"WITH {b.CACHE_SQL} SELECT CASE WHEN composite_score >= 70 THEN 'high' WHEN composite_score >= 50 THEN 'acceptable' ELSE 'low' END AS tier, count(*) AS entries FROM cached GROUP BY tier")
 def cache_tiers(spark, sf_dir):
-    return b.cache_rows(spark, sf_dir).groupBy(quality.quality_tier(c("composite_score")).alias("tier")).agg(F.count("*").alias("entries"))
+    return cache.tier_counts(b.cache_rows(spark, sf_dir))
 
 
 @query(f"WITH {b.CACHE_SQL} SELECT photo_path, round(max_by(composite_score, row(analyzed_at, photo_hash)), 6) AS composite_score FROM cached GROUP BY photo_path")
@@ -374,12 +374,12 @@ def cache_scores(spark, sf_dir):
 
 @query(f"WITH {b.CACHE_SQL} SELECT doc_id AS ordinal, photo_path, round(CASE WHEN doc_id % 3 <> 0 THEN composite_score END, 6) AS composite_score FROM cached")
 def results_in_order(spark, sf_dir):
-    """The asked paths with their result, or null where the analysis failed, in the order in which they were asked; cached and
+    """The asked paths with their result, or null where the analysis failed, with the order in which they were asked; cached and
     fresh results are united."""
-    rows = b.cache_rows(spark, sf_dir)
-    some = rows.select("doc_id", "composite_score")
-    results = some.filter("doc_id % 3 = 1").unionByName(some.filter("doc_id % 3 = 2"))
-    return rows.select("doc_id", "photo_path").join(results, "doc_id", "left").select(c("doc_id").alias("ordinal"), "photo_path", *six("composite_score")).orderBy("ordinal")
+    rows = b.cache_rows(spark, sf_dir).withColumnRenamed("doc_id", "ordinal")
+    some = rows.select("ordinal", "composite_score")
+    out = cache.results_of(rows.select("ordinal", "photo_path"), some.filter("ordinal % 3 = 1"), some.filter("ordinal % 3 = 2"))
+    return out.select("ordinal", "photo_path", *six("composite_score"))
 
 
 @query(f"WITH {b.CACHE_SQL} SELECT photo_hash, photo_path, round(composite_score, 6) AS composite_score, CAST(0 AS BIGINT) AS file_size, analyzed_at, CASE WHEN doc_id % 2 = 0 THEN 'v1.1' ELSE 'v1.0' END AS algorithm_version FROM cached WHERE doc_id % 10 <> 0")
@@ -506,7 +506,7 @@ def exposure_issues(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def metadata_decoded(spark, sf_dir):
-    return b.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return b.table(spark, sf_dir, "events").select("event_id", cache.decoded_metadata(c("props"), "k long")["k"].alias("k"))
 
 
 @query("""SELECT event_id, ts AS timestamp, month(ts) AS month, CASE event_id % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' WHEN 2 THEN 'heic' ELSE 'jpg' END AS format, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 4000 END AS BIGINT) AS width FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)""")
@@ -545,13 +545,13 @@ def year_predicates(spark, sf_dir):
 
 @query(f"WITH {b.DATES_SQL} SELECT photo_id // 1000 AS album, month(ts) AS month, string_agg(CAST(photo_id AS VARCHAR), ',' ORDER BY photo_id) AS photos FROM stamped WHERE ts IS NOT NULL GROUP BY ALL")
 def photos_by_month(spark, sf_dir):
-    d = with_dates(spark, sf_dir).filter("ts is not null").groupBy(F.floor(c("photo_id") / 1000).alias("album"), F.month("ts").cast("long").alias("month"))
-    return d.agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("photo_id")), lambda x: x.cast("string"))).alias("photos"))
+    albums = with_dates(spark, sf_dir).withColumn("album", F.floor(c("photo_id") / 1000))
+    return curate.photos_by_month(albums, ["album"], "ts").withColumn("photos", F.concat_ws(",", F.transform("photos", lambda x: x.cast("string"))))
 
 
 @query(f"WITH {b.DATES_SQL} SELECT photo_id, strftime(ts, '%B') AS month_name, strftime(ts, '%b %d') AS day, strftime(ts, '%Y-%m-%d') AS date FROM stamped")
 def date_texts(spark, sf_dir):
-    return with_dates(spark, sf_dir).select("photo_id", F.date_format("ts", "MMMM").alias("month_name"), F.date_format("ts", "MMM dd").alias("day"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
+    return with_dates(spark, sf_dir).select("photo_id", dates.date_texts(c("ts")).alias("d")).select("photo_id", "d.*")
 
 
 # Similarity --------------------------------------------------------------------------------------

@@ -89,10 +89,11 @@ def test_mean_similarity_is_that_of_the_pairs(spark):
     for album, count in ((1, 9), (2, 2), (3, 1), (None, 4)):
         rows += [(album, i, i, rng.random(6).tolist()) for i in range(count)]
     rows += [(4, i, i, h) for i, h in enumerate(([1.0, 2, 3, 4, 5, 9], [1.0, 2, 3, 4, 5, 9], [9.0, 5, 4, 3, 2, 1], [2.0] * 6, [3.0] * 6, [7.0, 7, 7, 1, 2, 3], [1.0, 2, 3], None))]
+    rows += [(6, 0, 0, []), (6, 1, 1, []), (6, 2, 2, [1.0, 2.0, 3.0, 4.0, 5.0, 9.0])]
     rows = [(a, k, p, h and [float(v) for v in h]) for a, k, p, h in [*rows, (5, 0, 0, None), (5, 1, 1, None)]]
     photos = spark.createDataFrame(rows, "album long, photo_id long, place long, histogram array<double>")
     for channels in ((), (3, 3), (2, 1, 3)):
-        some = photos if not channels else photos.filter("histogram is null or size(histogram) = 6")
+        some = photos if not channels else photos.filter("histogram is null or size(histogram) in (0, 6)")
         wanted = {r.album: r.m for r in diversity.similarity_pairs(some, channels=channels).groupBy("album").agg(F.avg("similarity").alias("m")).collect()}
         found = {r.album: r.avg_similarity for r in diversity.mean_similarity(some, ["album"], channels=channels).collect()}
         assert found == {album: pytest.approx(m, abs=1e-12) for album, m in wanted.items()} | {3: None}
@@ -129,3 +130,34 @@ def test_a_watched_batch_counts_its_own_rows(spark, tmp_path):
     assert reports.session_of(seen)["photos_processed"] == 0 and reports.session_of(seen)["memory_peak_mb"] is None
     with pytest.raises(ValueError, match="_at"):
         reports.watched(spark.range(1).withColumn("_at", F.lit(1)), F.lit(False))
+
+
+def test_results_of_cached_and_fresh(spark):
+    from shoebox.operators import cache
+
+    asked = spark.createDataFrame([(i, f"p{i % 3}") for i in range(5)], "ordinal long, path string")
+    cached, fresh = (spark.createDataFrame(rows, "ordinal long, score double, note string") for rows in ([(0, 1.0, "c"), (1, 2.0, "c")], [(1, 9.0, None), (3, 4.0, "f"), (8, 5.0, "f")]))
+    found = {r.ordinal: (r.path, r.score, r.note) for r in cache.results_of(asked, cached, fresh).collect()}
+    assert found == {0: ("p0", 1.0, "c"), 1: ("p1", 9.0, None), 2: ("p2", None, None), 3: ("p0", 4.0, "f"), 4: ("p1", None, None)}
+    assert cache.results_of(asked.limit(0), cached, fresh).count() == 0
+
+
+def test_small_reports(spark):
+    """Tiers, months and metadata with nulls, empty tables and texts that are no JSON."""
+    from shoebox.functions import dates, faces
+    from shoebox.operators import cache, reports
+
+    entries = spark.createDataFrame([(70.0,), (69.9,), (50.0,), (1.0,)], "composite_score double")
+    assert {r.tier: r.entries for r in cache.tier_counts(entries).collect()} == {"high": 1, "acceptable": 2, "low": 1}
+    texts = spark.createDataFrame([('{"k": 3, "x": "y"}',), ("{}",), ("no",), (None,)], "t string").select(cache.decoded_metadata(F.col("t"), "k long, x string").alias("m"))
+    assert [(r.k, r.x) for r in texts.select("m.*").collect()] == [(3, "y"), (None, None), (None, None), (None, None)]
+    assert texts.limit(2).select(cache.encoded_metadata(F.col("m")).alias("t")).first().t == '{"k":3,"x":"y"}'
+    rows = spark.createDataFrame([("a", "high", 1, "2024-01-05"), ("a", "low", None, None), ("a", None, 1, "2024-01-09"), ("b", "acceptable", 2, "2024-02-01")], "who string, tier string, month long, at string")
+    rows = rows.withColumn("taken", F.col("at").cast("timestamp_ntz")).withColumn("photo_id", F.coalesce("at", F.lit("none")))
+    assert {r.who: r[1:] for r in reports.tier_report(rows, ["who"]).collect()} == {"a": (3, 1, 0, 1, 1), "b": (1, 0, 1, 0, 1)}
+    assert {(r.who, r.month): r.photos for r in curate.photos_by_month(rows, ["who"]).collect()} == {("a", 1): ["2024-01-05", "2024-01-09"], ("b", 2): ["2024-02-01"]}
+    shown = rows.select(dates.date_texts(F.col("taken")).alias("d")).select("d.*").collect()
+    assert tuple(shown[0]) == ("January", "Jan 05", "2024-01-05") and tuple(shown[1]) == (None, None, None)
+    scored = spark.createDataFrame([(80.0, "high", 2), (40.0, "low", 0)], "composite double, tier string, face_count int")
+    assert tuple(faces.significance_stats(scored, F.col("tier")).first()) == (2, 60.0, 80.0, 40.0, 1, 0, 1, 1.0, 1)
+    assert faces.significance_stats(scored.limit(0), F.col("tier")).first().asDict()["count"] == 0

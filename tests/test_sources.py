@@ -227,6 +227,8 @@ def test_image_similarity(spark):
         return (np.mean(parts) + 1) / 2
 
     assert found == {(str(i), str(j)): pytest.approx(plain(images[i], images[j])) for i in range(4) for j in range(i + 1, 4)} and found["0", "3"] == pytest.approx(1)
+    unread = spark.createDataFrame([*rows[:2], (1, "x", 8, bytearray(b"1"), 5, 5, 3), (1, "y", 9, bytearray(), 5, 5, 3)], "album long, origin string, place long, data binary, height int, width int, nChannels int")
+    assert {(r.first, r.second): r.similarity for r in curation.image_similarity(unread).collect() if r.second in "xy"} == {("0", "x"): 0, ("1", "x"): 0, ("0", "y"): 0, ("1", "y"): 0, ("x", "y"): 0}
     flat = album(spark, [1, 1, 1], [1, 2, 3], [2, 2])
     assert [r.similarity for r in diversity.similarity_pairs(flat).orderBy("first", "second").collect()] == [1.0, 0.0, 0.0]
 

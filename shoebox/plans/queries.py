@@ -233,6 +233,7 @@ def closest_pairs(spark, sf_dir):
     return p.select("photo_id", c("p.i").cast("long").alias("i"), c("p.j").cast("long").alias("j"), F.round("p.distance", 6).alias("distance"))
 
 
+# The texts of reports, as the functions have them.
 @query(f"""WITH {b.FACES_SQL} SELECT photo_id, round(coalesce(intimacy, 0), 6) AS intimacy, round(d, 6) AS closest, round(mean, 6) AS average, coalesce(close, 0) AS close_pairs, CASE WHEN n = 1 THEN 'Single person (no proximity to measure)' WHEN d < 1.5 THEN 'Very close/intimate (embracing or very near)'
     WHEN d < 3 THEN 'Close together (friends, couple)' WHEN d < 5 THEN 'Moderate distance (group photo)' ELSE 'Distant (separate individuals)' END AS analysis FROM person LEFT JOIN near USING (photo_id) LEFT JOIN intimate USING (photo_id)""")
 def proximity(spark, sf_dir):
@@ -243,6 +244,7 @@ def proximity(spark, sf_dir):
     return f.select("photo_id", F.round(faces.intimacy(c("pairs")), 6).alias("intimacy"), F.round(nearest, 6).alias("closest"), F.round(mean, 6).alias("average"), near.alias("close_pairs"), faces.proximity_text(c("faces"), nearest).alias("analysis"))
 
 
+# The texts of reports, as the functions have them.
 @query(f"""WITH {b.FACES_SQL} SELECT photo_id, {r6('engagement')}, frontal, partial, profile, round(CAST(frontal AS DOUBLE) / n, 6) AS frontal_ratio, CAST(frontal AS DOUBLE) / n >= 0.6 AS is_group_engaged,
     CASE WHEN CAST(frontal AS DOUBLE) / n >= 0.8 THEN 'High engagement (most faces looking at camera)' WHEN CAST(frontal AS DOUBLE) / n >= 0.5 THEN 'Moderate engagement (about half faces looking at camera)' WHEN CAST(frontal AS DOUBLE) / n >= 0.2 THEN 'Low engagement (few faces looking at camera)' ELSE 'Minimal engagement (mostly profile views)' END AS analysis FROM person""")
 def engagement(spark, sf_dir):
@@ -411,6 +413,7 @@ def scan_first_hundred(spark, sf_dir):
     return library.photos(b.page_files(spark, sf_dir), 100).select("path")
 
 
+# The texts of reports, as the functions have them.
 @query(f"""WITH {b.PAGES_SQL}, asked AS (SELECT page_id, url AS path FROM pages UNION ALL SELECT -1 - page_id, 'none:' || page_id FROM pages WHERE page_id % 4 = 0),
 file AS (SELECT url AS path, max(ext) AS ext, max(length) AS length, bool_or(is_dir) AS is_dir FROM typed GROUP BY url)
 SELECT page_id, CASE WHEN file.path IS NULL THEN 'not_found' WHEN is_dir THEN 'not_a_file' WHEN length < 1024 THEN 'too_small' END AS reason,

@@ -93,18 +93,17 @@ def mean_similarity(photos: DataFrame, by: list[str], histogram: str = "histogra
     channel are counted apart, at 1; photos of different lengths, and those without a histogram or with an empty one, compare as 0. A group of one photo has null.
     """
     pairs = lambda n: n * (n - 1) / 2
-    spread = photos.select(*by, F.posexplode(units(F.col(histogram), channels)).alias("_at", "_v"), F.size(histogram).alias("_size"))
+    # place 0 stands for the photo itself, so that those without a histogram are counted in the same pass
+    values = F.concat(F.array(F.lit(None).cast("double")), F.coalesce(units(F.col(histogram), channels), F.array().cast("array<double>")))
+    spread = photos.select(*by, F.coalesce(F.size(histogram), F.lit(0)).alias("_size"), F.posexplode(values).alias("_at", "_v"))
     sums = spread.groupBy(*by, "_size", "_at").agg(F.sum("_v").alias("s"), F.sum(F.col("_v") * F.col("_v")).alias("q"), F.count("_v").alias("varied"), F.count("*").alias("n"))
     ends = [sum(channels[: i + 1]) for i in range(len(channels))]
-    channel = sum((F.when(F.col("_at") >= end, 1).otherwise(0) for end in ends), F.lit(0))
+    channel = F.when(F.col("_at") == 0, -1).otherwise(sum((F.when(F.col("_at") > end, 1).otherwise(0) for end in ends), F.lit(0)))
     each = sums.groupBy(*by, "_size", channel.alias("_channel")).agg(F.coalesce(F.sum(F.col("s") * F.col("s") - F.col("q")) / 2, F.lit(0.0)).alias("products"), F.max("varied").alias("varied"), F.max("n").alias("n"))
     alike = (F.col("products") + 2 * pairs(F.col("n")) - pairs(F.col("varied"))) / (2 * max(1, len(channels)))
-    found = each.groupBy(*by).agg(F.sum(alike).alias("_alike"))
-    counts = photos.groupBy(*by).agg(F.count("*").alias("photos"))
-    on = [F.col(f"_of_{b}").eqNullSafe(F.col(b)) for b in by]
-    joined = counts.join(found.select(*(F.col(b).alias(f"_of_{b}") for b in by), "_alike"), on, "left")
-    mean = F.when(F.col("photos") > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_alike", F.lit(0.0)) / pairs(F.col("photos")))))
-    return joined.select(*by, "photos", mean.alias("avg_similarity"))
+    found = each.groupBy(*by).agg(F.sum(F.when(F.col("_channel") < 0, F.col("n"))).alias("photos"), F.sum(F.when(F.col("_channel") >= 0, alike).otherwise(0.0)).alias("_alike"))
+    mean = F.when(F.col("photos") > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_alike") / pairs(F.col("photos")))))
+    return found.select(*by, "photos", mean.alias("avg_similarity"))
 
 
 def without_similar(photos: DataFrame, album: str = "album", key: str = "photo_id", histogram: str = "histogram", order: str = "place", threshold: float = 0.85) -> DataFrame:

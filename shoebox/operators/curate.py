@@ -79,11 +79,13 @@ def selection_stats(chosen: DataFrame, candidates: DataFrame, by: list[str], ali
 
 
 def with_fallback(photos: DataFrame, by: list[str], config: CurationConfig = CurationConfig(), key: str = "photo_id") -> DataFrame:
-    """A group with fewer than `size` picks is selected again top-heavy, and labelled so."""
-    first = selected(photos, by, config, key)
-    short = first.groupBy(*by).count().filter(F.col("count") < config.size).select(*by)
-    again = top_heavy(photos.join(short, by, "left_semi"), by, config.size, key).withColumn("strategy", F.lit("top_heavy"))
-    return first.join(short, by, "left_anti").withColumn("strategy", F.lit(config.strategy)).unionByName(again)
+    """A group with fewer than `size` picks is selected again top-heavy, and labelled so. Every strategy takes `size` photos if there are
+    that many, so the picks of such a group are all its photos: they are ranked again, and nothing is read twice."""
+    group = W.Window.partitionBy(*by)
+    first = selected(photos, by, config, key).withColumn("_short", F.count("*").over(group) < config.size)
+    again = F.row_number().over(group.orderBy(F.desc("combined"), key))
+    out = first.withColumn("pick", F.when(F.col("_short"), again).otherwise(F.col("pick")))
+    return out.withColumn("strategy", F.when(F.col("_short"), "top_heavy").otherwise(config.strategy)).drop("_short")
 
 
 def tier_distribution(photos: DataFrame, tier: Column, by: list[str]) -> DataFrame:

@@ -211,7 +211,7 @@ def library_report_documents(spark, sf_dir):
 
 @query(f"{_PICKS}, n AS (SELECT year, count(*) AS k FROM picks GROUP BY year) SELECT year, photo_id, CASE WHEN k < 12 THEN 'top_heavy' ELSE 'balanced' END AS strategy FROM picks JOIN n USING (year)")
 def curate_with_fallback(spark, sf_dir):
-    return curate.with_fallback(scored(spark, sf_dir), ["year"]).select("year", "photo_id", "strategy")
+    return curate.with_fallback(scored(spark, sf_dir).filter("year is not null"), ["year"]).select("year", "photo_id", "strategy")
 
 
 # Faces -------------------------------------------------------------------------------------------

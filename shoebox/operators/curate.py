@@ -122,11 +122,14 @@ def best_and_worst(photos: DataFrame, by: list[str], key: str = "photo_id") -> D
 
 
 def top_and_bottom(photos: DataFrame, by: list[str], top: int = 10, bottom: int = 5, guard: int = 15, key: str = "photo_id") -> DataFrame:
-    """The best rows, and the last ones in the same (descending) order if a group has over `guard` rows."""
-    best = top_per_group(photos, by, [F.desc("combined"), F.col(key)], top, "place").withColumn("part", F.lit("top"))
-    large = photos.groupBy(*by).count().filter(F.col("count") > guard).select(*by)
-    last = top_per_group(photos.join(large, by, "left_semi"), by, [F.asc("combined"), F.desc(key)], bottom, "place").withColumn("part", F.lit("bottom"))
-    return best.unionByName(last.withColumn("place", F.row_number().over(W.Window.partitionBy(*by).orderBy(F.desc("place")))))
+    """The best rows, and the last ones in the same (descending) order if a group has over `guard` rows. Whether it has is seen from its
+    first guard + 1 rows, so only rows that are cut to a few of each group are shuffled."""
+    best = top_per_group(photos, by, [F.desc("combined"), F.col(key)], max(top, guard + 1), "place").withColumn("part", F.lit("top"))
+    last = top_per_group(photos, by, [F.asc("combined"), F.desc(key)], bottom, "place").withColumn("part", F.lit("bottom"))
+    group, is_top = W.Window.partitionBy(*by), F.col("part") == "top"
+    both = best.unionByName(last).withColumns({"_seen": F.count_if(is_top).over(group), "_last": F.count_if(~is_top).over(group)})
+    kept = both.filter((is_top & (F.col("place") <= top)) | (~is_top & (F.col("_seen") > guard)))
+    return kept.withColumn("place", F.when(is_top, F.col("place")).otherwise(F.col("_last") + 1 - F.col("place")).cast("int")).drop("_seen", "_last")
 
 
 def export_name(place: Column, score: Column, name: Column) -> Column:

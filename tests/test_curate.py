@@ -60,6 +60,33 @@ def test_top_heavy_and_fallback(spark):
     assert {r.strategy for r in curate.with_fallback(photos(spark, [(1, 1, 2, 5)]), ["year"]).collect()} == {"top_heavy"}
 
 
+def test_fallback_and_ends_shuffle_no_whole_group(spark, tmp_path):
+    """Without broadcasts no join by the group's key deals all photos to a few tasks; short and null groups come out like others."""
+    rows = [(y, 1000 * (y or 9) + k, k % 12 + 1, k * 7 % 31) for y, n in ((1, 40), (2, 15), (3, 16), (4, 3), (None, 20), (5, 11)) for k in range(n)]
+    photos(spark, rows).write.parquet(str(tmp_path / "photos"))
+    table = spark.read.parquet(str(tmp_path / "photos"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        picks, ends = curate.with_fallback(table, ["year"]), curate.top_and_bottom(table, ["year"])
+        for frame in (picks, ends):
+            assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+        picked = {(r.year, r.strategy): [] for r in picks.select("year", "strategy").distinct().collect()}
+        for r in picks.orderBy("pick").collect():
+            picked[r.year, r.strategy].append(r.photo_id)
+        found = {}
+        for r in ends.orderBy("place").collect():
+            found.setdefault((r.year, r.part), []).append((r.place, r.photo_id))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    groups, best = {}, {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(r)
+    for year, some in groups.items():
+        best[year] = [k for _, k, _, _ in sorted(some, key=lambda r: (-r[3], r[1]))]
+    assert picked == {(y, "balanced"): naive(g) for y, g in groups.items() if len(g) >= 12} | {(y, "top_heavy"): best[y] for y, g in groups.items() if len(g) < 12}
+    assert found == {(y, "top"): list(enumerate(b[:10], 1)) for y, b in best.items()} | {(y, "bottom"): list(enumerate(b[-5:], 1)) for y, b in best.items() if len(b) > 15}
+
+
 def test_stats_of_nothing(spark):
     some = photos(spark, [(1, 1, 2, 5)])
     row = curate.selection_stats(some.limit(0), some, ["year"]).first()

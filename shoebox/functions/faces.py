@@ -101,17 +101,30 @@ def smile_count(faces: Column, least: float = 0.5) -> Column:
 
 def pair_distances(faces: Column) -> Column:
     """array<struct<i, j, distance>> of all pairs i < j (from 1) in units of the mean face width; empty if that is 0."""
+    none = F.array().cast("array<struct<i:int,j:int,distance:double>>")
+    return over_pairs(faces, lambda i, j, distance: F.struct(i.alias("i"), j.alias("j"), distance.alias("distance")), none)
+
+
+def over_pairs(faces: Column, of: Callable[[Column, Column, Column], Column], none: Column) -> Column:
+    """The array of of(i, j, distance) over all pairs as in pair_distances; `none` if the mean width is 0. Each face's middle is computed once."""
     middle = lambda f, at, side: f[at] + F.floor(f[side] / 2)
 
     def distance(f: Column, g: Column) -> Column:
-        across, down = middle(f, "x", "w") - middle(g, "x", "w"), middle(f, "y", "h") - middle(g, "y", "h")
+        across, down = f["x"] - g["x"], f["y"] - g["y"]
         return F.sqrt((across * across + down * down).cast("double"))
 
-    def with_later(f: Column, i: Column, width: Column) -> Column:
-        return F.transform(F.slice(faces, i + 2, F.size(faces)), lambda g, k: F.struct((i + 1).alias("i"), (i + k + 2).alias("j"), (distance(f, g) / width).alias("distance")))
+    def pairs(middles: Column, width: Column) -> Column:
+        with_later = lambda f, i: F.transform(F.slice(middles, i + 2, F.size(middles)), lambda g, k: of(i + 1, i + k + 2, distance(f, g) / width))
+        return F.when(width > 0, F.flatten(F.transform(middles, with_later))).otherwise(none)
 
-    none = F.array().cast("array<struct<i:int,j:int,distance:double>>")
-    return bound(mean_of(faces, lambda f: f["w"]), lambda width: F.when(width > 0, F.flatten(F.transform(faces, lambda f, i: with_later(f, i, width)))).otherwise(none))
+    middles = F.transform(faces, lambda f: F.struct(middle(f, "x", "w").alias("x"), middle(f, "y", "h").alias("y")))
+    return bound(mean_of(faces, lambda f: f["w"]), lambda width: bound(middles, lambda m: pairs(m, width)))
+
+
+def once(rows: DataFrame, **values: Column) -> DataFrame:
+    """Adds the values in a Generate, which Catalyst neither merges with what uses them nor lets filters through: each
+    is computed once for a row, where a filter on a column of a projection computes what it mentions again at every mention."""
+    return rows.select("*", F.inline(F.array(F.struct(*(v.alias(n) for n, v in values.items())))))
 
 
 def closest_pair(pairs: Column) -> Column:
@@ -130,13 +143,18 @@ def closeness(distance: Column, config: EmotionalConfig = DEFAULT) -> Column:
 
 def intimacy(pairs: Column, config: EmotionalConfig = DEFAULT) -> Column:
     """Closeness of the nearest pair, ten points more (100 at most) when two pairs or more are close; 0 without pairs."""
+    return intimacy_of(F.transform(pairs, lambda p: p["distance"]), config)
+
+
+def intimacy_of(distances: Column, config: EmotionalConfig = DEFAULT) -> Column:
+    """intimacy() from the distances alone."""
 
     def points(p: Column) -> Column:
-        near = F.size(F.filter(p, lambda x: x["distance"] < config.close))
-        score = bound(F.array_min(F.transform(p, lambda x: x["distance"])), lambda d: closeness(d, config))
+        near = F.size(F.filter(p, lambda d: d < config.close))
+        score = bound(F.array_min(p), lambda d: closeness(d, config))
         return F.when(F.size(p) == 0, 0.0).otherwise(F.least(F.lit(100.0), score + F.when(near >= 2, 10.0).otherwise(0.0)))
 
-    return bound(pairs, points)
+    return bound(distances, points)
 
 
 def proximity_text(faces: Column, nearest: Column, config: EmotionalConfig = DEFAULT) -> Column:
@@ -174,8 +192,8 @@ def face_presence(count: Column, cover: Column, config: EmotionalConfig = DEFAUL
 
 def emotion(faces: Column, config: EmotionalConfig = DEFAULT) -> Column:
     smiling = F.filter(faces, lambda f: F.coalesce(is_smiling(f), F.lit(False)))
-    points = F.when(F.size(faces) == 0, 0.0).when(F.size(smiling) == 0, 5.0).otherwise(30.0 * F.size(smiling) / F.size(faces) + 10 * mean_of(smiling, lambda f: f["smile"]))
-    return F.least(F.lit(config.emotion), points)
+    points = lambda s: F.when(F.size(faces) == 0, 0.0).when(F.size(s) == 0, 5.0).otherwise(30.0 * F.size(s) / F.size(faces) + 10 * mean_of(s, lambda f: f["smile"]))
+    return F.least(F.lit(config.emotion), bound(smiling, points))
 
 
 def emotional_tier(score: Column, config: EmotionalConfig = DEFAULT) -> Column:
@@ -191,12 +209,16 @@ def smile_confidence(smiles: Column, width: Column, height: Column) -> Column:
 
 
 def score_significance(photos: DataFrame, config: EmotionalConfig = DEFAULT, faces: str = "faces", width: str = "width", height: str = "height") -> DataFrame:
-    """Adds face_count, face_coverage, the raw intimacy and engagement, the four components, composite, tier and valid."""
+    """Adds face_count, face_coverage, the raw intimacy and engagement, the four components, composite, tier and valid. What goes through the faces
+    is computed once; the rest is arithmetic on it."""
     f, one = F.col(faces), F.col
-    out = photos.withColumn("pairs", pair_distances(f))
-    out = out.withColumns({"face_count": F.size(f).cast("long"), "face_coverage": coverage(f, one(width), one(height)), "intimacy_score": intimacy(one("pairs"), config), "engagement_score": engagement(f)})
+    distances = over_pairs(f, lambda i, j, distance: distance, F.array().cast("array<double>"))
+    out = once(
+        photos.withColumn("pairs", pair_distances(f)), face_count=F.size(f).cast("long"), face_coverage=coverage(f, one(width), one(height)),
+        intimacy_score=intimacy_of(distances, config), engagement_score=engagement(f), emotion_component=emotion(f, config),
+    )
     out = out.withColumns({
-        "face_presence_component": face_presence(one("face_count"), one("face_coverage"), config), "emotion_component": emotion(f, config),
+        "face_presence_component": face_presence(one("face_count"), one("face_coverage"), config),
         "intimacy_component": one("intimacy_score") * (config.intimacy / 100), "engagement_component": one("engagement_score") * (config.engagement / 100),
     })
     parts = {"face_presence_component": config.face_presence, "emotion_component": config.emotion, "intimacy_component": config.intimacy, "engagement_component": config.engagement}

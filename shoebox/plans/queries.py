@@ -274,9 +274,10 @@ def emotional_stats(spark, sf_dir):
 
 @query(f"WITH {b.FACES_SQL} SELECT photo_id, round(composite, 10) AS composite FROM tiered WHERE tier = 'high'")
 def high_significance(spark, sf_dir):
-    """The tier filter, best first: the order is the feature."""
+    """The tier filter, best first: the order is the feature. A global sort reads its input twice, first for the borders of its ranges, so the
+    high ones are shuffled before it: their scores are computed once."""
     s = significant(spark, sf_dir).filter(faces.emotional_tier(F.round("composite", 9)) == "high")
-    return s.select("photo_id", F.round("composite", 10).alias("composite")).orderBy(F.desc("composite"), "photo_id")
+    return s.select("photo_id", F.round("composite", 10).alias("composite")).repartition("photo_id", "composite").orderBy(F.desc("composite"), "photo_id")
 
 
 @query(f"WITH {b.FACES_SQL} SELECT photo_id, round(presence, 10) AS presence_part, round(emotion, 10) AS emotion_part, round(intimacy, 10) AS raw_intimacy, round(engagement, 10) AS raw_engagement, CAST(n AS BIGINT) AS faces, round(cover, 10) AS coverage FROM tiered")

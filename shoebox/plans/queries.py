@@ -229,7 +229,7 @@ def face_pairs(spark, sf_dir):
 
 @query(f"WITH {b.FACES_SQL} SELECT photo_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r6('distance')} FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY distance, i, j) AS k FROM pair) WHERE k = 1")
 def closest_pairs(spark, sf_dir):
-    p = b.faces(spark, sf_dir).select("photo_id", faces.closest_pair(faces.pair_distances(c("faces"))).alias("p")).filter("p is not null")
+    p = faces.once(b.faces(spark, sf_dir), p=faces.closest_pair(faces.pair_distances(c("faces")))).filter("p is not null")
     return p.select("photo_id", c("p.i").cast("long").alias("i"), c("p.j").cast("long").alias("j"), F.round("p.distance", 6).alias("distance"))
 
 
@@ -304,7 +304,7 @@ def raw_detections(spark, sf_dir):
     x, y = c("l_partkey") % 120 - 10, c("l_suppkey") % 110 - 10
     box = F.struct(c("l_linenumber").alias("o1"), c("l_partkey").alias("o2"), c("l_suppkey").alias("o3"), c("l_shipdate").alias("o4"), share(x).alias("x"), share(y).alias("y"), share(x + c("l_quantity")).alias("x2"), share(y + c("l_quantity")).alias("y2"), (c("l_discount") * 10).alias("confidence"))
     raw = li.groupBy(c("l_orderkey").alias("photo_id")).agg(F.array_sort(F.collect_list(box)).alias("raw"))
-    kept = raw.select("photo_id", faces.accepted(c("raw"), F.lit(800), F.lit(600)).alias("faces")).filter(F.size("faces") > 0)
+    kept = faces.once(raw, faces=faces.accepted(c("raw"), F.lit(800), F.lit(600))).filter(F.size("faces") > 0)
     return kept.select("photo_id", F.size("faces").cast("long").alias("accepted"), F.round(c("faces")[0]["size_ratio"], 10).alias("largest"))
 
 

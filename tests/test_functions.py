@@ -68,6 +68,39 @@ def test_a_bad_photo_of_a_batch_costs_few_calls():
     assert len(calls) == 13 and calls[0] == 64
 
 
+@pytest.mark.parametrize("name", ["high_significance", "closest_pairs", "raw_detections"])
+def test_filters_compute_no_faces_again(spark, sf_dir, name):
+    """A filter on what comes from the faces tests a value that is there; it holds none of the expressions over their array."""
+    from shoebox.plans.queries import QUERIES
+
+    frame = QUERIES[name](spark, sf_dir)
+    lines = frame._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [x for x in lines if x.lstrip(" :+-").startswith("Filter")]
+    assert len(filters) > 1 and not any("lambda" in x for x in filters)
+    if name == "high_significance":
+        found = [(r.composite, r.photo_id) for r in frame.collect()]
+        assert found == sorted(found, key=lambda r: (-r[0], r[1])) and "hashpartitioning(photo_id" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intimacy_is_that_of_the_pairs(spark):
+    """Of no, one, two and more faces, negative and odd places, widths of 0 and nulls: the score has what the pairs give, and these what a loop gives."""
+    import random
+    from itertools import combinations
+
+    rng, rows = random.Random(3), [(0, []), (1, [(5, 5, 0, 9, 0.1), (9, 9, 0, 9, 0.9)]), (2, [(5, 5, None, 9, None), (9, 9, 7, 9, 0.9), (1, None, 7, 9, 0.6)]), (3, None)]
+    rows += [(k, [(rng.randint(-50, 300), rng.randint(-50, 300), rng.randint(1, 90), rng.randint(1, 90), rng.random()) for _ in range(k % 6)]) for k in range(4, 40)]
+    photos = spark.createDataFrame([(k, f, 800, 600) for k, f in rows], "photo_id long, faces array<struct<x:int,y:int,w:int,h:int,smile:double>>, width int, height int")
+    scored = faces.score_significance(photos).select("photo_id", "pairs", "intimacy_score", faces.intimacy(F.col("pairs")).alias("wanted"), faces.closest_pair(F.col("pairs")).alias("closest"))
+    found = {r.photo_id: r for r in scored.collect()}
+    assert len(found) == len(rows) and all(r.intimacy_score == r.wanted for r in found.values())
+    for k, some in rows[4:]:
+        middle = [(x + w // 2, y + h // 2) for x, y, w, h, _ in some]
+        mean = sum(w for _, _, w, _, _ in some) / max(1, len(some))
+        pairs = [(i + 1, j + 1, pytest.approx(((middle[i][0] - middle[j][0]) ** 2 + (middle[i][1] - middle[j][1]) ** 2) ** 0.5 / mean)) for i, j in combinations(range(len(some)), 2)]
+        assert [tuple(p) for p in found[k].pairs] == pairs
+        assert (found[k].closest is None) == (len(some) < 2)
+
+
 def test_quality(spark):
     assert value(spark, quality.quality_score(F.lit(80.0), F.lit(60.0))) == pytest.approx(72)
     assert value(spark, quality.quality_tier(F.lit(70.0))) == "high"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ HSV_BINS = (180, 256, 256)
 
 
 def hsv_histograms(image: np.ndarray) -> np.ndarray:
-    """Counts of hue (180 bins of two degrees), saturation (256) and value (256), one after the other."""
-    image = np.repeat(image, 3, axis=2) if image.shape[2] == 1 else image
+    """Counts of hue (180 bins of two degrees), saturation (256) and value (256), one after the other. Gray has hue and saturation 0."""
+    if image.shape[2] == 1:
+        none = [np.bincount([0], [image.size], minlength=n) for n in HSV_BINS[:2]]
+        return np.concatenate([*none, np.bincount(image.ravel(), minlength=256)]).astype(np.float64)
     b, g, r = (image[:, :, i].astype(np.float64).ravel() for i in range(3))
     v, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
     span = v - low
@@ -100,24 +103,43 @@ def measures(image: np.ndarray, most: int = 1024) -> tuple:
     return laplacian_variance(plane), bins[250:].sum(), bins[:5].sum(), bins[50:200].sum(), plane.mean(), plane.std(), hsv_histograms(image)
 
 
+#: The most rows and bytes of pixels whose measures are together in a task; a histogram is a good 5 KB.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Row slices of a batch of at most SLICE_ROWS rows and SLICE_BYTES of data, one row at least."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column("data")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(total):
+        fit = int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        end = max(at + 1, min(fit, at + SLICE_ROWS))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def measure_pixels(images: DataFrame, key: str = "origin", most: int = 1024) -> DataFrame:
     """Rows (key, raw measures, histogram, error) of each image, capped to `most` on the longer side. A broken image
-    has nulls and the error's text, and doesn't end the scan."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for data, height, width, channels in zip(frame["data"], frame["height"], frame["width"], frame["nChannels"], strict=True):
-                try:
-                    rows.append((*measures(image_array(data, height, width, channels), most), None))
-                except Exception as e:  # noqa: BLE001  one photo must not end the scan
-                    rows.append((None,) * 7 + (f"{type(e).__name__}: {e}",))
-            out = pd.DataFrame(rows, columns=["variance", "clipped", "crushed", "middle", "mean", "deviation", "histogram", "error"])
-            out.insert(0, key, frame[key].to_numpy())
-            yield out
+    has nulls and the error's text, and doesn't end the scan. Results leave the task by slices of a batch, so memory doesn't follow
+    the rows of a batch."""
+    types = [pa.float64()] * 6 + [pa.list_(pa.float64()), pa.string()]
+    names = [key, *(c.split()[0] for c in MEASURES.split(", ")), "error"]
+
+    def measured(data: bytes, height: int, width: int, channels: int) -> tuple:
+        try:
+            return (*measures(image_array(data, height, width, channels), most), None)
+        except Exception as e:  # noqa: BLE001  one photo must not end the scan
+            return (None,) * 7 + (f"{type(e).__name__}: {e}",)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                cells = zip(*(part.column(c) for c in ("data", "height", "width", "nChannels")), strict=True)
+                columns = zip(*(measured(*(x.as_py() for x in row)) for row in cells), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     schema = f"{key} {images.schema[key].dataType.simpleString()}, {MEASURES}, error string"
-    return images.select(key, "data", "height", "width", "nChannels").mapInPandas(run, schema)
+    return images.select(key, "data", "height", "width", "nChannels").mapInArrow(run, schema)
 
 
 def scores(found: DataFrame) -> DataFrame:

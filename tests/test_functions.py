@@ -142,6 +142,33 @@ def test_broken_and_large_images(spark):
     assert pixels.pixel_scores(images(spark, wide)).first().error is None
 
 
+def test_measures_leave_by_slices():
+    """No output batch follows the rows or bytes of the input batch; every row is there once, in order, broken, empty and null ones too."""
+    import pyarrow as pa
+
+    class Images:
+        schema = {"origin": type("Key", (), {"dataType": type("Type", (), {"simpleString": staticmethod(lambda: "string")})})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    data = [b"\0\1" * 50] * 3000 + [None, b"", b"12"] + [bytes(3 << 20)] * 3
+    side = [(10, 10)] * 3003 + [(1536, 2048)] * 3
+    batch = pa.RecordBatch.from_pydict({"origin": [str(i) for i in range(len(data))], "data": data, "height": [h for h, _ in side], "width": [w for _, w in side], "nChannels": [1] * len(data)})
+    out = list(pixels.measure_pixels(Images())(iter([batch])))
+    assert [k for b in out for k in b.column("origin").to_pylist()] == [str(i) for i in range(len(data))]
+    assert max(b.num_rows for b in out) <= 256 and [b.num_rows for b in out][-2:] == [1, 1]
+    assert [i for i, e in enumerate(e for b in out for e in b.column("error").to_pylist()) if e] == [3000, 3001, 3002]
+
+
+def test_gray_histograms_are_those_of_three_equal_channels():
+    image = np.random.default_rng(2).integers(0, 256, (30, 20, 1), dtype=np.uint8)
+    assert (pixels.hsv_histograms(image) == pixels.hsv_histograms(np.repeat(image, 3, axis=2))).all()
+
+
 def test_lanczos_of_a_ramp():
     """Against the sum written out tap by tap; flat pictures stay flat, borders repeat, overshoot is cut."""
     ramp = np.arange(0, 250, 25, dtype=np.uint8)[None, :, None]
